@@ -31,6 +31,14 @@ def ratio(a, b) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def round_sig(x, digits: int = 9) -> Column:
+    """Round to ``digits`` significant digits (sums of large values differ in
+    the last bits between summation orders; this makes them comparable)."""
+    x = F.col(x) if isinstance(x, str) else x
+    e = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x / e, digits - 1) * e)
+
+
 def confusion_cells(df: DataFrame, group_cols: list[str], y_true: str = "y_true",
                     y_pred: str = "y_pred") -> DataFrame:
     """(group..., y_true, y_pred, n): the one distributed step of every report."""
@@ -180,8 +188,8 @@ def log_attempts(df: DataFrame, part_cols: list[str], order_col: str, epoch_col:
 
 
 def regression_report(df: DataFrame, y: str, yhat: str, group_cols: list[str] = (),
-                      digits: int | None = 6) -> DataFrame:
-    """MSE, RMSE, MAE, R^2 in one aggregation pass."""
+                      digits: int | None = 9) -> DataFrame:
+    """MSE, RMSE, MAE, R^2 in one aggregation pass (``digits`` significant)."""
     e = F.col(y) - F.col(yhat)
     rep = df.groupBy(*group_cols).agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
@@ -190,7 +198,7 @@ def regression_report(df: DataFrame, y: str, yhat: str, group_cols: list[str] =
     rep = rep.select(*group_cols, "n", "mse", F.sqrt("mse").alias("rmse"), "mae",
                      (F.lit(1.0) - ratio(F.col("_sse"), F.col("_sst"))).alias("r2"))
     if digits is not None:
-        rep = rep.select(*group_cols, "n", *[F.round(c, digits).alias(c) for c in ["mse", "rmse", "mae", "r2"]])
+        rep = rep.select(*group_cols, "n", *[round_sig(c, digits).alias(c) for c in ["mse", "rmse", "mae", "r2"]])
     return rep
 
 

@@ -91,3 +91,147 @@ cells as (select y_true, majority y_pred, n from counts, maj)
 select r.*, m.majority from {S.report('cells', [])} r, maj m""")
 def q_majority_baseline(spark, sf):
     return M.majority_baseline(table(spark, sf, "documents"), "lang")
+
+
+def report_runs(spark, sf, digits=6):
+    return M.classification_report(runs(spark, sf), ["run_id", "seed"], digits=digits)
+
+
+REPORT_RAW_SQL = f"""rep as (select * from {S.report('cells', ['run_id', 'seed'], rounded=False)})"""
+LONG_SQL = """long as (unpivot rep on "precision", f1_weighted, f1_macro, accuracy, recall
+                         into name metric value "value")"""
+SUMMARY_SQL = f"""with {RUNS_SQL}, {RUN_CELLS_SQL}, {REPORT_RAW_SQL}, {LONG_SQL},
+summ as (select run_id, metric, round_even(avg("value"), 3) mean, round_even(stddev_pop("value"), 3) std,
+           cast(count(*) as bigint) n_seeds from long group by all)"""
+
+
+@query("seeds_summary", f"{SUMMARY_SQL} select * from summ")
+def q_seeds_summary(spark, sf):
+    return M.seeds_summary(report_runs(spark, sf, None), ["run_id"])
+
+
+@query("seeds_summary_text", f"""{SUMMARY_SQL}
+select run_id,
+  case metric when 'accuracy' then 0 when 'precision' then 1 when 'recall' then 2
+              when 'f1_macro' then 3 else 4 end line_no,
+  case metric when 'accuracy' then 'accuracy' when 'precision' then 'precision' when 'recall' then 'recall'
+              when 'f1_macro' then 'f1 score macro' else 'f1 score weighted' end
+    || ': ' || cast(mean as varchar) || ' +/- ' || cast(std as varchar) line
+from summ""")
+def q_seeds_summary_text(spark, sf):
+    return M.seeds_summary_text(M.seeds_summary(report_runs(spark, sf, None), ["run_id"]), ["run_id"])
+
+
+@query("result_table", f"""{SUMMARY_SQL.replace('round_even(avg("value"), 3)', 'round_even(avg("value"), 2)')
+                              .replace('round_even(stddev_pop("value"), 3)', 'round_even(stddev_pop("value"), 2)')},
+cell as (select run_id, metric, printf('%.2f', mean) || '(±' || printf('%.2f', std) || ')' c from summ)
+select run_id,
+  max(case when metric = 'accuracy' then c end) accuracy,
+  max(case when metric = 'precision' then c end) "precision",
+  max(case when metric = 'recall' then c end) recall,
+  max(case when metric = 'f1_macro' then c end) f1_macro,
+  max(case when metric = 'f1_weighted' then c end) f1_weighted
+from cell group by run_id""")
+def q_result_table(spark, sf):
+    summ = M.seeds_summary(report_runs(spark, sf, None), ["run_id"], digits=2)
+    cell = F.concat(F.format_number("mean", 2), F.lit("(±"), F.format_number("std", 2), F.lit(")"))
+    order = ["accuracy", "precision", "recall", "f1_macro", "f1_weighted"]
+    return summ.groupBy("run_id").pivot("metric", order).agg(F.first(cell))
+
+
+def epoch_runs(spark, sf):
+    """The runs table read as an epoch log: seed index = epoch, part 'val'."""
+    r = runs(spark, sf)
+    epoch = F.array_position(F.array(*[F.lit(s) for s in SEEDS]), F.col("seed")) - 1
+    return r.withColumn("epoch", epoch.cast("int")).withColumn("part", F.lit("val"))
+
+
+EPOCH_SQL = f"""{RUNS_SQL},
+ecells as (select run_id, 'val' part, cast(list_position({[*SEEDS]}, seed) - 1 as int) epoch, y_true, y_pred,
+             count(*) n from runs group by all),
+erep as (select * from {S.report('ecells', ['run_id', 'part', 'epoch'])})"""
+
+
+def epoch_report(spark, sf):
+    return M.classification_report(epoch_runs(spark, sf), ["run_id", "part", "epoch"])
+
+
+@query("epoch_report", f"with {EPOCH_SQL} select * from erep")
+def q_epoch_report(spark, sf):
+    return epoch_report(spark, sf)
+
+
+@query("metric_select", f"""with {EPOCH_SQL}
+select run_id, epoch, f1_macro score, "precision" legacy_score from erep""")
+def q_metric_select(spark, sf):
+    rep = epoch_report(spark, sf)
+    return rep.select("run_id", "epoch", M.select_metric(rep, "f1_score_macro").alias("score"),
+                      M.select_metric(rep, "f1_macro", legacy_default=True).alias("legacy_score"))
+
+
+@query("best_epoch", f"""with {EPOCH_SQL}
+select run_id, epoch, f1_macro score,
+  max(f1_macro) over (partition by run_id order by epoch rows between unbounded preceding and current row) best_score,
+  f1_macro >= coalesce(max(f1_macro) over (partition by run_id order by epoch
+                                           rows between unbounded preceding and 1 preceding), '-inf'::double) is_best
+from erep""")
+def q_best_epoch(spark, sf):
+    rep = epoch_report(spark, sf).select("run_id", "epoch", F.col("f1_macro").alias("score"))
+    return M.best_so_far(rep, ["run_id"], "epoch", "score")
+
+
+@query("log_attempts", """with log as (select user_id, event_id, cast(event_id % 7 as int) epoch from events),
+a as (select *, cast(sum(case when epoch = 0 then 1 else 0 end) over (partition by user_id order by event_id
+                    rows between unbounded preceding and current row) as bigint) attempt from log)
+select *, attempt = max(attempt) over (partition by user_id) is_last from a""")
+def q_log_attempts(spark, sf):
+    log = table(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") % 7).cast("int").alias("epoch"))
+    return M.log_attempts(log, ["user_id"], "event_id", "epoch")
+
+
+@query("regression_report", f"""with j as (select l_extendedprice y, l_quantity * p_retailprice yhat
+                                      from lineitem join part on l_partkey = p_partkey),
+agg as (select cast(count(*) as bigint) n, avg((y - yhat) * (y - yhat)) mse, avg(abs(y - yhat)) mae,
+          sum((y - yhat) * (y - yhat)) sse, var_pop(y) * count(*) sst from j)
+select n, {S.round_sig('mse')} mse, {S.round_sig('sqrt(mse)')} rmse, {S.round_sig('mae')} mae,
+  {S.round_sig('1.0 - coalesce(sse / nullif(sst, 0), 0)')} r2 from agg""")
+def q_regression_report(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity")
+    part = table(spark, sf, "part").select("p_partkey", "p_retailprice")
+    j = li.join(part, li.l_partkey == part.p_partkey).select(
+        F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * F.col("p_retailprice")).alias("yhat"))
+    return M.regression_report(j, "y", "yhat")
+
+
+@query("label_distribution", """with c as (select quality label, cast(count(*) as bigint) n from labels group by all)
+select *, max(n) over () max_n, min(n) over () min_n from c""")
+def q_label_distribution(spark, sf):
+    lab = table(spark, sf, "labels").select(F.col("quality").alias("label"))
+    return M.label_distribution(lab, "label")
+
+
+@query("class_list", """select cast(count(distinct lang) as bigint) n_classes,
+  string_agg(distinct lang, '|' order by lang) classes from documents""")
+def q_class_list(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.agg(F.countDistinct("lang").cast("bigint").alias("n_classes"),
+                 F.array_join(F.sort_array(F.collect_set("lang")), "|").alias("classes"))
+
+
+@query("dup_audit", """with g as (select text, count(*) n from documents group by text)
+select cast(sum(n) as bigint) n_rows, cast(count(*) as bigint) n_distinct,
+  cast(sum(n - 1) as bigint) n_dup, cast(count(*) filter (where n > 1) as bigint) n_dup_groups from g""")
+def q_dup_audit(spark, sf):
+    d = table(spark, sf, "documents")
+    # group on a 128-bit digest: the shuffle carries 32 bytes per row, not the whole text
+    g = d.groupBy(F.md5("text").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return g.agg(F.sum("n").cast("bigint").alias("n_rows"), F.count(F.lit(1)).cast("bigint").alias("n_distinct"),
+                 F.sum(F.col("n") - 1).cast("bigint").alias("n_dup"),
+                 F.count(F.when(F.col("n") > 1, 1)).cast("bigint").alias("n_dup_groups"))
+
+
+@query("class_weights", """with c as (select quality label, cast(count(*) as bigint) n from labels group by all)
+select label, n, round(cast(sum(n) over () as double) / (count(*) over () * n), 6) w from c""")
+def q_class_weights(spark, sf):
+    lab = table(spark, sf, "labels").select(F.col("quality").alias("label"))
+    return M.class_weights(lab, "label").withColumn("w", F.round("w", 6))

@@ -58,3 +58,8 @@ def lexicon_values(lexicon: dict[str, list[str]], labels: list[str]) -> str:
 
 def label_list(labels: list[str]) -> str:
     return "[" + ", ".join(f"'{x}'" for x in labels) + "]"
+
+
+def round_sig(expr: str, digits: int = 9) -> str:
+    e = f"pow(10.0, floor(log10(abs({expr}))))"
+    return f"(case when {expr} = 0 then 0.0 else round({expr} / {e}, {digits - 1}) * {e} end)"
