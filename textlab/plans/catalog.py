@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textlab.plans import q_eval, q_prep  # noqa: F401
+from textlab.plans import q_eval, q_prep, q_sampling  # noqa: F401
 from textlab.plans.registry import ORACLES, QUERIES
 
 
