@@ -67,12 +67,21 @@ def per_class(cells: DataFrame, group_cols: list[str]) -> DataFrame:
                  F.sum("s.tp").alias("tp")))
 
 
+def _grouped(df: DataFrame, group_cols) -> tuple[DataFrame, list[str]]:
+    """A global report becomes one constant group, so joins stay equi-joins."""
+    if group_cols:
+        return df, list(group_cols)
+    return df.withColumn("_g", F.lit(0)), ["_g"]
+
+
 def confusion_ovr(cells: DataFrame, group_cols: list[str]) -> DataFrame:
     """One-vs-rest 2x2 per class: tp, fp, fn, tn."""
+    out_cols = list(group_cols)
+    cells, group_cols = _grouped(cells, group_cols)
     pc = per_class(cells, group_cols)
     tot = cells.groupBy(*group_cols).agg(F.sum("n").alias("_total"))
-    return (pc.join(tot, group_cols) if group_cols else pc.crossJoin(F.broadcast(tot))).select(
-        *group_cols, "label",
+    return pc.join(tot, group_cols).select(
+        *out_cols, "label",
         F.col("tp").cast("bigint").alias("tp"),
         (F.col("predicted") - F.col("tp")).cast("bigint").alias("fp"),
         (F.col("support") - F.col("tp")).cast("bigint").alias("fn"),
@@ -112,15 +121,15 @@ def majority_baseline(df: DataFrame, label: str, group_cols: list[str] = (),
     The prediction is constant per group, so the confusion cells are just
     the class counts relabelled: no second pass over the rows.
     """
-    group_cols = list(group_cols)
+    out_cols = list(group_cols)
+    df, group_cols = _grouped(df, group_cols)
     counts = df.groupBy(*group_cols, F.col(label).alias("y_true")).agg(F.count(F.lit(1)).alias("n"))
     maj = counts.groupBy(*group_cols).agg(
         F.min_by("y_true", F.struct(-F.col("n"), F.col("y_true"))).alias("majority"))
-    cells = (counts.join(F.broadcast(maj), group_cols) if group_cols
-             else counts.crossJoin(F.broadcast(maj)))  # maj: one row per group, bounded
-    cells = cells.select(*group_cols, "majority", "y_true", F.col("majority").alias("y_pred"), "n")
-    rep = report_from_cells(cells.drop("majority"), group_cols, digits)
-    return rep.join(F.broadcast(maj), group_cols) if group_cols else rep.crossJoin(F.broadcast(maj))
+    cells = counts.join(F.broadcast(maj), group_cols)  # maj: one row per group
+    cells = cells.select(*group_cols, "y_true", F.col("majority").alias("y_pred"), "n")
+    rep = report_from_cells(cells, group_cols, digits).join(F.broadcast(maj), group_cols)
+    return rep.select(*out_cols, *[c for c in rep.columns if c not in group_cols])
 
 
 def metrics_long(report: DataFrame, group_cols: list[str]) -> DataFrame:

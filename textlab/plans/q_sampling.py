@@ -35,7 +35,7 @@ CORPUS_SQL = "corpus as (select l.doc_id, l.quality label, d.text from labels l
 HOLD_SQL = f"""{CORPUS_SQL},
 ranked as (select doc_id, label, cast(row_number() over (order by {H}, doc_id) - 1 as bigint) pos from corpus),
 hold as (select doc_id, pos from ranked where pos < {HOLDOUT_N}),
-a as (select doc_id, label from corpus where doc_id not in (select doc_id from hold))"""
+a as (select doc_id, label, text from corpus where doc_id not in (select doc_id from hold))"""
 
 
 @query("shuffle", f"""with {HOLD_SQL} select doc_id, pos from ranked""")
