@@ -14,6 +14,7 @@ from typing import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textlab.functions.arrays import argmax
 from textlab.functions.text import normalise_answer, render_prompt, tokens
@@ -62,7 +63,9 @@ def answer_loop(df: DataFrame, prompt_col: str, answer_fn: Callable[[pd.Series,
     Adds: answer STRING, y_pred INT, attempts INT, error STRING.
     """
     label_pos = {lab: i for i, lab in enumerate(labels)}
-    schema = df.schema.add("answer", "string").add("y_pred", "int").add("attempts", "int").add("error", "string")
+    schema = T.StructType(list(df.schema.fields) + [
+        T.StructField("answer", T.StringType()), T.StructField("y_pred", T.IntegerType()),
+        T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())])
 
     def run(batches):
         for pdf in batches:
@@ -111,7 +114,7 @@ def map_text(df: DataFrame, text_col: str, fn: Callable[[pd.Series], pd.Series],
     """
     sel = select if select is not None else F.lit(True)
     staged = df.withColumn("_sel", F.coalesce(sel, F.lit(False)))
-    schema = staged.schema.add(out, "string")
+    schema = T.StructType(list(staged.schema.fields) + [T.StructField(out, T.StringType())])
 
     def run(batches):
         for pdf in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textlab.plans import q_eval, q_features, q_models, q_prep, q_sampling  # noqa: F401
+from textlab.plans import q_eval, q_features, q_io, q_models, q_prep, q_sampling, q_zeroshot  # noqa: F401
 from textlab.plans.registry import ORACLES, QUERIES
 
 
