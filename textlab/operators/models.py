@@ -86,6 +86,11 @@ def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, model_value
     mc, k = model.model_cols, len(model.classes)
     cls_pos = {c: i for i, c in enumerate(model.classes)}
     ct = model.class_table
+    if k == 0:  # empty training data: no model, no predictions
+        empty = docs.where(F.lit(False)).select(
+            *[F.lit(None).cast(ct.schema[c].dataType).alias(c) for c in mc], key,
+            F.array().cast("array<double>").alias("scores"), F.lit(None).cast(ct.schema["label"].dataType).alias(out))
+        return empty.drop("_m")
     # per model: arrays over classes (k small, broadcast)
     cls_arr = ct.groupBy(*mc).agg(
         *[F.max(F.when(F.col("label") == F.lit(c), F.col(col))).alias(f"_{col}_{i}")

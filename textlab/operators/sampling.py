@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textlab.functions.random import draw, hash_key
 
@@ -127,12 +128,15 @@ def resample(df: DataFrame, seed, key: str, label: str, strategy: str, by: list[
             (F.col("id") % F.lit(target)).alias("i"))
         draws = d if draws is None else draws.unionByName(d)
         cls_rows += [(*g, j, m[label], m["n"]) for j, m in enumerate(members)]
-    schema = df.select(*by, label).schema.fieldNames()
-    cls = spark.createDataFrame(cls_rows, [*schema[:len(by)], "_ci", label, "_nc"])
-    cls = cls.select(*by, "_ci", F.col(label).cast(df.schema[label].dataType).alias(label), "_nc")
+    ranked = seeded_rank(df, seed, key, by=[*by, label])
+    if draws is None:  # empty input
+        return ranked.withColumn("i", F.lit(None).cast("bigint")).where(F.lit(False)).drop("pos")
+    fields = [T.StructField(c, df.schema[c].dataType) for c in by]
+    schema = T.StructType(fields + [T.StructField("_ci", T.LongType()), T.StructField(label, df.schema[label].dataType),
+                                    T.StructField("_nc", T.LongType())])
+    cls = spark.createDataFrame(cls_rows, schema)
     d = draws.join(F.broadcast(cls), [*by, "_ci"])  # bounded: checked class table
     d = d.withColumn("pos", draw(seed, *[F.col(c) for c in by], F.col(label), F.col("i")) % F.col("_nc"))
-    ranked = seeded_rank(df, seed, key, by=[*by, label])
     return d.join(ranked, [*by, label, "pos"]).drop("_ci", "_nc", "pos")
 
 
@@ -142,12 +146,10 @@ def subset_sizes(df: DataFrame, seed, key: str, sizes: list[int]) -> DataFrame:
     0..N-1, so smaller sets are prefixes of larger ones.  Adds n_train, i."""
     spark = df.sparkSession
     n = df.count()
-    if n == 0:
-        raise ValueError("empty input")
-    m = max(sizes)
+    m = max(sizes) if n > 0 else 0  # nothing to draw from: empty result
     d = spark.range(0, m, 1, max(1, min(spark.sparkContext.defaultParallelism, m // 100_000 + 1))) \
         .select(F.col("id").alias("i"))
-    d = d.withColumn("pos", draw(seed, F.lit("size"), F.col("i")) % F.lit(n))
+    d = d.withColumn("pos", draw(seed, F.lit("size"), F.col("i")) % F.lit(max(n, 1)))
     ranked = seeded_rank(df, seed, key)
     j = d.join(ranked, "pos").drop("pos")
     sz = F.array(*[F.lit(int(s)).cast("bigint") for s in sorted(sizes)])

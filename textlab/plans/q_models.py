@@ -82,7 +82,7 @@ def q_auto_label(spark, sf):
 @query("learning_curve", f"""with {HOLD_SQL},
 n as (select count(*) n from a),
 d as (select unnest(range({max(SIZES)})) i),
-dd as (select i, {S.draw(str(SEED), "'size'", 'i')} % n pos from d, n),
+dd as (select i, {S.draw(str(SEED), "'size'", 'i')} % greatest(n, 1) pos from d, n where n > 0),
 r as (select doc_id, label, text, row_number() over (order by {S.hkey(str(SEED), 'doc_id')}, doc_id) - 1 pos from a),
 j as (select i, label, text from dd join r using (pos)),
 tr as (select cast(s.n_train as bigint) n_train, j.label, j.text
@@ -103,19 +103,27 @@ def q_learning_curve(spark, sf):
 
 def lr_model(spark, sf):
     a = part_a(spark, sf)
+    if a.isEmpty():  # nothing to learn from (tiny data): no model
+        return None
     w = M.class_weights(a, "label")
     return MD.lr_fit(SM.weight_rows(a, w, "label"), "text", "label", "w", max_iter=30)
 
 
 @query("lr_predict")
 def q_lr_predict(spark, sf):
-    return MD.lr_predict(lr_model(spark, sf), part_b(spark, sf), "doc_id")
+    model = lr_model(spark, sf)
+    b = part_b(spark, sf)
+    if model is None:
+        return b.where(F.lit(False)).select("doc_id", F.lit(None).cast("int").alias("y_pred"))
+    return MD.lr_predict(model, b, "doc_id")
 
 
 @query("model_roundtrip")
 def q_model_roundtrip(spark, sf):
     """Save and reload the fitted pipeline; predictions must be identical."""
     model = lr_model(spark, sf)
+    if model is None:
+        return spark.range(1).select(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("n_equal"))
     path = scratch_dir(spark, "model")
     MD.save_model(model, path)
     again = MD.load_model(path)

@@ -96,7 +96,7 @@ def q_resample_split(spark, sf):
 @query("subset_sizes", f"""with {HOLD_SQL},
 n as (select count(*) n from a),
 d as (select unnest(range({max(SIZES)})) i),
-dd as (select i, {S.draw(str(SEED), "'size'", 'i')} % n pos from d, n),
+dd as (select i, {S.draw(str(SEED), "'size'", 'i')} % greatest(n, 1) pos from d, n where n > 0),
 r as (select doc_id, row_number() over (order by {H}, doc_id) - 1 pos from a),
 j as (select i, doc_id from dd join r using (pos))
 select cast(s.n_train as bigint) n_train, j.i, j.doc_id
