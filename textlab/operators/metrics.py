@@ -67,25 +67,17 @@ def per_class(cells: DataFrame, group_cols: list[str]) -> DataFrame:
                  F.sum("s.tp").alias("tp")))
 
 
-def _grouped(df: DataFrame, group_cols) -> tuple[DataFrame, list[str]]:
-    """A global report becomes one constant group, so joins stay equi-joins."""
-    if group_cols:
-        return df, list(group_cols)
-    return df.withColumn("_g", F.lit(0)), ["_g"]
-
-
 def confusion_ovr(cells: DataFrame, group_cols: list[str]) -> DataFrame:
-    """One-vs-rest 2x2 per class: tp, fp, fn, tn."""
-    out_cols = list(group_cols)
-    cells, group_cols = _grouped(cells, group_cols)
+    """One-vs-rest 2x2 per class: tp, fp, fn, tn (group total by a window
+    over the k per-class rows of each group, no join)."""
     pc = per_class(cells, group_cols)
-    tot = cells.groupBy(*group_cols).agg(F.sum("n").alias("_total"))
-    return pc.join(tot, group_cols).select(
-        *out_cols, "label",
+    total = F.sum("support").over(Window.partitionBy(*group_cols))
+    return pc.select(
+        *group_cols, "label",
         F.col("tp").cast("bigint").alias("tp"),
         (F.col("predicted") - F.col("tp")).cast("bigint").alias("fp"),
         (F.col("support") - F.col("tp")).cast("bigint").alias("fn"),
-        (F.col("_total") - F.col("support") - F.col("predicted") + F.col("tp")).cast("bigint").alias("tn"))
+        (total - F.col("support") - F.col("predicted") + F.col("tp")).cast("bigint").alias("tn"))
 
 
 def report_from_cells(cells: DataFrame, group_cols: list[str], digits: int | None = 6) -> DataFrame:
@@ -119,17 +111,16 @@ def majority_baseline(df: DataFrame, label: str, group_cols: list[str] = (),
     """Predict the most frequent class for every row (tie -> smallest label).
 
     The prediction is constant per group, so the confusion cells are just
-    the class counts relabelled: no second pass over the rows.
+    the class counts relabelled: no second pass over the rows and no join
+    (the majority comes from a window over the k class counts).
     """
-    out_cols = list(group_cols)
-    df, group_cols = _grouped(df, group_cols)
+    group_cols = list(group_cols)
     counts = df.groupBy(*group_cols, F.col(label).alias("y_true")).agg(F.count(F.lit(1)).alias("n"))
-    maj = counts.groupBy(*group_cols).agg(
-        F.min_by("y_true", F.struct(-F.col("n"), F.col("y_true"))).alias("majority"))
-    cells = counts.join(F.broadcast(maj), group_cols)  # maj: one row per group
-    cells = cells.select(*group_cols, "y_true", F.col("majority").alias("y_pred"), "n")
-    rep = report_from_cells(cells, group_cols, digits).join(F.broadcast(maj), group_cols)
-    return rep.select(*out_cols, *[c for c in rep.columns if c not in group_cols])
+    w = (Window.partitionBy(*group_cols).orderBy(F.col("n").desc(), F.col("y_true"))
+         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # over k class rows
+    cells = counts.withColumn("majority", F.first("y_true").over(w)).withColumn("y_pred", F.col("majority"))
+    # the majority is constant within a group, so grouping by it keeps one row per group
+    return report_from_cells(cells, [*group_cols, "majority"], digits)
 
 
 def metrics_long(report: DataFrame, group_cols: list[str]) -> DataFrame:

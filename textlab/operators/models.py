@@ -16,63 +16,88 @@ is not rebuilt (see README).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlab.functions.arrays import argmax
 from textlab.functions.text import TOKEN_SPLIT, tokens
 from textlab.operators.features import MAX_CLASSES
+from textlab.session import cut_lineage
 
 
 @dataclass
 class NBModel:
     classes: list           # sorted class labels (class id order)
     model_cols: list[str]   # columns identifying one model
-    token_table: DataFrame  # model..., label, token, n, logp (observed pairs)
-    class_table: DataFrame  # model..., label, n_docs, log_prior, total, log_default
+    token_table: DataFrame  # model..., label, token, n, logp (observed pairs; checkpointed)
+    class_rows: list        # per (model, label): n_docs, total, V, log_prior, log_default (small, collected)
+    alpha: float = 1.0
 
 
-def nb_train(df: DataFrame, text: str, label: str, model_cols: list[str] = (), alpha: float = 1.0,
-             classes: list | None = None) -> NBModel:
+def _key(cols: list) -> Column:
+    """String key of a model (and label) for literal map lookups."""
+    return F.concat_ws("\x1f", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]) \
+        if cols else F.lit("")
+
+
+def _key_str(values) -> str:
+    return "\x1f".join(str(v) for v in values)
+
+
+def nb_train(df: DataFrame, text: str, label: str, model_cols: list[str] = (), alpha: float = 1.0) -> NBModel:
     """Multinomial NB with Laplace/Lidstone smoothing ``alpha``:
-    log p(t|c) = ln((n_tc + alpha) / (N_c + alpha * |V|)), V = model vocabulary."""
-    mc = list(model_cols) or ["_m"]  # single model: constant key, joins stay equi-joins
-    if "_m" in mc:
-        df = df.withColumn("_m", F.lit(0))
+    log p(t|c) = ln((n_tc + alpha) / (N_c + alpha * |V|)), V = model vocabulary.
+
+    One pass over the training texts: each document emits its tokens plus one
+    NULL marker, so the (model, class, token) count table also carries the
+    document counts.  That table is the model; it is checkpointed to the
+    shared checkpoint dir (computed once, lineage cut) and the per-class
+    statistics (models x classes rows, checked) are collected.
+    """
+    mc = list(model_cols)
     base = df.select(*mc, F.col(label).alias("label"), text)
-    if classes is None:
-        rows = base.select("label").distinct().limit(MAX_CLASSES + 1).collect()
-        if len(rows) > MAX_CLASSES:
-            raise ValueError("too many classes")
-        classes = sorted(r["label"] for r in rows)
-    tc = (base.select(*mc, "label", F.explode(tokens(text)).alias("token"))
+    marker_and_tokens = F.concat(F.array(F.lit(None).cast("string")), tokens(text))
+    tc = (base.select(*mc, "label", F.explode(marker_and_tokens).alias("token"))
           .groupBy(*mc, "label", "token").agg(F.count(F.lit(1)).alias("n")))
-    vocab = tc.groupBy(*mc).agg(F.countDistinct("token").alias("V"))
-    totals = tc.groupBy(*mc, "label").agg(F.sum("n").alias("total"))
-    docs = base.groupBy(*mc, "label").agg(F.count(F.lit(1)).alias("n_docs"))
-    docs = docs.withColumn("N", F.sum("n_docs").over(_w(mc)))
-    cls = docs.join(totals, [*mc, "label"], "left").join(F.broadcast(vocab), mc, "left")  # one row per model
-    cls = cls.select(
-        *mc, "label", "n_docs",
-        F.ln(F.col("n_docs") / F.col("N")).alias("log_prior"),
-        F.coalesce("total", F.lit(0)).alias("total"),
-        F.ln(F.lit(alpha) / (F.coalesce("total", F.lit(0)) + F.lit(alpha) * F.coalesce("V", F.lit(0)))).alias("log_default"),
-        F.coalesce("V", F.lit(0)).alias("V"))
-    tok = tc.join(F.broadcast(cls.select(*mc, "label", "total", "V")), [*mc, "label"]).select(
-        *mc, "label", "token", "n",
-        F.ln((F.col("n") + F.lit(alpha)) / (F.col("total") + F.lit(alpha) * F.col("V"))).alias("logp"))
-    return NBModel(classes, mc, tok, cls.drop("V"))
-
-
-def _w(mc):
-    from pyspark.sql import Window
-    return Window.partitionBy(*mc)
+    tc = cut_lineage(tc)
+    stats = tc.groupBy(*mc, "label").agg(
+        F.sum(F.when(F.col("token").isNull(), F.col("n")).otherwise(0)).alias("n_docs"),
+        F.sum(F.when(F.col("token").isNotNull(), F.col("n")).otherwise(0)).alias("total")) \
+        .limit(MAX_CLASSES + 1).collect()
+    if len(stats) > MAX_CLASSES:
+        raise ValueError("too many (model, class) pairs")
+    vocab = {tuple(r[c] for c in mc): r["V"] for r in
+             tc.where(F.col("token").isNotNull()).groupBy(*mc).agg(F.countDistinct("token").alias("V")).collect()}
+    docs_per_model: dict = {}
+    for r in stats:
+        m = tuple(r[c] for c in mc)
+        docs_per_model[m] = docs_per_model.get(m, 0) + r["n_docs"]
+    rows = []
+    for r in stats:
+        m = tuple(r[c] for c in mc)
+        v = vocab.get(m, 0)
+        denom = r["total"] + alpha * v
+        rows.append({**{c: r[c] for c in mc}, "label": r["label"], "n_docs": r["n_docs"], "total": r["total"],
+                     "V": v, "log_prior": math.log(r["n_docs"] / docs_per_model[m]),
+                     "log_default": math.log(alpha / denom) if denom > 0 else float("-inf")})
+    classes = sorted({r["label"] for r in rows})
+    denom_map = F.create_map(*[x for r in rows for x in
+                               (F.lit(_key_str([*(r[c] for c in mc), r["label"]])),
+                                F.lit(float(r["total"] + alpha * r["V"])))])
+    tok = tc.where(F.col("token").isNotNull())
+    if rows:
+        tok = tok.select(*mc, "label", "token", "n",
+                         F.ln((F.col("n") + F.lit(alpha)) / F.element_at(denom_map, _key([*mc, "label"]))).alias("logp"))
+    else:
+        tok = tok.select(*mc, "label", "token", "n", F.lit(None).cast("double").alias("logp"))
+    return NBModel(classes, mc, tok, rows, alpha)
 
 
 def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, model_values: list[tuple] | None = None,
@@ -80,48 +105,61 @@ def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, model_value
     """Arg-max class per (model, document); ties -> first class in order.
 
     score_c = log_prior_c + N_d * log_default_c + sum_t n_dt (logp_tc - log_default_c),
-    where N_d counts the document's in-vocabulary tokens; only observed
-    (class, token) pairs are stored, unobserved ones contribute the default.
+    N_d = the document's in-vocabulary token count; only observed (class,
+    token) pairs are stored, unobserved ones contribute the default.  Each
+    document is tokenised once; a NULL marker row per (model, document)
+    survives the left join so documents without known tokens still score.
     """
-    mc, k = model.model_cols, len(model.classes)
-    cls_pos = {c: i for i, c in enumerate(model.classes)}
-    ct = model.class_table
-    if k == 0:  # empty training data: no model, no predictions
+    mc, classes = model.model_cols, model.classes
+    k = len(classes)
+    label_type = model.token_table.schema["label"].dataType
+    if model_values is None:
+        model_values = sorted({tuple(r[c] for c in mc) for r in model.class_rows})
+    if k == 0 or not model_values:  # empty training data: no model, no predictions
+        types = {c: model.token_table.schema[c].dataType for c in mc}
         empty = docs.where(F.lit(False)).select(
-            *[F.lit(None).cast(ct.schema[c].dataType).alias(c) for c in mc], key,
-            F.array().cast("array<double>").alias("scores"), F.lit(None).cast(ct.schema["label"].dataType).alias(out))
-        return empty.drop("_m")
-    # per model: arrays over classes (k small, broadcast)
-    cls_arr = ct.groupBy(*mc).agg(
-        *[F.max(F.when(F.col("label") == F.lit(c), F.col(col))).alias(f"_{col}_{i}")
-          for col in ("log_prior", "log_default") for c, i in cls_pos.items()])
-    delta = model.token_table.join(F.broadcast(ct.select(*mc, "label", "log_default")), [*mc, "label"]) \
-        .select(*mc, "token", "label", (F.col("logp") - F.col("log_default")).alias("d"))
+            *[F.lit(None).cast(types[c]).alias(c) for c in mc], key,
+            F.array().cast("array<double>").alias("scores"), F.lit(None).cast(label_type).alias(out))
+        return empty
+    by_model: dict = {}
+    for r in model.class_rows:
+        by_model.setdefault(tuple(r[c] for c in mc), {})[r["label"]] = r
+    default_map = F.create_map(*[x for r in model.class_rows for x in
+                                 (F.lit(_key_str([*(r[c] for c in mc), r["label"]])), F.lit(r["log_default"]))])
+
+    def per_model_array(field):
+        pairs = []
+        for m, per in by_model.items():
+            pairs += [F.lit(_key_str(m)),
+                      F.array(*[F.lit(per[c][field] if c in per else float("-inf")) for c in classes])]
+        return F.create_map(*pairs)
+
+    delta = model.token_table.select(
+        *mc, "token", "label", (F.col("logp") - F.element_at(default_map, _key([*mc, "label"]))).alias("d"))
     vocab = delta.groupBy(*mc, "token").agg(
-        *[F.sum(F.when(F.col("label") == F.lit(c), F.col("d")).otherwise(F.lit(0.0))).alias(f"_d{i}")
-          for c, i in cls_pos.items()])
-    dt = (docs.select(key, F.explode(tokens(text)).alias("token"))
+        *[F.sum(F.when(F.col("label") == F.lit(c).cast(label_type), F.col("d")).otherwise(F.lit(0.0))).alias(f"_d{i}")
+          for i, c in enumerate(classes)])
+    types = {c: model.token_table.schema[c].dataType for c in mc}
+    marker_and_tokens = F.concat(F.array(F.lit(None).cast("string")), tokens(text))
+    dt = (docs.select(key, F.explode(marker_and_tokens).alias("token"))
           .groupBy(key, "token").agg(F.count(F.lit(1)).alias("n")))
-    j = dt.join(vocab, "token")  # in-vocabulary tokens only; (doc, token) pre-aggregated
-    s = j.groupBy(*mc, key).agg(F.sum("n").alias("_nd"), *[F.sum(F.col("n") * F.col(f"_d{i}")).alias(f"_s{i}")
-                                                           for i in range(k)])
-    if mc == ["_m"]:
-        model_values = [(0,)]
-    elif model_values is None:
-        model_values = [tuple(r) for r in ct.select(*mc).distinct().limit(MAX_CLASSES + 1).collect()]
-    # every document is scored by every model: a generator over the (small) model list
-    types = {c: ct.schema[c].dataType for c in mc}
-    grid = F.explode(F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(mc, mv)])
-                               for mv in model_values]))
-    pairs = docs.select(key, grid.alias("_mv")).select(key, *[F.col(f"_mv.{c}").alias(c) for c in mc])
-    sc = pairs.join(s, [*mc, key], "left").join(F.broadcast(cls_arr), mc)  # cls_arr: one row per model
-    nd = F.coalesce(F.col("_nd"), F.lit(0))
-    scores = F.array(*[F.col(f"_log_prior_{i}") + nd * F.col(f"_log_default_{i}") + F.coalesce(F.col(f"_s{i}"), F.lit(0.0))
+    if mc:  # every document is scored by every model: a generator over the (small) model list
+        grid = F.explode(F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(mc, mv)])
+                                   for mv in model_values]))
+        dt = dt.select("*", grid.alias("_mv")).select(key, "token", "n", *[F.col(f"_mv.{c}").alias(c) for c in mc])
+    j = dt.join(vocab, [*mc, "token"], "left")  # (doc, token) pre-aggregated; NULL markers kept
+    known = F.col("_d0").isNotNull() if k else F.lit(False)
+    s = j.groupBy(*mc, key).agg(
+        F.sum(F.when(known, F.col("n")).otherwise(0)).alias("_nd"),
+        *[F.sum(F.when(known, F.col("n") * F.col(f"_d{i}")).otherwise(0.0)).alias(f"_s{i}") for i in range(k)])
+    mk = _key(mc)
+    prior = F.element_at(per_model_array("log_prior"), mk)
+    dflt = F.element_at(per_model_array("log_default"), mk)
+    scores = F.array(*[F.element_at(prior, i + 1) + F.col("_nd") * F.element_at(dflt, i + 1) + F.col(f"_s{i}")
                        for i in range(k)])
-    lab = F.array(*[F.lit(c) for c in model.classes])
-    res = sc.select(*mc, key, scores.alias("scores")).select(
-        *mc, key, "scores", F.element_at(lab, argmax(F.col("scores")) + 1).alias(out))
-    return res.drop("_m")
+    lab = F.array(*[F.lit(c).cast(label_type) for c in classes])
+    res = s.select(*mc, key, scores.alias("scores"))
+    return res.select(*mc, key, "scores", F.element_at(lab, argmax(F.col("scores")) + 1).alias(out))
 
 
 def lr_pipeline(text: str = "text", label: str = "label", weight: str | None = "w",

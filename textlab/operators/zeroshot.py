@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlab.functions.arrays import argmax
-from textlab.functions.text import normalise_answer, render_prompt, tokens
+from textlab.functions.text import TOKEN_SPLIT, normalise_answer, render_prompt
 
 # --- fixed values: default language lexicon (label order is the class id) ---
 LEXICON_LABELS = ["en", "de", "fr", "es"]
@@ -30,21 +30,35 @@ LEXICON = {
 PROMPT_TEMPLATE = "Classify the language of the following text.\n\nText: "
 
 
-def lexicon_hits(text, labels=LEXICON_LABELS, lexicon=LEXICON) -> Column:
-    """ARRAY<BIGINT> of lexicon hits per label, in label order."""
-    toks = tokens(text)
+def lexicon_tokens(text, lexicon=LEXICON) -> Column:
+    """The text's tokens that are in any word list: one split of the whole
+    text, one hash-set membership test per token."""
+    words = sorted({w for ws in lexicon.values() for w in ws})
+    return F.filter(F.split(F.lower(F.col(text) if isinstance(text, str) else text), TOKEN_SPLIT),
+                    lambda t: t.isin(words))
 
+
+def hits_from_tokens(lex_tokens: Column, labels=LEXICON_LABELS, lexicon=LEXICON) -> Column:
+    """ARRAY<BIGINT> of hits per label (label order) over pre-filtered tokens."""
     def member_of(words):
         return lambda t: t.isin(words)
 
-    return F.array(*[F.size(F.filter(toks, member_of(lexicon[lab]))).cast("bigint") for lab in labels])
+    return F.array(*[F.size(F.filter(lex_tokens, member_of(lexicon.get(lab, [])))).cast("bigint")
+                     for lab in labels])
+
+
+def with_lexicon_hits(df: DataFrame, text: str = "text", labels=LEXICON_LABELS, lexicon=LEXICON,
+                      out: str = "hits") -> DataFrame:
+    """Adds ``out``; the token scan happens once per row (own projection)."""
+    return df.withColumn("_lt", lexicon_tokens(text, lexicon)) \
+             .withColumn(out, hits_from_tokens(F.col("_lt"), labels, lexicon)).drop("_lt")
 
 
 def lexicon_predict(df: DataFrame, text: str = "text", labels=LEXICON_LABELS, lexicon=LEXICON,
                     out: str = "y_pred") -> DataFrame:
     """Label with most hits; ties and no hits -> first label in order."""
     lab = F.array(*[F.lit(x) for x in labels])
-    return df.withColumn("_hits", lexicon_hits(text, labels, lexicon)).withColumn(
+    return with_lexicon_hits(df, text, labels, lexicon, "_hits").withColumn(
         out, F.element_at(lab, argmax(F.col("_hits")) + 1)).drop("_hits")
 
 
@@ -143,5 +157,5 @@ def prompt_column(text: str, labels: list[str] = LEXICON_LABELS, template: str =
     return render_prompt(template, text, labels)
 
 
-__all__ = ["LEXICON", "LEXICON_LABELS", "PROMPT_TEMPLATE", "lexicon_hits", "lexicon_predict",
+__all__ = ["LEXICON", "LEXICON_LABELS", "PROMPT_TEMPLATE", "lexicon_tokens", "hits_from_tokens", "with_lexicon_hits", "lexicon_predict",
            "label_to_id", "answer_loop", "map_text", "prompt_column", "normalise_answer"]

@@ -8,7 +8,7 @@ from textlab.functions.arrays import argmax, join_numbers, one_hot, softmax
 from textlab.functions.text import tokens
 from textlab.operators import features as FE
 from textlab.operators import metrics as M
-from textlab.operators.zeroshot import LEXICON, lexicon_hits
+from textlab.operators.zeroshot import LEXICON, with_lexicon_hits
 from textlab.plans import sqlfrag as S
 from textlab.plans.registry import query, table
 
@@ -57,7 +57,7 @@ pp as (select doc_id, lang, hits, list_transform(e, lambda x: x / list_sum(e)) p
 def probs(spark, sf):
     d, classes = docs_indexed(spark, sf)
     lex = {c: LEXICON.get(c, []) for c in classes}
-    d = d.withColumn("hits", lexicon_hits("text", classes, lex))
+    d = with_lexicon_hits(d, "text", classes, lex, "hits")
     return d.withColumn("p", softmax(F.col("hits"))), classes
 
 
@@ -95,8 +95,8 @@ def q_weighted_ce(spark, sf):
 select cast(count(*) as bigint) n_texts, cast(count(*) filter (where n >= {MAX_LEN}) as bigint) n_ge,
   cast(count(*) filter (where n > {MAX_LEN}) as bigint) n_gt from t""")
 def q_truncation_audit(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.agg(F.count(F.lit(1)).cast("bigint").alias("n_texts"), *FE.truncation_counts(tokens("text"), MAX_LEN))
+    d = table(spark, sf, "documents").select(tokens("text").alias("toks"))
+    return d.agg(F.count(F.lit(1)).cast("bigint").alias("n_texts"), *FE.truncation_counts(F.col("toks"), MAX_LEN))
 
 
 @query("encode_pad_mask", f"""with t as (select doc_id, {S.tokens('text')} toks from documents),
