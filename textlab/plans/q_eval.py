@@ -9,7 +9,7 @@ from textlab.functions.random import draw
 from textlab.operators import metrics as M
 from textlab.operators.zeroshot import LEXICON, LEXICON_LABELS, lexicon_predict
 from textlab.plans import sqlfrag as S
-from textlab.plans.registry import query, table
+from textlab.plans.registry import query, table, text_table
 
 # --- fixed values: seeds and run tasks of the evaluation fixtures ---
 SEEDS = [1234, 3456, 5678]
@@ -39,7 +39,7 @@ RUN_CELLS_SQL = "cells as (select run_id, seed, y_true, y_pred, count(*) n from
 
 
 def pred_lang(spark: SparkSession, sf: str) -> DataFrame:
-    return lexicon_predict(table(spark, sf, "documents").select("doc_id", "text", "lang"), "text")
+    return lexicon_predict(text_table(spark, sf, "documents", ["doc_id", "text", "lang"]), "text")
 
 
 PRED_LANG_SQL = f"""tok as (

@@ -10,14 +10,14 @@ from textlab.operators import features as FE
 from textlab.operators import metrics as M
 from textlab.operators.zeroshot import LEXICON, with_lexicon_hits
 from textlab.plans import sqlfrag as S
-from textlab.plans.registry import query, table
+from textlab.plans.registry import query, table, text_table
 
 # --- fixed values: encoder length of the fixtures ---
 MAX_LEN = 128
 
 
 def docs_indexed(spark, sf):
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents", ["doc_id", "lang", "text"])
     classes = FE.class_list(d, "lang")
     return d.withColumn("idx", FE.index_labels(d, "lang", classes)), classes
 
@@ -95,7 +95,7 @@ def q_weighted_ce(spark, sf):
 select cast(count(*) as bigint) n_texts, cast(count(*) filter (where n >= {MAX_LEN}) as bigint) n_ge,
   cast(count(*) filter (where n > {MAX_LEN}) as bigint) n_gt from t""")
 def q_truncation_audit(spark, sf):
-    d = table(spark, sf, "documents").select(tokens("text").alias("toks"))
+    d = text_table(spark, sf, "documents", ["text"]).select(tokens("text").alias("toks"))
     return d.agg(F.count(F.lit(1)).cast("bigint").alias("n_texts"), *FE.truncation_counts(F.col("toks"), MAX_LEN))
 
 
@@ -107,7 +107,8 @@ select doc_id,
   md5(array_to_string(list_concat(ids, list_transform(range({MAX_LEN} - len(ids)), lambda x: {FE.PAD_ID}::bigint)), ',')) h,
   cast(len(ids) as bigint) n_mask from e""")
 def q_encode_pad_mask(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", FE.encode(tokens("text"), MAX_LEN).alias("ids"))
+    d = text_table(spark, sf, "documents", ["doc_id", "text"]).select(
+        "doc_id", FE.encode(tokens("text"), MAX_LEN).alias("ids"))
     mask = FE.attention_mask(F.col("ids"))
     return d.select("doc_id", F.md5(join_numbers(F.col("ids"))).alias("h"),
                     F.aggregate(mask, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_mask"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textlab.operators import metrics as M
 from textlab.plans import sqlfrag as S
 from textlab.plans.q_eval import RUN_CELLS_SQL, RUNS_SQL, runs
-from textlab.plans.registry import query, table
+from textlab.plans.registry import query, table, text_table
 from textlab.session import scratch_dir
 from textlab.sources import io as IO
 from textlab.functions.text import NA_TOKENS
@@ -17,7 +17,7 @@ from textlab.functions.text import NA_TOKENS
 @query("src_text_lines", """select doc_id, cast(unnest(range(len(parts))) as bigint) line_no, unnest(parts) line
 from (select doc_id, string_split(text, chr(10)) parts from documents)""")
 def q_src_text_lines(spark, sf):
-    return IO.split_lines(table(spark, sf, "documents"), "doc_id", "text")
+    return IO.split_lines(text_table(spark, sf, "documents", ["doc_id", "text"]), "doc_id", "text")
 
 
 _NA_SQL = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
@@ -29,7 +29,7 @@ _NA_SQL = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
 s as (select doc_id, line_no, regexp_replace(line, '^{S.WS}+|{S.WS}+$', '', 'g') line from l)
 select doc_id, line_no, case when line in ({_NA_SQL}) then null else line end line from s where line <> ''""")
 def q_src_labelled_lines(spark, sf):
-    return IO.labelled_lines(IO.split_lines(table(spark, sf, "documents"), "doc_id", "text"))
+    return IO.labelled_lines(IO.split_lines(text_table(spark, sf, "documents", ["doc_id", "text"]), "doc_id", "text"))
 
 
 @query("src_labels", "select doc_id, quality label from labels")

@@ -9,7 +9,7 @@ from textlab.operators import models as MD
 from textlab.operators import sampling as SM
 from textlab.plans import sqlfrag as S
 from textlab.plans.q_sampling import HOLD_SQL, HOLDOUT_N, SEED, SIZES, corpus, hold, part_a
-from textlab.plans.registry import query, table
+from textlab.plans.registry import query, table, text_table
 from textlab.session import scratch_dir
 
 
@@ -74,7 +74,7 @@ u as (select doc_id, text from documents where doc_id not in (select doc_id from
 select doc_id, y_pred from pred""")
 def q_auto_label(spark, sf):
     model = MD.nb_train(corpus(spark, sf), "text", "label")
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = text_table(spark, sf, "documents", ["doc_id", "text"])
     unlabelled = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
     return MD.nb_predict(model, unlabelled, "doc_id", "text").select("doc_id", "y_pred")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textlab.functions import text as T
 from textlab.operators import prep as P
 from textlab.plans import sqlfrag as S
-from textlab.plans.registry import query, table
+from textlab.plans.registry import query, table, text_table
 
 # --- fixed values: recode maps of the fixtures ---
 EVENT_POLARITY = {1: ["purchase"], 0: ["view", "click", "signup"], -1: ["error"]}
@@ -106,7 +106,7 @@ def q_drop_first_group(spark, sf):
 
 def decorated(spark, sf):
     """Tweet-like text: retweet marker, handle, URL, double space, quotes."""
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents", ["doc_id", "lang", "source", "text"])
     return d.select("doc_id", F.concat(F.lit("RT @"), "lang", "source", F.lit(" see https://ex.co/p?d="),
                                        F.col("doc_id").cast("string"), F.lit('  "'), "text", F.lit('"')).alias("x"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textlab.operators import metrics as M
 from textlab.operators import sampling as SM
 from textlab.plans import sqlfrag as S
-from textlab.plans.registry import query, table
+from textlab.plans.registry import query, table, text_table
 
 # --- fixed values: seed and sizes of the replication protocol ---
 SEED = 1234
@@ -19,7 +19,7 @@ SIZES = [50, 100, 200, 500, 1000]
 def corpus(spark, sf):
     """The labelled corpus: (doc_id, label, text)."""
     lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    return lab.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return lab.join(text_table(spark, sf, "documents", ["doc_id", "text"]), "doc_id")
 
 
 def hold(spark, sf):

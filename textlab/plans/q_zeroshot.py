@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textlab.operators.zeroshot import (LEXICON_LABELS, PROMPT_TEMPLATE, answer_loop, map_text,
                                         prompt_column)
-from textlab.plans.registry import query, table
+from textlab.plans.registry import query, table, text_table
 
 # --- fixed values: model codes of the experiment grid and their batch sizes ---
 MODELS = ["ROB-BASE", "ROB-LRG", "DEB-V3", "ELE-LRG", "XLNET-LRG"]
@@ -31,7 +31,7 @@ PROMPT_SQL = (f"{_sql_str(PROMPT_TEMPLATE)} || text || chr(10) || chr(10) || 'La
 @query("prompt_render", f"""with p as (select doc_id, {PROMPT_SQL} prompt from documents)
 select doc_id, md5(prompt) h, cast(length(prompt) as bigint) n from p""")
 def q_prompt_render(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", prompt_column("text").alias("prompt"))
+    d = text_table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", prompt_column("text").alias("prompt"))
     return d.select("doc_id", F.md5("prompt").alias("h"), F.length("prompt").cast("bigint").alias("n"))
 
 
@@ -55,7 +55,7 @@ a as (select doc_id, case when v % 5 = 0 then {['en','de','fr','es']}[(v // 7) %
 select doc_id, answer, cast(list_position({['en','de','fr','es']}, replace(answer, '''', '')) - 1 as int) y_pred,
   cast(attempts as int) attempts from a""")
 def q_answer_parse(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", prompt_column("text").alias("prompt"))
+    d = text_table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", prompt_column("text").alias("prompt"))
     out = answer_loop(d, "prompt", stub_answer, LEXICON_LABELS, max_attempts=3)
     return out.select("doc_id", "answer", "y_pred", "attempts")
 
@@ -71,7 +71,7 @@ def stub_translate(texts: pd.Series) -> pd.Series:
     then (case when length(text) > {MAX_TRANSLATE_CHARS} then '' else 'T:' || text end) else text end) h
 from documents""")
 def q_map_text_fallback(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    d = text_table(spark, sf, "documents", ["doc_id", "lang", "text"])
     out = map_text(d, "text", stub_translate, select=F.col("lang").isin(TRANSLATE_LANGS), fallback="")
     return out.select("doc_id", F.md5("text_out").alias("h"))
 

@@ -25,3 +25,22 @@ def query(key: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, factor: int = 4) -> DataFrame:
+    """Give CPU-heavy per-row text work enough tasks.
+
+    Small or single-row-group files scan as a handful of tasks; per-row
+    regex/tokenising work then runs on a few cores.  When the scan has
+    fewer partitions than ``factor`` x the cluster's parallelism, rows are
+    spread round-robin (deterministic on retry).  Large inputs already
+    scan as many tasks and are left alone, so no shuffle is added at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A table whose rows feed per-row text processing (pruned, then spread)."""
+    df = table(spark, sf_dir, name)
+    return spread(df.select(*columns) if columns else df)
