@@ -177,8 +177,12 @@ def lr_pipeline(text: str = "text", label: str = "label", weight: str | None = "
 
 def lr_fit(train: DataFrame, text: str = "text", label: str = "label", weight: str | None = "w",
            **kw) -> PipelineModel:
-    """Fit on cached input (the learner makes many passes)."""
+    """Fit on cached input (the learner makes many passes; one partition per
+    core keeps per-iteration task overhead low, coalesce adds no shuffle)."""
     data = train.select(text, F.col(label).cast("double").alias(label), *([weight] if weight else []))
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() > cores:
+        data = data.coalesce(cores)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return lr_pipeline(text, label, weight, **kw).fit(data)

@@ -62,6 +62,27 @@ def lexicon_predict(df: DataFrame, text: str = "text", labels=LEXICON_LABELS, le
         out, F.element_at(lab, argmax(F.col("_hits")) + 1)).drop("_hits")
 
 
+def scorer_predict(df: DataFrame, text: str, labels: list[str],
+                   scorer: Callable[[pd.Series, list[str]], "pd.DataFrame | list"], out: str = "y_pred") -> DataFrame:
+    """Pluggable zero-shot scorer: ``scorer(texts, labels)`` returns one score
+    per (text, label) (a frame or list of rows in label order); the best label
+    wins, ties -> first label.  Runs through ``mapInPandas`` on Arrow batches,
+    so a model is loaded once per task, not per row.  Adds ``scores``, ``out``.
+    """
+    schema = T.StructType(list(df.schema.fields) + [T.StructField("scores", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for pdf in batches:
+            sc = scorer(pdf[text], labels) if len(pdf) else []
+            rows = sc.values.tolist() if hasattr(sc, "values") else [list(r) for r in sc]
+            out_pdf = pdf.copy()
+            out_pdf["scores"] = [[float(x) for x in r] for r in rows] if rows else pd.Series([], dtype=object)
+            yield out_pdf
+
+    lab = F.array(*[F.lit(x) for x in labels])
+    return df.mapInPandas(run, schema).withColumn(out, F.element_at(lab, argmax(F.col("scores")) + 1))
+
+
 def label_to_id(col, labels: list[str]) -> Column:
     """Position of the label in the list (the class id); unknown -> NULL."""
     pos = F.array_position(F.array(*[F.lit(x) for x in labels]), col)
@@ -158,4 +179,4 @@ def prompt_column(text: str, labels: list[str] = LEXICON_LABELS, template: str =
 
 
 __all__ = ["LEXICON", "LEXICON_LABELS", "PROMPT_TEMPLATE", "lexicon_tokens", "hits_from_tokens", "with_lexicon_hits", "lexicon_predict",
-           "label_to_id", "answer_loop", "map_text", "prompt_column", "normalise_answer"]
+           "scorer_predict", "label_to_id", "answer_loop", "map_text", "prompt_column", "normalise_answer"]

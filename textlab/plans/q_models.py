@@ -106,7 +106,7 @@ def lr_model(spark, sf):
     if a.isEmpty():  # nothing to learn from (tiny data): no model
         return None
     w = M.class_weights(a, "label")
-    return MD.lr_fit(SM.weight_rows(a, w, "label"), "text", "label", "w", max_iter=30)
+    return MD.lr_fit(SM.weight_rows(a, w, "label"), "text", "label", "w", max_iter=30, num_features=1 << 16)
 
 
 @query("lr_predict")
