@@ -91,3 +91,20 @@ def test_map_text_fallback_and_passthrough(spark):
 
     got = {r.id: r.text_out for r in map_text(df, "t", fn, F.col("lang") == "de").collect()}
     assert got == {1: "OK", 2: "", 3: "keep"}
+
+
+def test_running_agg_matches_plain_window_with_hot_key(spark):
+    from pyspark.sql import Window
+
+    from textlab.operators.windows import running_agg
+    # key 0 holds a third of all rows; order values spread over many blocks
+    df = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"),
+        (F.col("id") * 7 + 3).alias("o"), ((F.col("id") * 13) % 11).alias("v"))
+    w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    for fn, agg in (("sum", F.sum), ("max", F.max)):
+        want = {(r.k, r.o): (r.want, r.tot) for r in df.select(
+            "k", "o", agg("v").over(w).alias("want"), agg("v").over(Window.partitionBy("k")).alias("tot")).collect()}
+        got = {(r.k, r.o): (r.running, r.tot) for r in
+               running_agg(df, ["k"], "o", "v", fn, total="tot", block_bits=6).collect()}
+        assert got == want

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlab.operators.windows import running_agg
+
 # --- fixed values: metric names and the reference's bundle order ---
 METRICS = ["precision", "f1_weighted", "f1_macro", "accuracy", "recall"]
 # Names of the five-line summary, in the order they are written.
@@ -180,11 +182,16 @@ def best_so_far(df: DataFrame, part_cols: list[str], order_col: str, score_col:
 
 
 def log_attempts(df: DataFrame, part_cols: list[str], order_col: str, epoch_col: str) -> DataFrame:
-    """Segment an append-only metric log: a new attempt starts at epoch 0."""
-    w = Window.partitionBy(*part_cols).orderBy(order_col)
-    a = df.withColumn("attempt", F.sum(F.when(F.col(epoch_col) == 0, 1).otherwise(0))
-                      .over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
-    return a.withColumn("is_last", F.col("attempt") == F.max("attempt").over(Window.partitionBy(*part_cols)))
+    """Segment an append-only log: a new attempt starts at each epoch 0.
+
+    attempt = running count of epoch-0 rows (skew-safe running sum, so one
+    huge log / hot key is not one task); is_last = attempt equals the log's
+    total number of attempts.
+    """
+    starts = F.when(F.col(epoch_col) == 0, 1).otherwise(0).cast("bigint")
+    a = running_agg(df, part_cols, order_col, starts, "sum", out="attempt", total="_n_attempts")
+    return a.withColumn("attempt", F.col("attempt").cast("bigint")) \
+            .withColumn("is_last", F.col("attempt") == F.col("_n_attempts")).drop("_n_attempts")
 
 
 def regression_report(df: DataFrame, y: str, yhat: str, group_cols: list[str] = (),
