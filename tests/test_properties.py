@@ -108,3 +108,16 @@ def test_running_agg_matches_plain_window_with_hot_key(spark):
         got = {(r.k, r.o): (r.running, r.tot) for r in
                running_agg(df, ["k"], "o", "v", fn, total="tot", block_bits=6).collect()}
         assert got == want
+
+
+def test_lag_lead_matches_window_across_blocks(spark):
+    from pyspark.sql import Window
+
+    from textlab.operators.windows import lag_lead
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), (F.col("id") * 5).alias("o"),
+                                  F.when(F.col("id") % 17 == 0, None).otherwise(F.col("id").cast("string")).alias("v"))
+    w = Window.partitionBy("k").orderBy("o")
+    want = {(r.k, r.o): (r.p, r.n) for r in df.select("k", "o", F.lag("v").over(w).alias("p"),
+                                                      F.lead("v").over(w).alias("n")).collect()}
+    got = {(r.k, r.o): (r.prev, r.next) for r in lag_lead(df, ["k"], "o", "v", block_bits=5).collect()}
+    assert got == want

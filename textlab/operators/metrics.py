@@ -167,18 +167,13 @@ def select_metric(report: DataFrame, name: str, legacy_default: bool = False) ->
 
 
 def best_so_far(df: DataFrame, part_cols: list[str], order_col: str, score_col: str) -> DataFrame:
-    """Best-checkpoint flag: score >= best of the earlier epochs (later tie wins).
-
-    NULL score (no validation part) gives best NULL and is_best false.
-    One window per run; runs hold tens of epochs, so partitions stay small.
-    """
-    w = Window.partitionBy(*part_cols).orderBy(order_col)
-    prev = F.max(score_col).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    """Best-checkpoint flag: score >= best of the earlier epochs (a later tie
+    wins).  With the inclusive running max m, that is exactly score == m.
+    NULL score (no validation part) gives is_best false.  Skew-safe running
+    max, so one very long log is not one task."""
+    r = running_agg(df, part_cols, order_col, score_col, "max", out="best_score")
     s = F.col(score_col)
-    return df.select(
-        "*",
-        F.max(score_col).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("best_score"),
-        F.when(s.isNull(), F.lit(False)).otherwise(s >= F.coalesce(prev, F.lit(float("-inf")))).alias("is_best"))
+    return r.withColumn("is_best", F.when(s.isNull(), F.lit(False)).otherwise(s == F.col("best_score")))
 
 
 def log_attempts(df: DataFrame, part_cols: list[str], order_col: str, epoch_col: str) -> DataFrame:

@@ -40,3 +40,27 @@ def running_agg(df: DataFrame, part_cols: list[str], order_col: str, value, fn:
     if total:
         j = j.withColumnRenamed("_all", total)
     return j.drop("_v", "_blk", "_prev")
+
+
+def lag_lead(df: DataFrame, part_cols: list[str], order_col: str, value: str, prev: str = "prev",
+             nxt: str = "next", block_bits: int = 16) -> DataFrame:
+    """Previous / next ``value`` in ``order_col`` order within ``part_cols``
+    (order unique per key), without a whole-key window partition.
+
+    lag/lead run inside (key, range block) partitions; the first row of a
+    block takes the last value of the previous non-empty block and the last
+    row the first value of the next one, from a per-block edge table.
+    """
+    base = df.withColumn("_blk", F.shiftright(F.col(order_col).cast("bigint"), block_bits))
+    edges = base.groupBy(*part_cols, "_blk").agg(F.min_by(value, order_col).alias("_fv"),
+                                                 F.max_by(value, order_col).alias("_lv"))
+    bw = Window.partitionBy(*part_cols).orderBy("_blk")
+    edges = edges.select(*part_cols, "_blk", F.lag("_lv").over(bw).alias("_pl"), F.lead("_fv").over(bw).alias("_nf"))
+    inner = Window.partitionBy(*part_cols, "_blk").orderBy(order_col)
+    x = base.select("*", F.lag(value).over(inner).alias("_lag"), F.lead(value).over(inner).alias("_lead"),
+                    F.row_number().over(inner).alias("_rn"),
+                    F.count(F.lit(1)).over(Window.partitionBy(*part_cols, "_blk")).alias("_cnt"))
+    j = x.join(edges, [*part_cols, "_blk"])
+    return j.withColumn(prev, F.when(F.col("_rn") == 1, F.col("_pl")).otherwise(F.col("_lag"))) \
+            .withColumn(nxt, F.when(F.col("_rn") == F.col("_cnt"), F.col("_nf")).otherwise(F.col("_lead"))) \
+            .drop("_blk", "_lag", "_lead", "_rn", "_cnt", "_pl", "_nf")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textlab.functions import text as T
 from textlab.operators import prep as P
+from textlab.operators.windows import lag_lead
 from textlab.plans import sqlfrag as S
 from textlab.plans.registry import query, table, text_table
 
@@ -146,7 +146,7 @@ def q_normalise_ws(spark, sf):
   from conversations window w as (partition by conv_id order by turn))
 select conv_id, turn, md5(x) h, cast(length(x) as bigint) n from s""")
 def q_concat_context(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn")  # one conversation per window partition
-    c = table(spark, sf, "conversations").select(
-        "conv_id", "turn", T.concat_context(F.lag("text").over(w), F.col("text"), F.lead("text").over(w)).alias("x"))
+    conv = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    nb = lag_lead(conv, ["conv_id"], "turn", "text", "before", "after")  # no whole-conversation partition
+    c = nb.select("conv_id", "turn", T.concat_context("before", "text", "after").alias("x"))
     return c.select("conv_id", "turn", F.md5("x").alias("h"), F.length("x").cast("bigint").alias("n"))
