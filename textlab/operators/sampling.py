@@ -26,10 +26,15 @@ MAX_BROADCAST_ROWS = 2_000_000
 
 
 def seeded_rank(df: DataFrame, seed, key: str, by: list[str] = (), bucket_digits: int = 4,
-                out: str = "pos", total: str | None = None) -> DataFrame:
+                out: str = "pos", total: str | None = None, few_groups: bool | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of each row in the seeded permutation
     of its ``by`` group (order: md5(seed:key), then key).  ``total`` names an
-    optional column with the group size."""
+    optional column with the group size.
+
+    The bucket-offset table has at most 16^bucket_digits rows per group; it
+    is broadcast only when the number of groups is known to be small
+    (no ``by``, or ``few_groups=True`` from a caller that checked it, e.g.
+    classes); otherwise the join strategy is left to AQE's runtime sizes."""
     if not 1 <= bucket_digits <= 5:
         raise ValueError("bucket_digits must be in 1..5 (broadcast bound 16^digits rows per group)")
     by = list(by)
@@ -41,7 +46,9 @@ def seeded_rank(df: DataFrame, seed, key: str, by: list[str] = (), bucket_digits
         F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_n").over(Window.partitionBy(*by)).alias("_tot"))
     r = Window.partitionBy(*by, "_b").orderBy("_h", key)
-    ranked = x.join(F.broadcast(offs), [*by, "_b"]).withColumn(
+    if few_groups is None:
+        few_groups = not by
+    ranked = x.join(F.broadcast(offs) if few_groups else offs, [*by, "_b"]).withColumn(
         out, (F.col("_off") + F.row_number().over(r) - 1).cast("bigint"))
     if total:
         ranked = ranked.withColumn(total, F.col("_tot").cast("bigint"))
@@ -128,7 +135,7 @@ def resample(df: DataFrame, seed, key: str, label: str, strategy: str, by: list[
             (F.col("id") % F.lit(target)).alias("i"))
         draws = d if draws is None else draws.unionByName(d)
         cls_rows += [(*g, j, m[label], m["n"]) for j, m in enumerate(members)]
-    ranked = seeded_rank(df, seed, key, by=[*by, label])
+    ranked = seeded_rank(df, seed, key, by=[*by, label], few_groups=True)  # groups = checked class table
     if draws is None:  # empty input
         return ranked.withColumn("i", F.lit(None).cast("bigint")).where(F.lit(False)).drop("pos")
     fields = [T.StructField(c, df.schema[c].dataType) for c in by]
@@ -157,5 +164,6 @@ def subset_sizes(df: DataFrame, seed, key: str, sizes: list[int]) -> DataFrame:
 
 
 def weight_rows(df: DataFrame, weights: DataFrame, label: str) -> DataFrame:
-    """Attach the class weight to every row (broadcast: one row per class)."""
-    return df.join(F.broadcast(weights.select(label, "w")), label, "left")
+    """Attach the class weight to every row.  The weight table has one row
+    per class; AQE broadcasts it from its measured size (no blind hint)."""
+    return df.join(weights.select(label, "w"), label, "left")
