@@ -13,12 +13,12 @@ from textlab.plans.registry import query, table, text_table
 from textlab.session import scratch_dir
 
 
-def nb_model(spark, sf):
-    return MD.nb_train(part_a(spark, sf), "text", "label")
+def nb_model(spark, sf, held=None):
+    return MD.nb_train(part_a(spark, sf, held), "text", "label")
 
 
-def part_b(spark, sf):
-    return hold(spark, sf).select("doc_id", "label", "text")
+def part_b(spark, sf, held=None):
+    return (held if held is not None else hold(spark, sf)).select("doc_id", "label", "text")
 
 
 def nb_sql(train: str, score: str, mc: list[str] = ()) -> str:
@@ -65,7 +65,8 @@ b as (select h.doc_id, c.text from hold h join corpus c using (doc_id)),
 {nb_sql('a', 'b')}
 select doc_id, y_pred from pred""")
 def q_nb_predict(spark, sf):
-    return MD.nb_predict(nb_model(spark, sf), part_b(spark, sf), "doc_id", "text").select("doc_id", "y_pred")
+    held = hold(spark, sf, reuse=True)
+    return MD.nb_predict(nb_model(spark, sf, held), part_b(spark, sf, held), "doc_id", "text").select("doc_id", "y_pred")
 
 
 @query("auto_label", f"""with corpus as (select l.doc_id, l.quality label, d.text from labels l join documents d using (doc_id)),
@@ -93,16 +94,17 @@ b as (select cast(s.n_train as bigint) n_train, h.doc_id, c.text, c.label y_true
 cells as (select b.n_train, b.y_true, p.y_pred, count(*) n from b join pred p using (n_train, doc_id) group by all)
 select * from {S.report('cells', ['n_train'])}""")
 def q_learning_curve(spark, sf):
-    sub = SM.subset_sizes(part_a(spark, sf), SEED, "doc_id", SIZES)
+    held = hold(spark, sf, reuse=True)
+    sub = SM.subset_sizes(part_a(spark, sf, held), SEED, "doc_id", SIZES)
     model = MD.nb_train(sub, "text", "label", model_cols=["n_train"])
-    b = part_b(spark, sf)
+    b = part_b(spark, sf, held)
     pred = MD.nb_predict(model, b, "doc_id", "text", model_values=[(s,) for s in SIZES])
     j = pred.join(b.select("doc_id", F.col("label").alias("y_true")), "doc_id")
     return M.classification_report(j, ["n_train"], "y_true", "y_pred")
 
 
-def lr_model(spark, sf):
-    a = part_a(spark, sf)
+def lr_model(spark, sf, held=None):
+    a = part_a(spark, sf, held)
     if a.isEmpty():  # nothing to learn from (tiny data): no model
         return None
     w = M.class_weights(a, "label")
@@ -111,8 +113,9 @@ def lr_model(spark, sf):
 
 @query("lr_predict")
 def q_lr_predict(spark, sf):
-    model = lr_model(spark, sf)
-    b = part_b(spark, sf)
+    held = hold(spark, sf, reuse=True)
+    model = lr_model(spark, sf, held)
+    b = part_b(spark, sf, held)
     if model is None:
         return b.where(F.lit(False)).select("doc_id", F.lit(None).cast("int").alias("y_pred"))
     return MD.lr_predict(model, b, "doc_id")
@@ -121,13 +124,14 @@ def q_lr_predict(spark, sf):
 @query("model_roundtrip")
 def q_model_roundtrip(spark, sf):
     """Save and reload the fitted pipeline; predictions must be identical."""
-    model = lr_model(spark, sf)
+    held = hold(spark, sf, reuse=True)
+    model = lr_model(spark, sf, held)
     if model is None:
         return spark.range(1).select(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("n_equal"))
     path = scratch_dir(spark, "model")
     MD.save_model(model, path)
     again = MD.load_model(path)
-    b = part_b(spark, sf)
+    b = part_b(spark, sf, held)
     p1 = MD.lr_predict(model, b, "doc_id", "p1")
     p2 = MD.lr_predict(again, b, "doc_id", "p2")
     j = p1.join(p2, "doc_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from textlab.operators import metrics as M
@@ -22,12 +23,16 @@ def corpus(spark, sf):
     return lab.join(text_table(spark, sf, "documents", ["doc_id", "text"]), "doc_id")
 
 
-def hold(spark, sf):
-    return SM.holdout(corpus(spark, sf), SEED, "doc_id", HOLDOUT_N)
+def hold(spark, sf, reuse: bool = False):
+    """The N-row hold-out; ``reuse`` persists it (N rows, a parameter bound)
+    when a query reads it several times."""
+    h = SM.holdout(corpus(spark, sf), SEED, "doc_id", HOLDOUT_N)
+    return h.persist(StorageLevel.MEMORY_AND_DISK) if reuse else h
 
 
-def part_a(spark, sf):
-    return SM.complement(corpus(spark, sf), hold(spark, sf), "doc_id", HOLDOUT_N)
+def part_a(spark, sf, held=None):
+    held = held if held is not None else hold(spark, sf)
+    return SM.complement(corpus(spark, sf), held, "doc_id", HOLDOUT_N)
 
 
 H = S.hkey(str(SEED), "doc_id")

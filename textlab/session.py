@@ -59,6 +59,15 @@ def scratch_dir(spark: SparkSession, tag: str = "tmp") -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint dir (never local)."""
+    """Reliable checkpoint into the shared checkpoint dir (never local).
+
+    The input is persisted first so the checkpoint write does not recompute
+    it (a reliable RDD checkpoint otherwise evaluates its lineage twice).
+    """
+    from pyspark import StorageLevel
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
