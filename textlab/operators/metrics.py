@@ -218,8 +218,8 @@ def class_weights(train: DataFrame, label: str, classes: DataFrame | None = None
     in train, else the query fails (the reference raised as well).
     """
     counts = train.groupBy(label).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    cls = (classes if classes is not None else train).select(label).distinct()
-    j = cls.join(counts, label, "left")
+    # classes default to train's own: no second scan, no join
+    j = counts if classes is None else classes.select(label).distinct().join(counts, label, "left")
     w = Window.partitionBy()  # k rows
     k = F.count(F.lit(1)).over(w)
     total = F.sum("n").over(w)

@@ -72,6 +72,13 @@ def holdout(df: DataFrame, seed, key: str, n: int, out: str = "pos") -> DataFram
     return top.withColumn(out, (F.row_number().over(w) - 1).cast("bigint")).drop("_h")
 
 
+def holdout_keys(df: DataFrame, seed, key: str, n: int) -> DataFrame:
+    """Only the keys of ``holdout`` (what a complement needs): the top-n
+    carries one column, not whole rows."""
+    h = df.select(key).withColumn("_h", hash_key(seed, F.col(key)))
+    return h.orderBy("_h", key).limit(n).select(key)
+
+
 def complement(df: DataFrame, taken: DataFrame, key: str, taken_rows: int | None = None) -> DataFrame:
     """Rows of ``df`` whose key is not in ``taken`` (left anti join).
 

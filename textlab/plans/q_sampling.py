@@ -9,6 +9,7 @@ from textlab.operators import metrics as M
 from textlab.operators import sampling as SM
 from textlab.plans import sqlfrag as S
 from textlab.plans.registry import query, table, text_table
+from textlab.session import cut_lineage
 
 # --- fixed values: seed and sizes of the replication protocol ---
 SEED = 1234
@@ -31,8 +32,8 @@ def hold(spark, sf, reuse: bool = False):
 
 
 def part_a(spark, sf, held=None):
-    held = held if held is not None else hold(spark, sf)
-    return SM.complement(corpus(spark, sf), held, "doc_id", HOLDOUT_N)
+    taken = held if held is not None else SM.holdout_keys(corpus(spark, sf), SEED, "doc_id", HOLDOUT_N)
+    return SM.complement(corpus(spark, sf), taken, "doc_id", HOLDOUT_N)
 
 
 H = S.hkey(str(SEED), "doc_id")
@@ -45,7 +46,7 @@ a as (select doc_id, label, text from corpus where doc_id not in (select doc_id
 
 @query("shuffle", f"""with {HOLD_SQL} select doc_id, pos from ranked""")
 def q_shuffle(spark, sf):
-    return SM.seeded_rank(corpus(spark, sf), SEED, "doc_id").select("doc_id", "pos")
+    return SM.seeded_rank(corpus(spark, sf).select("doc_id"), SEED, "doc_id").select("doc_id", "pos")
 
 
 @query("holdout", f"with {HOLD_SQL} select doc_id, pos from hold")
@@ -66,7 +67,8 @@ split as (select doc_id, label,
 
 @query("split_train_val", f"with {SPLIT_SQL} select doc_id, split from split")
 def q_split_train_val(spark, sf):
-    return SM.split_train_val(part_a(spark, sf), SEED, "doc_id", TRAIN_FRAC).select("doc_id", "split")
+    a = part_a(spark, sf).select("doc_id")  # project before the rank: ids only through the shuffles
+    return SM.split_train_val(a, SEED, "doc_id", TRAIN_FRAC).select("doc_id", "split")
 
 
 def resample_sql(agg: str, src: str, by: list[str]) -> str:
@@ -84,17 +86,20 @@ select {g}dd.label, dd.i, r.doc_id from dd join r using ({g}label, pos)"""
 
 @query("resample_up", f"with {CORPUS_SQL}, {resample_sql('max', 'corpus', [])}")
 def q_resample_up(spark, sf):
-    return SM.resample(corpus(spark, sf), SEED, "doc_id", "label", "upsampling").select("label", "i", "doc_id")
+    c = corpus(spark, sf).select("doc_id", "label")
+    return SM.resample(c, SEED, "doc_id", "label", "upsampling").select("label", "i", "doc_id")
 
 
 @query("resample_under", f"with {CORPUS_SQL}, {resample_sql('min', 'corpus', [])}")
 def q_resample_under(spark, sf):
-    return SM.resample(corpus(spark, sf), SEED, "doc_id", "label", "undersampling").select("label", "i", "doc_id")
+    c = corpus(spark, sf).select("doc_id", "label")
+    return SM.resample(c, SEED, "doc_id", "label", "undersampling").select("label", "i", "doc_id")
 
 
 @query("resample_split", f"with {SPLIT_SQL}, {resample_sql('max', 'split', ['split'])}")
 def q_resample_split(spark, sf):
-    sp = SM.split_train_val(part_a(spark, sf), SEED, "doc_id", TRAIN_FRAC)
+    sp = SM.split_train_val(part_a(spark, sf).select("doc_id", "label"), SEED, "doc_id", TRAIN_FRAC)
+    sp = cut_lineage(sp)  # read three times by the resampler: compute the split once
     return SM.resample(sp, SEED, "doc_id", "label", "upsampling", by=["split"]).select("split", "label", "i", "doc_id")
 
 
@@ -107,7 +112,7 @@ j as (select i, doc_id from dd join r using (pos))
 select cast(s.n_train as bigint) n_train, j.i, j.doc_id
 from j, (values {', '.join(f'({x})' for x in SIZES)}) s(n_train) where j.i < s.n_train""")
 def q_subset_sizes(spark, sf):
-    return SM.subset_sizes(part_a(spark, sf), SEED, "doc_id", SIZES).select("n_train", "i", "doc_id")
+    return SM.subset_sizes(part_a(spark, sf).select("doc_id"), SEED, "doc_id", SIZES).select("n_train", "i", "doc_id")
 
 
 @query("loss_weight", f"""with {CORPUS_SQL},
