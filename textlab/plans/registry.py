@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textlab.session import ship_package
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +19,13 @@ def query(key: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if key in QUERIES:
             raise KeyError(f"duplicate query key {key}")
-        QUERIES[key] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str, *args, **kw) -> DataFrame:
+            ship_package(spark)  # Python workers must be able to import textlab
+            return fn(spark, sf_dir, *args, **kw)
+
+        QUERIES[key] = run
         if sql is not None:
             ORACLES[key] = sql
         return fn

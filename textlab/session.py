@@ -71,3 +71,34 @@ def cut_lineage(df):
         return df.checkpoint(eager=True)
     finally:
         df.unpersist()
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``textlab`` importable in Python workers (once per application).
+
+    Functions handed to ``mapInPandas`` reference textlab modules; workers
+    started from another directory could not import them.  The package's
+    .py files are zipped (a small code artefact on the driver) and shipped
+    with ``addPyFile``, like ``--py-files``.
+    """
+    import zipfile
+
+    import textlab
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(textlab.__file__))
+    fd, path = tempfile.mkstemp(prefix="textlab-code-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
