@@ -116,3 +116,21 @@ def test_drop_first_group_variants(spark):
     df = spark.createDataFrame([("", 0), ("b", 1), ("a", 1)], "text string, y int")
     assert sorted(r.text for r in P.drop_first_group(df, ["text"]).collect()) == ["a", "b"]
     assert sorted(r.text for r in P.drop_first_group(df, ["text"], positional=False, text_col="text").collect()) == ["a", "b"]
+
+
+def test_handle_fixpoint_matches_python_re(spark):
+    import random
+    import re
+    rng = random.Random(7)
+    alphabet = ["@", "@", "a", "b", "ü", "_", "1", " ", ".", "é"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts.append("@" * 3000 + "abc")  # many '@': cost stays bounded by passes actually needed
+
+    def py(x):
+        while re.search(r"@\w{2,15}", x):
+            x = re.sub(r"@\w{2,15}", "", x)
+        return x
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    got = {r.i: r.y for r in df.select("i", T.remove_handles("x").alias("y")).collect()}
+    assert got == {i: py(t) for i, t in enumerate(texts)}

@@ -46,15 +46,21 @@ def remove_handles(col) -> Column:
     """Remove ``@handle`` repeatedly until none is left (fixpoint).
 
     Every effective pass removes at least one ``@``, so the number of ``@``
-    in the text bounds the passes; a pass only runs while a handle exists.
+    in the text bounds the passes.  The fold carries a ``done`` flag: once a
+    pass finds no handle, the remaining steps are O(1), so the cost is
+    (passes actually needed + 1) scans of the text, not one per ``@``.
     """
     c = _c(col)
     n_at = F.length(c) - F.length(F.replace(c, F.lit("@"), F.lit("")))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), n_at)),
-        c,
-        lambda acc, _: F.when(acc.rlike(HANDLE), F.regexp_replace(acc, HANDLE, "")).otherwise(acc),
-    )
+
+    def step(acc, _):
+        t = acc["t"]
+        return F.when(acc["done"], acc).otherwise(
+            F.when(t.rlike(HANDLE), F.struct(F.regexp_replace(t, HANDLE, "").alias("t"), F.lit(False).alias("done")))
+            .otherwise(F.struct(t.alias("t"), F.lit(True).alias("done"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n_at)),
+                       F.struct(c.alias("t"), F.lit(False).alias("done")), step, lambda acc: acc["t"])
 
 
 def clean_tweet(col) -> Column:
