@@ -116,3 +116,17 @@ def q_sink_overwrite_seed(spark, sf):
     IO.write_partitioned(rerun, path, ["run_id", "seed"], mode="overwrite")
     back = spark.read.parquet(path)
     return back.select("run_id", F.col("seed").cast("int").alias("seed"), "doc_id", "y_pred")
+
+
+@query("sink_publish", f"""with {RUNS_SQL}
+select run_id, seed, doc_id, case when run_id = 'quality' then y_true else y_pred end y_pred from runs""")
+def q_sink_publish(spark, sf):
+    """Final dataset holds every run; a new 'quality' run is staged, then published."""
+    final, staged = scratch_dir(spark, "published"), scratch_dir(spark, "staged")
+    r = runs(spark, sf)
+    IO.write_partitioned(r.select("doc_id", "y_pred", "run_id", "seed"), final, ["run_id", "seed"], mode="overwrite")
+    rerun = r.where(F.col("run_id") == "quality").select("doc_id", F.col("y_true").alias("y_pred"), "run_id", "seed")
+    IO.write_partitioned(rerun, staged, ["run_id", "seed"], mode="overwrite")
+    IO.publish(spark, staged, final, ["run_id", "seed"])
+    back = spark.read.parquet(final)
+    return back.select("run_id", F.col("seed").cast("int").alias("seed"), "doc_id", "y_pred")

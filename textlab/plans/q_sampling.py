@@ -123,3 +123,18 @@ def q_loss_weight(spark, sf):
     c = corpus(spark, sf).select("doc_id", "label")
     w = M.class_weights(c, "label")
     return SM.weight_rows(c, w, "label").select("doc_id", "label", F.round("w", 6).alias("w"))
+
+
+@query("sink_holdout", f"""with {HOLD_SQL}
+select doc_id, label, case when doc_id in (select doc_id from hold) then 'B' else 'A' end split from corpus""")
+def q_sink_holdout(spark, sf):
+    """Persist the labelled corpus with its A/B split beside the run, partitioned by split."""
+    from textlab.session import scratch_dir
+    from textlab.sources import io as IO
+    c = corpus(spark, sf).select("doc_id", "label")
+    keys = SM.holdout_keys(c, SEED, "doc_id", HOLDOUT_N).withColumn("_b", F.lit(True))
+    tagged = c.join(F.broadcast(keys), "doc_id", "left").select(  # N keys: parameter bound
+        "doc_id", "label", F.when(F.col("_b"), F.lit("B")).otherwise(F.lit("A")).alias("split"))
+    path = scratch_dir(spark, "split")
+    IO.write_partitioned(tagged, path, ["split"], mode="overwrite")
+    return spark.read.parquet(path).select("doc_id", "label", "split")

@@ -141,3 +141,13 @@ def format_fixed(col, digits: int = 6) -> Column:
     """``%f``-style fixed notation of a number (the prediction file format)."""
     c = F.col(col) if isinstance(col, str) else col
     return F.format_string(f"%.{digits}f", c.cast("double"))
+
+
+def publish(spark: SparkSession, staged_path: str, final_path: str, partition_cols: list[str],
+            fmt: str = "parquet") -> None:
+    """Publish staged run outputs: insert the staged rows into the final
+    dataset, replacing only the partitions they cover (dynamic overwrite).
+    Files are never renamed or moved, which object stores cannot do
+    atomically; the staging data stays until the caller drops it."""
+    staged = spark.read.format(fmt).load(staged_path)
+    write_partitioned(staged, final_path, partition_cols, mode="overwrite", fmt=fmt)
