@@ -5,7 +5,6 @@ baselines (FIXTURES.md F3)."""
 import itertools
 
 import pytest
-from pyspark.sql import functions as F
 
 from textlab.operators import metrics as M
 

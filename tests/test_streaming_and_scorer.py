@@ -4,7 +4,6 @@ import os
 import shutil
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from textlab.operators.zeroshot import lexicon_predict, scorer_predict
 from textlab.streaming import score_stream

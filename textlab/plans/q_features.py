@@ -10,7 +10,7 @@ from textlab.operators import features as FE
 from textlab.operators import metrics as M
 from textlab.operators.zeroshot import LEXICON, with_lexicon_hits
 from textlab.plans import sqlfrag as S
-from textlab.plans.registry import query, table, text_table
+from textlab.plans.registry import query, text_table
 
 # --- fixed values: encoder length of the fixtures ---
 MAX_LEN = 128

@@ -8,7 +8,7 @@ from textlab.operators import metrics as M
 from textlab.operators import models as MD
 from textlab.operators import sampling as SM
 from textlab.plans import sqlfrag as S
-from textlab.plans.q_sampling import HOLD_SQL, HOLDOUT_N, SEED, SIZES, corpus, hold, part_a
+from textlab.plans.q_sampling import HOLD_SQL, SEED, SIZES, corpus, hold, part_a
 from textlab.plans.registry import query, table, text_table
 from textlab.session import scratch_dir
 

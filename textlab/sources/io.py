@@ -56,8 +56,14 @@ def with_position(df: DataFrame, out: str = "pos") -> DataFrame:
 
 
 def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Unlabelled reader: (pos, line) of one text file, lines kept as they are."""
-    return with_position(spark.read.option("lineSep", "\n").text(path).withColumnRenamed("value", "line"))
+    """Unlabelled reader: (pos, line) of one text file, lines kept as they are.
+
+    Positions are only defined within one file (Spark orders the splits of
+    several files by size, not name), so a multi-file path is rejected."""
+    df = spark.read.option("lineSep", "\n").text(path)
+    if len(df.inputFiles()) > 1:
+        raise ValueError(f"positional reader needs a single file, got {len(df.inputFiles())} under {path}")
+    return with_position(df.withColumnRenamed("value", "line"))
 
 
 def read_labelled_lines(spark: SparkSession, path: str) -> DataFrame:
