@@ -121,3 +121,18 @@ def test_lag_lead_matches_window_across_blocks(spark):
                                                       F.lead("v").over(w).alias("n")).collect()}
     got = {(r.k, r.o): (r.prev, r.next) for r in lag_lead(df, ["k"], "o", "v", block_bits=5).collect()}
     assert got == want
+
+
+def test_nb_many_models_equal_separate_models(spark):
+    from textlab.operators import models as MD
+    rows = [("m", True, 1, "good fine great", 1), ("m", True, 1, "bad awful", 0), ("m", True, 1, "great good", 1),
+            ("m", False, 2, "bad bad", 0), ("m", False, 2, "fine", 1), ("m", False, 2, "awful great", 0)]
+    df = spark.createDataFrame(rows, "s string, b boolean, i int, text string, label int")
+    docs = spark.createDataFrame([(1, "good great"), (2, "awful bad"), (3, "unknown words")], "id int, text string")
+    multi = MD.nb_train(df, "text", "label", model_cols=["s", "b", "i"])
+    got = {(r.b, r.id): (r.y_pred, [round(x, 9) for x in r.scores]) for r in
+           MD.nb_predict(multi, docs, "id", "text", model_values=[("m", True, 1), ("m", False, 2)]).collect()}
+    for b in (True, False):
+        single = MD.nb_train(df.where(F.col("b") == b), "text", "label")
+        for r in MD.nb_predict(single, docs, "id", "text").collect():
+            assert got[(b, r.id)] == (r.y_pred, [round(x, 9) for x in r.scores])

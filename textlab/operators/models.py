@@ -48,7 +48,8 @@ def _key(cols: list) -> Column:
 
 
 def _key_str(values) -> str:
-    return "\x1f".join(str(v) for v in values)
+    """Python twin of ``_key`` (Spark's string cast: booleans are lower case)."""
+    return "\x1f".join(("true" if v else "false") if isinstance(v, bool) else str(v) for v in values)
 
 
 def nb_train(df: DataFrame, text: str, label: str, model_cols: list[str] = (), alpha: float = 1.0) -> NBModel:

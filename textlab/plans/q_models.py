@@ -86,21 +86,32 @@ d as (select unnest(range({max(SIZES)})) i),
 dd as (select i, {S.draw(str(SEED), "'size'", 'i')} % greatest(n, 1) pos from d, n where n > 0),
 r as (select doc_id, label, text, row_number() over (order by {S.hkey(str(SEED), 'doc_id')}, doc_id) - 1 pos from a),
 j as (select i, label, text from dd join r using (pos)),
-tr as (select cast(s.n_train as bigint) n_train, j.label, j.text
-       from j, (values {', '.join(f'({x})' for x in SIZES)}) s(n_train) where j.i < s.n_train),
-b as (select cast(s.n_train as bigint) n_train, h.doc_id, c.text, c.label y_true
-      from hold h join corpus c using (doc_id), (values {', '.join(f'({x})' for x in SIZES)}) s(n_train)),
-{nb_sql('tr', 'b', ['n_train'])},
-cells as (select b.n_train, b.y_true, p.y_pred, count(*) n from b join pred p using (n_train, doc_id) group by all)
-select * from {S.report('cells', ['n_train'])}""")
+tr as (select cast(s.n_train as bigint) n_train, false "full", j.label, j.text
+       from j, (values {', '.join(f'({x})' for x in SIZES)}) s(n_train) where j.i < s.n_train
+       union all
+       select (select n from n), true, label, text from a),
+models as (select distinct n_train, "full" from tr),
+b as (select m.n_train, m."full", h.doc_id, c.text, c.label y_true
+      from hold h join corpus c using (doc_id), models m),
+{nb_sql('tr', 'b', ['n_train', '"full"'])},
+cells as (select b.n_train, b."full", b.y_true, p.y_pred, count(*) n from b join pred p using (n_train, "full", doc_id)
+          group by all)
+select * from {S.report('cells', ['n_train', '"full"'])}""")
 def q_learning_curve(spark, sf):
+    """Metric by training size: seeded draws with replacement for each size,
+    plus the whole training part as the 'full' anchor; all models train and
+    score in the same jobs (model key = n_train, full)."""
     held = hold(spark, sf, reuse=True)
-    sub = SM.subset_sizes(part_a(spark, sf, held), SEED, "doc_id", SIZES)
-    model = MD.nb_train(sub, "text", "label", model_cols=["n_train"])
+    a = part_a(spark, sf, held)
+    n_a = a.count()
+    sub = SM.subset_sizes(a, SEED, "doc_id", SIZES).select("n_train", F.lit(False).alias("full"), "label", "text")
+    full = a.select(F.lit(n_a).cast("bigint").alias("n_train"), F.lit(True).alias("full"), "label", "text")
+    model = MD.nb_train(sub.unionByName(full), "text", "label", model_cols=["n_train", "full"])
     b = part_b(spark, sf, held)
-    pred = MD.nb_predict(model, b, "doc_id", "text", model_values=[(s,) for s in SIZES])
+    values = [(s, False) for s in SIZES] + ([(n_a, True)] if n_a else [])
+    pred = MD.nb_predict(model, b, "doc_id", "text", model_values=values)
     j = pred.join(b.select("doc_id", F.col("label").alias("y_true")), "doc_id")
-    return M.classification_report(j, ["n_train"], "y_true", "y_pred")
+    return M.classification_report(j, ["n_train", "full"], "y_true", "y_pred")
 
 
 def lr_model(spark, sf, held=None):
