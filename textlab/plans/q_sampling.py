@@ -24,15 +24,25 @@ def corpus(spark, sf):
     return lab.join(text_table(spark, sf, "documents", ["doc_id", "text"]), "doc_id")
 
 
+def corpus_ids(spark, sf):
+    """The labelled corpus without its text: (doc_id, label)."""
+    lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return lab.join(table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
 def hold(spark, sf, reuse: bool = False):
-    """The N-row hold-out; ``reuse`` persists it (N rows, a parameter bound)
-    when a query reads it several times."""
-    h = SM.holdout(corpus(spark, sf), SEED, "doc_id", HOLDOUT_N)
+    """The N-row hold-out (doc_id, label, text, pos).  The N keys are chosen
+    on the id-only corpus; their texts are then fetched by a broadcast join
+    of those N rows (a parameter bound) against the documents, so no text is
+    shuffled.  ``reuse`` persists the N rows for queries that read them twice."""
+    keys = SM.holdout(corpus_ids(spark, sf), SEED, "doc_id", HOLDOUT_N)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    h = docs.join(F.broadcast(keys), "doc_id").select("doc_id", "label", "text", "pos")
     return h.persist(StorageLevel.MEMORY_AND_DISK) if reuse else h
 
 
 def part_a(spark, sf, held=None):
-    taken = held if held is not None else SM.holdout_keys(corpus(spark, sf), SEED, "doc_id", HOLDOUT_N)
+    taken = held if held is not None else SM.holdout_keys(corpus_ids(spark, sf), SEED, "doc_id", HOLDOUT_N)
     return SM.complement(corpus(spark, sf), taken, "doc_id", HOLDOUT_N)
 
 
@@ -46,7 +56,7 @@ a as (select doc_id, label, text from corpus where doc_id not in (select doc_id
 
 @query("shuffle", f"""with {HOLD_SQL} select doc_id, pos from ranked""")
 def q_shuffle(spark, sf):
-    return SM.seeded_rank(corpus(spark, sf).select("doc_id"), SEED, "doc_id").select("doc_id", "pos")
+    return SM.seeded_rank(corpus_ids(spark, sf).select("doc_id"), SEED, "doc_id").select("doc_id", "pos")
 
 
 @query("holdout", f"with {HOLD_SQL} select doc_id, pos from hold")
@@ -86,13 +96,13 @@ select {g}dd.label, dd.i, r.doc_id from dd join r using ({g}label, pos)"""
 
 @query("resample_up", f"with {CORPUS_SQL}, {resample_sql('max', 'corpus', [])}")
 def q_resample_up(spark, sf):
-    c = corpus(spark, sf).select("doc_id", "label")
+    c = corpus_ids(spark, sf)
     return SM.resample(c, SEED, "doc_id", "label", "upsampling").select("label", "i", "doc_id")
 
 
 @query("resample_under", f"with {CORPUS_SQL}, {resample_sql('min', 'corpus', [])}")
 def q_resample_under(spark, sf):
-    c = corpus(spark, sf).select("doc_id", "label")
+    c = corpus_ids(spark, sf)
     return SM.resample(c, SEED, "doc_id", "label", "undersampling").select("label", "i", "doc_id")
 
 
@@ -120,7 +130,7 @@ c as (select label, count(*) n from corpus group by all),
 w as (select label, cast(sum(n) over () as double) / (count(*) over () * n) w from c)
 select doc_id, label, round(w, 6) w from corpus join w using (label)""")
 def q_loss_weight(spark, sf):
-    c = corpus(spark, sf).select("doc_id", "label")
+    c = corpus_ids(spark, sf)
     w = M.class_weights(c, "label")
     return SM.weight_rows(c, w, "label").select("doc_id", "label", F.round("w", 6).alias("w"))
 
@@ -131,7 +141,7 @@ def q_sink_holdout(spark, sf):
     """Persist the labelled corpus with its A/B split beside the run, partitioned by split."""
     from textlab.session import scratch_dir
     from textlab.sources import io as IO
-    c = corpus(spark, sf).select("doc_id", "label")
+    c = corpus_ids(spark, sf)
     keys = SM.holdout_keys(c, SEED, "doc_id", HOLDOUT_N).withColumn("_b", F.lit(True))
     tagged = c.join(F.broadcast(keys), "doc_id", "left").select(  # N keys: parameter bound
         "doc_id", "label", F.when(F.col("_b"), F.lit("B")).otherwise(F.lit("A")).alias("split"))
