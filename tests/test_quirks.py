@@ -134,3 +134,18 @@ def test_handle_fixpoint_matches_python_re(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
     got = {r.i: r.y for r in df.select("i", T.remove_handles("x").alias("y")).collect()}
     assert got == {i: py(t) for i, t in enumerate(texts)}
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_root):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    d = IO.save_bucketed(docs, "bk_documents", "doc_id", 8, os.path.join(tmp_root, "bk_documents"))
+    lab = IO.save_bucketed(labels, "bk_labels", "doc_id", 8, os.path.join(tmp_root, "bk_labels"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = d.join(lab, "doc_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == labels.join(docs, "doc_id").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -157,3 +157,15 @@ def publish(spark: SparkSession, staged_path: str, final_path: str, partition_co
     atomically; the staging data stays until the caller drops it."""
     staged = spark.read.format(fmt).load(staged_path)
     write_partitioned(staged, final_path, partition_cols, mode="overwrite", fmt=fmt)
+
+
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str) -> DataFrame:
+    """Store ``df`` as an external table bucketed and sorted by ``key``.
+
+    Tables bucketed the same way (same key, same bucket count) join and
+    group by ``key`` without an exchange: the text of 100 TB corpora is then
+    written once instead of shuffled by every run.  ``path`` should be in
+    the shared storage (e.g. under the checkpoint root)."""
+    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+       .option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
