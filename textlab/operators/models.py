@@ -163,7 +163,7 @@ def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, model_value
     return res.select(*mc, key, "scores", F.element_at(lab, argmax(F.col("scores")) + 1).alias(out))
 
 
-def lr_pipeline(text: str = "text", label: str = "label", weight: str | None = "w",
+def lr_estimator(text: str = "text", label: str = "label", weight: str | None = "w",
                 num_features: int = 1 << 18, max_iter: int = 50, reg: float = 0.0) -> Pipeline:
     """Tokenizer -> hashing TF -> IDF -> (weighted) logistic regression."""
     tok = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TOKEN_SPLIT, toLowercase=True)
@@ -186,7 +186,7 @@ def lr_fit(train: DataFrame, text: str = "text", label: str = "label", weight: s
         data = data.coalesce(cores)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return lr_pipeline(text, label, weight, **kw).fit(data)
+        return lr_estimator(text, label, weight, **kw).fit(data)
     finally:
         data.unpersist()
 
