@@ -136,3 +136,15 @@ def test_nb_many_models_equal_separate_models(spark):
         single = MD.nb_train(df.where(F.col("b") == b), "text", "label")
         for r in MD.nb_predict(single, docs, "id", "text").collect():
             assert got[(b, r.id)] == (r.y_pred, [round(x, 9) for x in r.scores])
+
+
+def test_nb_salted_join_equals_unsalted_with_hot_token(spark):
+    from textlab.operators import models as MD
+    # "the" is a third of all training tokens and in every document to score
+    train = spark.createDataFrame([(i, f"the w{i % 7} x{i % 3}", i % 2) for i in range(300)], "id int, text string, label int")
+    docs = spark.createDataFrame([(i, f"the x{i % 3} w{i % 5}") for i in range(500)], "id int, text string")
+    m = MD.nb_train(train, "text", "label")
+    assert "the" in MD.hot_tokens(m)
+    a = {r.id: r.y_pred for r in MD.nb_predict(m, docs, "id", "text", salts=16).collect()}
+    b = {r.id: r.y_pred for r in MD.nb_predict(m, docs, "id", "text", salts=1).collect()}
+    assert a == b and len(a) == 500

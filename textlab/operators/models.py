@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.functions.arrays import argmax
@@ -101,8 +101,20 @@ def nb_train(df: DataFrame, text: str, label: str, model_cols: list[str] = (), a
     return NBModel(classes, mc, tok, rows, alpha)
 
 
+def hot_tokens(model: NBModel, share: float | None = None) -> list[str]:
+    """Tokens holding at least ``share`` of the training token occurrences
+    (default 1 / (4 x parallelism)); there are at most 1/share of them."""
+    sc = model.token_table.sparkSession.sparkContext
+    share = share or 1.0 / (4 * max(sc.defaultParallelism, 16))
+    t = model.token_table.groupBy("token").agg(F.sum("n").alias("c"))
+    total = F.sum("c").over(Window.partitionBy())
+    rows = t.select("token", (F.col("c") / total).alias("f")).where(F.col("f") >= share) \
+        .limit(int(1 / share) + 1).collect()
+    return sorted(r["token"] for r in rows)
+
+
 def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, model_values: list[tuple] | None = None,
-               out: str = "y_pred") -> DataFrame:
+               out: str = "y_pred", salts: int = 32) -> DataFrame:
     """Arg-max class per (model, document); ties -> first class in order.
 
     score_c = log_prior_c + N_d * log_default_c + sum_t n_dt (logp_tc - log_default_c),
@@ -148,7 +160,14 @@ def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, model_value
         grid = F.explode(F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(mc, mv)])
                                    for mv in model_values]))
         dt = dt.select("*", grid.alias("_mv")).select(key, "token", "n", *[F.col(f"_mv.{c}").alias(c) for c in mc])
-    j = dt.join(vocab, [*mc, "token"], "left")  # (doc, token) pre-aggregated; NULL markers kept
+    # salt hot tokens: their document rows spread over ``salts`` join keys,
+    # their (few) vocabulary rows are replicated once per salt
+    hot = hot_tokens(model) if salts > 1 else []
+    is_hot = F.col("token").isin(hot) if hot else F.lit(False)
+    dt = dt.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(F.col(key)), F.lit(salts))).otherwise(F.lit(0)))
+    vocab = vocab.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+                                                .otherwise(F.array(F.lit(0).cast("bigint")))))
+    j = dt.join(vocab, [*mc, "token", "_salt"], "left")  # (doc, token) pre-aggregated; NULL markers kept
     known = F.col("_d0").isNotNull() if k else F.lit(False)
     s = j.groupBy(*mc, key).agg(
         F.sum(F.when(known, F.col("n")).otherwise(0)).alias("_nd"),
