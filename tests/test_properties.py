@@ -148,3 +148,14 @@ def test_nb_salted_join_equals_unsalted_with_hot_token(spark):
     a = {r.id: r.y_pred for r in MD.nb_predict(m, docs, "id", "text", salts=16).collect()}
     b = {r.id: r.y_pred for r in MD.nb_predict(m, docs, "id", "text", salts=1).collect()}
     assert a == b and len(a) == 500
+
+
+def test_salted_join_equals_plain_join_with_hot_key(spark):
+    from textlab.operators.joins import hot_keys, salted_join
+    big = spark.range(9000).select(F.col("id").alias("rid"),
+                                   F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 100).alias("k"))
+    small = spark.range(100).select(F.col("id").alias("pk"), (F.col("id") * 10).alias("v"))
+    assert 7 in hot_keys(big, "k")
+    got = sorted(tuple(r) for r in salted_join(big, small, "k", "pk", ["rid"]).select("rid", "v").collect())
+    want = sorted(tuple(r) for r in big.join(small, big.k == small.pk).select("rid", "v").collect())
+    assert got == want and len(got) == 9000

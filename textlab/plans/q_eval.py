@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textlab.functions.random import draw
 from textlab.operators import metrics as M
+from textlab.operators.joins import salted_join
 from textlab.operators.zeroshot import LEXICON, LEXICON_LABELS, lexicon_predict
 from textlab.plans import sqlfrag as S
 from textlab.plans.registry import query, table, text_table
@@ -196,9 +197,9 @@ agg as (select cast(count(*) as bigint) n, avg((y - yhat) * (y - yhat)) mse, avg
 select n, {S.round_sig('mse')} mse, {S.round_sig('sqrt(mse)')} rmse, {S.round_sig('mae')} mae,
   {S.round_sig('1.0 - coalesce(sse / nullif(sst, 0), 0)')} r2 from agg""")
 def q_regression_report(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     part = table(spark, sf, "part").select("p_partkey", "p_retailprice")
-    j = li.join(part, li.l_partkey == part.p_partkey).select(
+    j = salted_join(li, part, "l_partkey", "p_partkey", ["l_orderkey", "l_linenumber"]).select(
         F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * F.col("p_retailprice")).alias("yhat"))
     return M.regression_report(j, "y", "yhat")
 
