@@ -9,7 +9,7 @@ dimension rows are replicated once per salt.  Cold keys join as usual.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,8 +17,9 @@ def hot_keys(df: DataFrame, key: str, share: float | None = None) -> list:
     sc = df.sparkSession.sparkContext
     share = share or 1.0 / (4 * max(sc.defaultParallelism, 16))
     c = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
-    f = c.select(key, (F.col("_c") / F.sum("_c").over(Window.partitionBy())).alias("_f"))
-    return [r[key] for r in f.where(F.col("_f") >= share).limit(int(1 / share) + 1).collect()]
+    # total as a scalar subquery: no single-partition window over all keys
+    threshold = c.agg((F.sum("_c") * F.lit(share)).alias("_t")).scalar()
+    return [r[key] for r in c.where(F.col("_c") >= threshold).limit(int(1 / share) + 1).collect()]
 
 
 def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, salt_cols: list[str],

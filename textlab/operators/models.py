@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlab.functions.arrays import argmax
@@ -107,9 +107,8 @@ def hot_tokens(model: NBModel, share: float | None = None) -> list[str]:
     sc = model.token_table.sparkSession.sparkContext
     share = share or 1.0 / (4 * max(sc.defaultParallelism, 16))
     t = model.token_table.groupBy("token").agg(F.sum("n").alias("c"))
-    total = F.sum("c").over(Window.partitionBy())
-    rows = t.select("token", (F.col("c") / total).alias("f")).where(F.col("f") >= share) \
-        .limit(int(1 / share) + 1).collect()
+    threshold = t.agg((F.sum("c") * F.lit(share)).alias("_t")).scalar()  # scalar subquery, no global window
+    rows = t.where(F.col("c") >= threshold).limit(int(1 / share) + 1).collect()
     return sorted(r["token"] for r in rows)
 
 
