@@ -17,6 +17,8 @@ HEADLINE = [
     "shuffle", "holdout", "split_train_val", "resample_up", "subset_sizes",
     "label_inverse", "weighted_ce", "encode_pad_mask", "truncation_audit",
     "nb_train", "nb_predict", "auto_label", "learning_curve", "regression_report", "src_labelled_lines",
+    "log_attempts", "best_epoch", "src_csv_project", "stack_seeds", "sink_publish", "answer_parse",
+    "map_text_fallback",
 ]
 
 
