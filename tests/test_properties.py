@@ -159,3 +159,14 @@ def test_salted_join_equals_plain_join_with_hot_key(spark):
     got = sorted(tuple(r) for r in salted_join(big, small, "k", "pk", ["rid"]).select("rid", "v").collect())
     want = sorted(tuple(r) for r in big.join(small, big.k == small.pk).select("rid", "v").collect())
     assert got == want and len(got) == 9000
+
+
+def test_nb_model_missing_a_class_never_predicts_it(spark):
+    from textlab.operators import models as MD
+    rows = [(1, "a b", 0), (1, "c d", 1), (2, "a a", 0), (2, "b", 0)]  # model 2 has no class 1
+    df = spark.createDataFrame(rows, "m int, text string, label int")
+    docs = spark.createDataFrame([(1, "zzz"), (2, "c d d"), (3, "")], "id int, text string")
+    m = MD.nb_train(df, "text", "label", model_cols=["m"])
+    got = MD.nb_predict(m, docs, "id", "text", model_values=[(1,), (2,)]).where("m = 2").collect()
+    assert {r.id: r.y_pred for r in got} == {1: 0, 2: 0, 3: 0}
+    assert all(x == x for r in got for x in r.scores)  # no NaN

@@ -140,10 +140,13 @@ def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, model_value
                                  (F.lit(_key_str([*(r[c] for c in mc), r["label"]])), F.lit(r["log_default"]))])
 
     def per_model_array(field):
+        # a class absent from a model's training data can never win: prior
+        # -inf and default 0 (not -inf, which would make 0 * -inf = NaN)
+        missing = float("-inf") if field == "log_prior" else 0.0
         pairs = []
         for m, per in by_model.items():
             pairs += [F.lit(_key_str(m)),
-                      F.array(*[F.lit(per[c][field] if c in per else float("-inf")) for c in classes])]
+                      F.array(*[F.lit(per[c][field] if c in per else missing) for c in classes])]
         return F.create_map(*pairs)
 
     delta = model.token_table.select(
