@@ -217,7 +217,7 @@ def class_weights(train: DataFrame, label: str, classes: DataFrame | None = None
     ``classes`` is the label column of train U val; every class must occur
     in train, else the query fails (the reference raised as well).
     """
-    counts = train.groupBy(label).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    counts = train.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     # classes default to train's own: no second scan, no join
     j = counts if classes is None else classes.select(label).distinct().join(counts, label, "left")
     w = Window.partitionBy()  # k rows

@@ -124,6 +124,7 @@ def resample(df: DataFrame, seed, key: str, label: str, strategy: str, by: list[
     by = list(by)
     if strategy in ("loss_weight", "none"):
         return df.withColumn("i", F.lit(None).cast("bigint"))
+    df = df.where(F.col(label).isNotNull())  # a row without a class cannot be rebalanced
     spark = df.sparkSession
     rows = _class_table(df, label, by)
     groups: dict[tuple, list] = {}
