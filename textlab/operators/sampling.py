@@ -155,12 +155,13 @@ def resample(df: DataFrame, seed, key: str, label: str, strategy: str, by: list[
     return d.join(ranked, [*by, label, "pos"]).drop("_ci", "_nc", "pos")
 
 
-def subset_sizes(df: DataFrame, seed, key: str, sizes: list[int]) -> DataFrame:
+def subset_sizes(df: DataFrame, seed, key: str, sizes: list[int], n: int | None = None) -> DataFrame:
     """Training-size subsets drawn with replacement from one draw stream:
     draw i picks row ``md5(seed:size:i) mod n``; the set of size N is draws
-    0..N-1, so smaller sets are prefixes of larger ones.  Adds n_train, i."""
+    0..N-1, so smaller sets are prefixes of larger ones.  Adds n_train, i.
+    ``n`` (the row count) may be passed when the caller already knows it."""
     spark = df.sparkSession
-    n = df.count()
+    n = df.count() if n is None else n
     m = max(sizes) if n > 0 else 0  # nothing to draw from: empty result
     d = spark.range(0, m, 1, max(1, min(spark.sparkContext.defaultParallelism, m // 100_000 + 1))) \
         .select(F.col("id").alias("i"))

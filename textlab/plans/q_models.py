@@ -104,7 +104,7 @@ def q_learning_curve(spark, sf):
     held = hold(spark, sf, reuse=True)
     a = part_a(spark, sf, held)
     n_a = a.count()
-    sub = SM.subset_sizes(a, SEED, "doc_id", SIZES).select("n_train", F.lit(False).alias("full"), "label", "text")
+    sub = SM.subset_sizes(a, SEED, "doc_id", SIZES, n=n_a).select("n_train", F.lit(False).alias("full"), "label", "text")
     full = a.select(F.lit(n_a).cast("bigint").alias("n_train"), F.lit(True).alias("full"), "label", "text")
     model = MD.nb_train(sub.unionByName(full), "text", "label", model_cols=["n_train", "full"])
     b = part_b(spark, sf, held)
