@@ -62,6 +62,19 @@ def lexicon_predict(df: DataFrame, text: str = "text", labels=LEXICON_LABELS, le
         out, F.element_at(lab, argmax(F.col("_hits")) + 1)).drop("_hits")
 
 
+TEXT_BATCH_ROWS = 1000
+
+
+def limit_arrow_batch(spark, rows: int = TEXT_BATCH_ROWS) -> None:
+    """Whole texts travel to Python: cap Arrow batches at ``rows`` records
+    (lowers the session setting, never raises it), so a batch stays around
+    100 MB even when every document is a 20 000-word one."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    cur = int(spark.conf.get(key, "10000"))
+    if cur <= 0 or cur > rows:
+        spark.conf.set(key, str(rows))
+
+
 def scorer_predict(df: DataFrame, text: str, labels: list[str],
                    scorer: Callable[[pd.Series, list[str]], "pd.DataFrame | list"], out: str = "y_pred") -> DataFrame:
     """Pluggable zero-shot scorer: ``scorer(texts, labels)`` returns one score
@@ -70,6 +83,7 @@ def scorer_predict(df: DataFrame, text: str, labels: list[str],
     so a model is loaded once per task, not per row.  Adds ``scores``, ``out``.
     """
     schema = T.StructType(list(df.schema.fields) + [T.StructField("scores", T.ArrayType(T.DoubleType()))])
+    limit_arrow_batch(df.sparkSession)
 
     def run(batches):
         for pdf in batches:
@@ -98,6 +112,7 @@ def answer_loop(df: DataFrame, prompt_col: str, answer_fn: Callable[[pd.Series,
     Adds: answer STRING, y_pred INT, attempts INT, error STRING.
     """
     label_pos = {lab: i for i, lab in enumerate(labels)}
+    limit_arrow_batch(df.sparkSession)
     schema = T.StructType(list(df.schema.fields) + [
         T.StructField("answer", T.StringType()), T.StructField("y_pred", T.IntegerType()),
         T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())])
@@ -148,6 +163,7 @@ def map_text(df: DataFrame, text_col: str, fn: Callable[[pd.Series], pd.Series],
     ``fallback`` for its rows.  Batches arrive via Arrow.
     """
     sel = select if select is not None else F.lit(True)
+    limit_arrow_batch(df.sparkSession)
     staged = df.withColumn("_sel", F.coalesce(sel, F.lit(False)))
     schema = T.StructType(list(staged.schema.fields) + [T.StructField(out, T.StringType())])
 
