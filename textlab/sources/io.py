@@ -96,7 +96,11 @@ def read_labels(spark: SparkSession, path: str, schema: str = "label FLOAT", lab
 
 def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None,
              sep: str = ",") -> DataFrame:
-    """Header CSV/TSV with quoted multi-line fields, explicit schema, projection."""
+    """Header CSV/TSV with quoted multi-line fields, explicit schema, projection.
+
+    Multi-line CSV cannot be split inside a file (a record may span lines),
+    so each file is one read task: keep such data in many part files (as
+    ``write_csv`` produces) or convert it to Parquet once."""
     df = spark.read.options(**_opts({"sep": sep})).schema(schema).csv(path)
     return df.select(*columns) if columns else df
 
