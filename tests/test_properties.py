@@ -170,3 +170,16 @@ def test_nb_model_missing_a_class_never_predicts_it(spark):
     got = MD.nb_predict(m, docs, "id", "text", model_values=[(1,), (2,)]).where("m = 2").collect()
     assert {r.id: r.y_pred for r in got} == {1: 0, 2: 0, 3: 0}
     assert all(x == x for r in got for x in r.scores)  # no NaN
+
+
+def test_reports_and_votes_invariant_to_partitioning(spark):
+    from textlab.operators import prep as P
+    base = spark.range(5000).select((F.col("id") % 37).alias("k"), (F.col("id") % 3).alias("y_true"),
+                                    ((F.col("id") * 7) % 3).alias("y_pred"))
+    outs = []
+    for parts in (1, 5, 13):
+        df = base.repartition(parts)
+        rep = sorted(tuple(r) for r in M.classification_report(df, ["k"]).collect())
+        votes = sorted((r.k, tuple(r.modes)) for r in P.vote_keep_ties(df, ["k"], "y_pred").collect())
+        outs.append((rep, votes))
+    assert outs[0] == outs[1] == outs[2]
