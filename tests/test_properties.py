@@ -183,3 +183,22 @@ def test_reports_and_votes_invariant_to_partitioning(spark):
         votes = sorted((r.k, tuple(r.modes)) for r in P.vote_keep_ties(df, ["k"], "y_pred").collect())
         outs.append((rep, votes))
     assert outs[0] == outs[1] == outs[2]
+
+
+def test_class_weights_fail_when_a_class_is_missing_from_train(spark):
+    import pytest
+    train = spark.createDataFrame([(0,), (0,), (1,)], "label int")
+    classes = spark.createDataFrame([(0,), (1,), (2,)], "label int")
+    with pytest.raises(Exception, match="class missing from train"):
+        M.class_weights(train, "label", classes).collect()
+    w = {r.label: r.w for r in M.class_weights(train, "label", classes.where("label < 2")).collect()}
+    assert w == {0: 3 / (2 * 2), 1: 3 / (2 * 1)}
+
+
+def test_experiment_grid_custom_model_name(spark):
+    from textlab.plans.q_zeroshot import q_experiment_grid
+    g = q_experiment_grid.__wrapped__(spark, "/root/testdata/sf0.001", custom_model="my-model")
+    ids = {r.run_id for r in g.collect()}
+    assert all(i.split("-", 1)[1].startswith("my-model") for i in ids)
+    b = {(r.model, r.batch) for r in g.collect()}
+    assert ("DEB-V3", 2) in b and ("ROB-LRG", 4) in b
