@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bpe, packing
+from textlab.llm import bpe, classifier, packing, quality_rules, secrets
 from textlab.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -21,13 +21,41 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op6_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by a model of the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score",
+                      (F.col("score") >= classifier.GOOD).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed."""
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every text."""
+    return quality_rules.score(table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every text: counts, the base spans' digest, and all of them as one string."""
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] != "novel")
+
+    def joined(of):
+        return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return secrets.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", *map(count, secrets.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+
+
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_bpe, op7_packing)}
+    return {f.__name__: f for f in (op1_bpe, op6_classifier, op7_packing, op8_quality_rules, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from textlab.session import ship_package
 
-#: Rows that one Arrow batch made by these operators holds at most.
-OUT_ROWS = 2048
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's reader (any store)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -38,5 +34,27 @@ def rows_of(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[dict
             yield {n: part.column(k).to_pylist() for k, n in enumerate(part.schema.names)}
 
 
-def arrow_schema(ddl: list[tuple[str, pa.DataType]]) -> pa.Schema:
-    return pa.schema([pa.field(n, t) for n, t in ddl])
+def map_rows(df: DataFrame, columns: list[str], fn: Callable[[dict], dict | None]) -> DataFrame:
+    """``df`` with what ``fn`` returns for each row (a dict of the named columns) put in place of those
+    columns; rows for which it returns None go.  All other columns stay as they are."""
+    ship_package(df.sparkSession)
+    at = {c: df.columns.index(c) for c in columns}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                new = [fn(dict(zip(columns, row)))
+                       for row in zip(*(part.column(at[c]).to_pylist() for c in columns))]
+                part = part.filter(pa.array([x is not None for x in new], pa.bool_()))
+                own = list(part.columns)
+                for c, i in at.items():
+                    own[i] = pa.array([x[c] for x in new if x is not None], own[i].type)
+                yield pa.RecordBatch.from_arrays(own, schema=part.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def filter_rows(df: DataFrame, columns: list[str], fn: Callable[[dict], bool]) -> DataFrame:
+    """The rows of ``df``, unchanged, for which ``fn`` of the named columns holds."""
+    return map_rows(df, columns, lambda row: row if fn(row) else None)

@@ -22,7 +22,7 @@ WORD_BPE = "word_bpe_49k.json"
 
 #: White space as the vocabulary's normaliser has it (Unicode White_Space);
 #: str.split() also splits at U+001C..U+001F.
-_SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+_SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = regex.compile(r"[\x1c-\x1f]")
 
 
