@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bpe, classifier, packing, quality_rules, secrets
+from textlab.llm import bpe, chat, classifier, licenses, packing, quality_rules, secrets
 from textlab.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,44 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, base phrases, labels and score of every text."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+#: A conversation of control strings alone.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the tricky one, formatted and read back."""
+    own = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)],
+                                "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digest(chat.format_chats(rows)).drop("kept")
+
+
+def _escaped_sql(text: str) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for c in chat.CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+OP4_SQL = f"""
+with own as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '{TRICKY}' union all select -7, 1, 'assistant', '{TRICKY}'),
+lengths as (select *, length(replace({_escaped_sql("role")}, chr(10), 'nn')) + length({_escaped_sql("text")}) + 24 as n
+  from own)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), ''))
+    as loss_sha256, cast(sum(n) as bigint) as formatted_chars
+from lengths group by conv_id
+"""
+
+
 def op6_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text scored by a model of the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -55,8 +93,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_bpe, op6_classifier, op7_packing, op8_quality_rules, op10_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op3_licenses, op4_chat, op6_classifier, op7_packing, op8_quality_rules, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat": OP4_SQL}
