@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import gc
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,16 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.common import rows_of, texts
-from textlab.llm.tokens import default_path, encoder
+from textlab.llm.tokens import default_path, encoder, plain_words
 
 #: Stands for the vocabulary's end-of-word suffix inside the trie's strings.
 _END = "\n"
 #: Words that one trie holds at most.
 BLOCK_WORDS = 20_000
-#: ASCII, letters up to U+017F (without the one that lower-cases to two), common punctuation, Chinese
-#: characters: normalising and lower-casing take these one by one.
-_PLAIN = re.compile("[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f\u2010-\u2027\u4e00-\u9fa5]*")
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: The byte alphabet of byte-level vocabularies: bytes that are no visible Latin-1 character move to U+0100 and on.
 _VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
@@ -147,8 +142,9 @@ class TrieBackend:
 
     def split(self, text: str) -> list[str]:
         """Words and added tokens, as the file's normaliser and splitter give them."""
-        if _PLAIN.fullmatch(text) and "<|" not in text:  # nothing that normalising composes or lower-casing lengthens
-            return _WORD.findall(text.lower())
+        words = plain_words(text)
+        if words is not None:
+            return words
         out: list[str] = []
         norm, pre = self.tok.normalizer.normalize_str, self.tok.pre_tokenizer.pre_tokenize_str
         for seg in self.cut.split(text) if self.cut else (text,):

@@ -20,7 +20,7 @@ Defined results: NULL and empty texts have no words, no detections and score
 
 from __future__ import annotations
 
-import re
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,7 +155,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             x["start"].alias("start"), x["end"].alias("end"), F.lit(label).alias("label")))
 
     base = F.flatten(F.array(*(phrase(*x) for x in PHRASES.items())))
-    all_rules = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.items())) for r in rules()))
+    all_rules = F.from_json(F.lit(json.dumps(rules())), "array<struct<place: int, priority: int, label: string, "
+                            "keyword: string, pattern: string>>")  # one constant
     hits = F.flatten(F.transform(
         F.filter(all_rules, lambda r: F.contains(form, r["keyword"])),
         lambda r: F.transform(places(form, r["pattern"]), lambda x: F.struct(
@@ -187,6 +188,3 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         joined(own).alias("base_labels"), "detections", joined(F.concat(own, more)).alias("labels"),
         (F.greatest(best, F.when(F.size("base") > 0, 50).otherwise(0)) / 100).cast("double").alias("score"))
 
-
-if __name__ == "__main__":
-    print(len(rules()), all(re.compile(r["pattern"]) for r in rules()))

@@ -4,12 +4,13 @@ The public vocabulary drops white space and never joins characters across
 it, so a text's ids are the ids of its pieces one after another.
 ``TextEncoder`` keeps the ids of the pieces it has met (a bounded cache, one
 per Python worker) and hands new ones to a back end: the tokenizers library
-itself on white-space separated chunks, or the trie of ``bpe.py`` on words.
+itself, or the trie of ``bpe.py``.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -26,6 +27,22 @@ _SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 _ODD = regex.compile(r"[\x1c-\x1f]")
 
 
+#: Letters of which normalising and lower-casing make one letter each: ASCII, up to U+017F (without the one
+#: that lower-cases to two), Chinese characters.
+_LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f\u4e00-\u9fa5"
+_PLAIN = re.compile(f"[\t-\r -~\u2010-\u2027{_LETTER}]*")
+#: The vocabulary's words, for texts of these characters.
+_WORD = re.compile(f"[{_LETTER}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r 0-9{_LETTER}]+")
+
+
+def plain_words(text: str) -> list[str] | None:
+    """The words that the vocabulary's normaliser and splitter make of a text of common characters without
+    added tokens; None for any other text."""
+    if _PLAIN.fullmatch(text) and "<|" not in text:
+        return _WORD.findall(text.lower())
+    return None
+
+
 def default_path() -> str:
     import public_tokenizers
     return public_tokenizers.path(WORD_BPE)
@@ -39,7 +56,7 @@ def chunks_of(text: str) -> list[str]:
 
 
 class LibraryBackend:
-    """Ids by the tokenizers library."""
+    """Ids by the tokenizers library, of words or of white-space separated chunks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,7 +64,10 @@ class LibraryBackend:
         self.tok.no_truncation()
         self.tok.no_padding()
 
-    split = staticmethod(chunks_of)
+    @staticmethod
+    def split(text: str) -> list[str]:
+        words = plain_words(text)
+        return chunks_of(text) if words is None else words
 
     def encode(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes()
