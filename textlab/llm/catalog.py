@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bpe, chat, classifier, licenses, packing, quality_rules, secrets
+from textlab.llm import bpe, chat, classifier, fingerprints, licenses, packing, quality_rules, secrets
 from textlab.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, held against each other and the next document's."""
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of every text: counts, the base spans' digest, and all of them as one string."""
     spans = F.col("spans")
@@ -93,7 +98,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_bpe, op3_licenses, op4_chat, op6_classifier, op7_packing, op8_quality_rules, op10_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op3_licenses, op4_chat, op6_classifier, op7_packing, op8_quality_rules, op9_fingerprints,
+                                   op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
