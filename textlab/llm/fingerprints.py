@@ -59,23 +59,24 @@ def runs(h: Column, starts: Column, which: int) -> Column:
         (F.coalesce(F.get(starts, i + 1), F.size(h) + 1) - at).alias("n")))
 
 
-def _uniform(h: Column, shift: int) -> Column:
+def _uniform(h: str, shift: int) -> str:
     """21 bits of a hash as a number inside (0, 1)."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(2**21 - 1)) + F.lit(0.5)) * F.lit(_UNIT)
+    return f"(((shiftrightunsigned({h}, {shift}) & 2097151) + 0.5D) * {2.0**-21!r}D)"
 
 
-def _sample(term: Column, log_weight: Column, draw: int) -> Column:
-    """The draw's value and sample of one weighted term in 64 bits that sort by value."""
-    h = F.xxhash64(term, F.lit(draw))
-    g = F.xxhash64(h)
-    r = -F.log(_uniform(h, 0) * _uniform(h, 21))
-    c = -F.log(_uniform(g, 0) * _uniform(g, 21))
+def _sample(draw: int) -> Column:
+    """The draw's value and sample of the weighted term (term, w: log weight) in 64 bits that sort by value.
+
+    Values lie between -2**10 and 2**5: 42 bits of them, then 20 bits of the sample's hash.
+    """
+    h = f"xxhash64(term, {draw})"
+    g = f"xxhash64({h})"
+    r = f"(-ln({_uniform(h, 0)} * {_uniform(h, 21)}))"
+    c = f"(-ln({_uniform(g, 0)} * {_uniform(g, 21)}))"
     b = _uniform(g, 42)
-    t = F.floor(log_weight / r + b)
-    value = F.log(c) - r * (t + 1 - b)
-    # values lie between -2**10 and 2**5: 42 bits of them, then 20 bits of the sample's hash
-    rank = ((value + 1024) * F.lit(2.0**31)).cast("long")
-    return F.shiftleft(rank, 20).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit(2**20 - 1)))
+    t = f"floor(w / {r} + {b})"
+    value = f"(ln({c}) - {r} * ({t} + 1 - {b}))"
+    return F.expr(f"shiftleft(cast(({value} + 1024D) * 2147483648D as bigint), 20) | (xxhash64(term, {t}) & 1048575)")
 
 
 def fingerprint(rows: DataFrame, keys: list[str], text_cols: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -88,11 +89,11 @@ def fingerprint(rows: DataFrame, keys: list[str], text_cols: list[str], samples:
     hashed = hashed.select("*", *(run_starts(F.col(f"h{k}")).alias(f"s{k}") for k in range(len(text_cols))))
     each = F.concat(*(runs(F.col(f"h{k}"), F.col(f"s{k}"), k) for k in range(len(text_cols))))
     each = hashed.select(*keys, F.inline_outer(each)).select(*keys, "which", "term", F.log("n").alias("w"))
-    least = each.groupBy(*keys).agg(*(
-        F.min(F.when(F.col("which") == k, _sample(F.col("term"), F.col("w"), draw))).alias(f"m{k}_{draw}")
-        for k in range(len(text_cols)) for draw in range(samples)))
-    return least.select(*keys, *(F.when(F.col(f"m{k}_0").isNotNull(), F.array(*(
-        F.col(f"m{k}_{draw}").bitwiseAND(F.lit(2**20 - 1)).cast("int") for draw in range(samples)))).alias(c)
+    least = each.groupBy(*keys, "which").agg(*(F.min(_sample(draw)).alias(f"m{draw}") for draw in range(samples)))
+    own = F.when(F.col("m0").isNotNull(), F.array(*(
+        F.col(f"m{draw}").bitwiseAND(F.lit(2**20 - 1)).cast("int") for draw in range(samples))))
+    return least.select(*keys, "which", own.alias("print")).groupBy(*keys).agg(*(
+        F.first(F.when(F.col("which") == k, F.col("print")), ignorenulls=True).alias(c)
         for k, c in enumerate(text_cols)))
 
 
