@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bpe, chat, classifier, fingerprints, licenses, packing, quality_rules, secrets
+import corpus_pipeline
+from textlab.llm import bpe, chat, classifier, fingerprints, licenses, lm_scores, near_dups, packing, quality_rules, secrets
 from textlab.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the id and size of its class of copies and near copies."""
+    return near_dups.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, base phrases, labels and score of every text."""
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
@@ -59,6 +65,11 @@ from lengths group by conv_id
 """
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by how much more it resembles the documents labelled good than all documents."""
+    return lm_scores.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text scored by a model of the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -97,9 +108,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *map(count, secrets.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
 
+OPERATORS = (op1_bpe, op2_near_dups, op3_licenses, op4_chat, op5_lm_scores, op6_classifier, op7_packing,
+             op8_quality_rules, op9_fingerprints, op10_secrets)
+
+
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_bpe, op3_licenses, op4_chat, op6_classifier, op7_packing, op8_quality_rules, op9_fingerprints,
-                                   op10_secrets)}
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
