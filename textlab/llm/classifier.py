@@ -99,19 +99,22 @@ def _tree(g: np.ndarray, h: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _pair_tree(g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
-    """A tree that cuts the first feature, then the second on either side; its gain."""
-    k = _best_cut(g.sum(1), h.sum(1))
-    out = np.zeros_like(g)
-    for part in (slice(None, k), slice(k, None)) if k else (slice(None),):
-        out[part] = _tree(g[part].sum(0), h[part].sum(0), 1)
-    return out, float((out * g).sum())
+    """The tree that cuts the first feature, then the second on either side, with the greatest gain; that gain."""
+    best, gain = np.zeros_like(g), 0.0
+    for k in range(len(g)):
+        own = np.zeros_like(g)
+        for part in (slice(None, k), slice(k, None)) if k else (slice(None),):
+            own[part] = _tree(g[part].sum(0), h[part].sum(0), 1)
+        if (new := float((own * g).sum())) > gain:
+            best, gain = own, new
+    return best, gain
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 0.1, bins: int = 32, pair_bins: int = 8,
         n_pairs: int = 6) -> Model:
     """Cyclic boosting of main effects, then of the strongest pairs, under logistic loss."""
     mean = float(y.mean()) if len(y) else 0.5
-    if not 0 < mean < 1:
+    if not 0 < mean < 1 or not len(y):
         return Model(float(np.clip(np.log((mean + 1e-9) / (1 - mean + 1e-9)), -30, 30)),
                      [np.empty(0)] * len(FEATURES), [np.zeros(1)] * len(FEATURES), [])
     z = np.full(len(y), np.log(mean / (1 - mean)))
