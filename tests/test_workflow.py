@@ -16,7 +16,7 @@ def test_replication_workflow(spark):
     votes = raw.select(clean_tweet("text").alias("text"), "doc_id", F.col("quality").alias("stance"))
     corpus = P.vote_drop_ties(votes, ["doc_id", "text"], "stance")
     b = SM.holdout(corpus, 1234, "doc_id", 200)
-    a = SM.complement(corpus, b, "doc_id", 200)
+    a = SM.complement(corpus, b, "doc_id")
     runs = []
     for seed in (1234, 3456, 5678):
         tr = SM.resample(a, seed, "doc_id", "label", "upsampling")

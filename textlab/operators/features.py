@@ -1,8 +1,7 @@
 """Label indexing and model-input features, as column expressions.
 
-The class list is tiny (k labels), so it is computed once, checked, and
-used as a literal array or a broadcast dimension; per-row work stays in
-JVM expressions (no UDF).
+Classes are a table (label, idx, k) that rows are joined with, so their
+number needs no bound; per-row work stays in JVM expressions (no UDF).
 """
 
 from __future__ import annotations
@@ -10,38 +9,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlab.functions.arrays import argmax, join_numbers, one_hot, pad_right, softmax  # noqa: F401
+from textlab.functions.arrays import argmax, join_numbers, softmax  # noqa: F401
 from textlab.functions.random import draw
 
 # --- fixed values: special token ids and default sizes of the encoder ---
 PAD_ID, CLS_ID, SEP_ID = 0, 1, 2
 FIRST_TOKEN_ID = 3
 VOCAB = 30000
-MAX_CLASSES = 10_000
 
 
 def class_index(df: DataFrame, label: str) -> DataFrame:
-    """(label, idx): sorted distinct classes, idx 0..k-1 (the one-hot order)."""
+    """(label, idx, k): sorted distinct classes, idx 0..k-1 (the one-hot order)."""
     cls = df.select(label).where(F.col(label).isNotNull()).distinct()
-    return cls.withColumn("idx", (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
+    return cls.select(label, (F.row_number().over(Window.orderBy(label)) - 1).cast("int").alias("idx"),
+                      F.count(F.lit(1)).over(Window.partitionBy()).cast("int").alias("k"))
 
 
-def class_list(df: DataFrame, label: str) -> list:
-    """Sorted class values, collected (bounded and checked)."""
-    rows = class_index(df, label).orderBy("idx").limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} distinct values in {label}: not a class label")
-    return [r[label] for r in rows]
+def with_index(df: DataFrame, label: str, classes: DataFrame) -> DataFrame:
+    """``df`` with the 0-based class id ``idx`` and the class count ``k``; unknown labels get NULL."""
+    return df.join(classes, label, "left")
 
 
-def index_labels(df: DataFrame, label: str, classes: list, out: str = "idx") -> Column:
-    """0-based class id of ``label`` given the class list; unknown -> NULL."""
+def index_labels(label: str, classes: list) -> Column:
+    """0-based class id of ``label`` given a class list that is a parameter; unknown -> NULL."""
     pos = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label))
-    return F.when(pos > 0, (pos - 1).cast("int")).alias(out)
+    return F.when(pos > 0, (pos - 1).cast("int"))
 
 
 def inverse_labels(idx: Column, classes: list) -> Column:
-    """class id -> label (element_at on the class list)."""
+    """class id -> label, given a class list that is a parameter."""
     return F.element_at(F.array(*[F.lit(c) for c in classes]), idx + 1)
 
 

@@ -16,40 +16,26 @@ is not rebuilt (see README).
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.functions.arrays import argmax
 from textlab.functions.text import TOKEN_SPLIT, tokens
-from textlab.operators.features import MAX_CLASSES
+from textlab.operators.joins import salted_join
 from textlab.session import cut_lineage
 
 
 @dataclass
 class NBModel:
-    classes: list           # sorted class labels (class id order)
-    model_cols: list[str]   # columns identifying one model
-    token_table: DataFrame  # model..., label, token, n, logp (observed pairs; checkpointed)
-    class_rows: list        # per (model, label): n_docs, total, V, log_prior, log_default (small, collected)
-    alpha: float = 1.0
-
-
-def _key(cols: list) -> Column:
-    """String key of a model (and label) for literal map lookups."""
-    return F.concat_ws("\x1f", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]) \
-        if cols else F.lit("")
-
-
-def _key_str(values) -> str:
-    """Python twin of ``_key`` (Spark's string cast: booleans are lower case)."""
-    return "\x1f".join(("true" if v else "false") if isinstance(v, bool) else str(v) for v in values)
+    model_cols: list[str]    # columns identifying one model
+    token_table: DataFrame   # model..., label, token, n, logp (observed pairs; checkpointed counts)
+    class_table: DataFrame   # model..., label, n_docs, total, V, log_prior, log_default: a row per model and class
 
 
 def nb_train(df: DataFrame, text: str, label: str, model_cols: list[str] = (), alpha: float = 1.0) -> NBModel:
@@ -57,131 +43,86 @@ def nb_train(df: DataFrame, text: str, label: str, model_cols: list[str] = (), a
     log p(t|c) = ln((n_tc + alpha) / (N_c + alpha * |V|)), V = model vocabulary.
 
     One pass over the training texts: each document emits its tokens plus one
-    NULL marker, so the (model, class, token) count table also carries the
-    document counts.  That table is the model; it is checkpointed to the
-    shared checkpoint dir (computed once, lineage cut) and the per-class
-    statistics (models x classes rows, checked) are collected.
+    NULL marker (summed map-side), so the (model, class, token) count table
+    also carries the document counts.  That table is the model; it is
+    checkpointed to the shared checkpoint dir (computed once, lineage cut).
+    Rows without a label teach nothing.
     """
     mc = list(model_cols)
-    base = df.select(*mc, F.col(label).alias("label"), text)
+    base = df.select(*mc, F.col(label).alias("label"), text).where(F.col("label").isNotNull())
     marker_and_tokens = F.concat(F.array(F.lit(None).cast("string")), tokens(text))
     tc = (base.select(*mc, "label", F.explode(marker_and_tokens).alias("token"))
           .groupBy(*mc, "label", "token").agg(F.count(F.lit(1)).alias("n")))
     tc = cut_lineage(tc)
-    stats = tc.groupBy(*mc, "label").agg(
-        F.sum(F.when(F.col("token").isNull(), F.col("n")).otherwise(0)).alias("n_docs"),
-        F.sum(F.when(F.col("token").isNotNull(), F.col("n")).otherwise(0)).alias("total")) \
-        .limit(MAX_CLASSES + 1).collect()
-    if len(stats) > MAX_CLASSES:
-        raise ValueError("too many (model, class) pairs")
-    vocab = {tuple(r[c] for c in mc): r["V"] for r in
-             tc.where(F.col("token").isNotNull()).groupBy(*mc).agg(F.countDistinct("token").alias("V")).collect()}
-    docs_per_model: dict = {}
-    for r in stats:
-        m = tuple(r[c] for c in mc)
-        docs_per_model[m] = docs_per_model.get(m, 0) + r["n_docs"]
-    rows = []
-    for r in stats:
-        m = tuple(r[c] for c in mc)
-        v = vocab.get(m, 0)
-        denom = r["total"] + alpha * v
-        rows.append({**{c: r[c] for c in mc}, "label": r["label"], "n_docs": r["n_docs"], "total": r["total"],
-                     "V": v, "log_prior": math.log(r["n_docs"] / docs_per_model[m]),
-                     "log_default": math.log(alpha / denom) if denom > 0 else float("-inf")})
-    classes = sorted({r["label"] for r in rows})
-    denom_map = F.create_map(*[x for r in rows for x in
-                               (F.lit(_key_str([*(r[c] for c in mc), r["label"]])),
-                                F.lit(float(r["total"] + alpha * r["V"])))])
-    tok = tc.where(F.col("token").isNotNull())
-    if rows:
-        tok = tok.select(*mc, "label", "token", "n",
-                         F.ln((F.col("n") + F.lit(alpha)) / F.element_at(denom_map, _key([*mc, "label"]))).alias("logp"))
-    else:
-        tok = tok.select(*mc, "label", "token", "n", F.lit(None).cast("double").alias("logp"))
-    return NBModel(classes, mc, tok, rows, alpha)
-
-
-def hot_tokens(model: NBModel, share: float | None = None) -> list[str]:
-    """Tokens holding at least ``share`` of the training token occurrences
-    (default 1 / (4 x parallelism)); there are at most 1/share of them."""
-    sc = model.token_table.sparkSession.sparkContext
-    share = share or 1.0 / (4 * max(sc.defaultParallelism, 16))
-    t = model.token_table.groupBy("token").agg(F.sum("n").alias("c"))
-    threshold = t.agg((F.sum("c") * F.lit(share)).alias("_t")).scalar()  # scalar subquery, no global window
-    rows = t.where(F.col("c") >= threshold).limit(int(1 / share) + 1).collect()
-    return sorted(r["token"] for r in rows)
-
-
-def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, model_values: list[tuple] | None = None,
-               out: str = "y_pred", salts: int = 32) -> DataFrame:
+    is_doc = F.col("token").isNull()
+    classes = tc.groupBy(*mc, "label").agg(
+        F.sum(F.when(is_doc, F.col("n")).otherwise(0)).alias("n_docs"),
+        F.sum(F.when(is_doc, 0).otherwise(F.col("n"))).alias("total"))
+    size = tc.groupBy(*mc, "token").agg(F.lit(1).alias("one")).groupBy(*mc).agg(F.count("token").alias("V"))
+    one = [] if mc else ["_all"]  # a single model: one constant key
+    if one:
+        classes, size = classes.withColumn("_all", F.lit(0)), size.withColumn("_all", F.lit(0))
+    of_model = Window.partitionBy(*mc, *one)  # a row per class
+    denom = F.col("total") + F.lit(float(alpha)) * F.col("V")
+    classes = classes.join(size, [*mc, *one]).select(
+        *mc, "label", "n_docs", "total", "V", F.ln(F.col("n_docs") / F.sum("n_docs").over(of_model)).alias("log_prior"),
+        F.when(denom > 0, F.ln(F.lit(float(alpha)) / denom)).otherwise(F.lit(float("-inf"))).alias("log_default"))
+    tok = tc.where(~is_doc).join(classes, [*mc, "label"]).select(
+        *mc, "label", "token", "n", F.ln((F.col("n") + F.lit(float(alpha))) / denom).alias("logp"))
+    return NBModel(mc, tok, classes)
+
+
+def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, out: str = "y_pred", salts: int = 32) -> DataFrame:
     """Arg-max class per (model, document); ties -> first class in order.
 
     score_c = log_prior_c + N_d * log_default_c + sum_t n_dt (logp_tc - log_default_c),
     N_d = the document's in-vocabulary token count; only observed (class,
-    token) pairs are stored, unobserved ones contribute the default.  Each
-    document is tokenised once; a NULL marker row per (model, document)
-    survives the left join so documents without known tokens still score.
+    token) pairs are stored, unobserved ones contribute the default.
+
+    Counted (document, token) rows
+    join a token's entries of all models (one array), hot tokens of the
+    scored texts salted; the sums of a document then join its row, which the
+    one-row table of models and classes turns into scores.  ``scores`` is in
+    class order over all models' classes; a class that a model has not seen
+    scores -inf and can never win.
     """
-    mc, classes = model.model_cols, model.classes
-    k = len(classes)
-    label_type = model.token_table.schema["label"].dataType
-    if model_values is None:
-        model_values = sorted({tuple(r[c] for c in mc) for r in model.class_rows})
-    if k == 0 or not model_values:  # empty training data: no model, no predictions
-        types = {c: model.token_table.schema[c].dataType for c in mc}
-        empty = docs.where(F.lit(False)).select(
-            *[F.lit(None).cast(types[c]).alias(c) for c in mc], key,
-            F.array().cast("array<double>").alias("scores"), F.lit(None).cast(label_type).alias(out))
-        return empty
-    by_model: dict = {}
-    for r in model.class_rows:
-        by_model.setdefault(tuple(r[c] for c in mc), {})[r["label"]] = r
-    default_map = F.create_map(*[x for r in model.class_rows for x in
-                                 (F.lit(_key_str([*(r[c] for c in mc), r["label"]])), F.lit(r["log_default"]))])
-
-    def per_model_array(field):
-        # a class absent from a model's training data can never win: prior
-        # -inf and default 0 (not -inf, which would make 0 * -inf = NaN)
-        missing = float("-inf") if field == "log_prior" else 0.0
-        pairs = []
-        for m, per in by_model.items():
-            pairs += [F.lit(_key_str(m)),
-                      F.array(*[F.lit(per[c][field] if c in per else missing) for c in classes])]
-        return F.create_map(*pairs)
-
-    delta = model.token_table.select(
-        *mc, "token", "label", (F.col("logp") - F.element_at(default_map, _key([*mc, "label"]))).alias("d"))
-    vocab = delta.groupBy(*mc, "token").agg(
-        *[F.sum(F.when(F.col("label") == F.lit(c).cast(label_type), F.col("d")).otherwise(F.lit(0.0))).alias(f"_d{i}")
-          for i, c in enumerate(classes)])
-    types = {c: model.token_table.schema[c].dataType for c in mc}
-    marker_and_tokens = F.concat(F.array(F.lit(None).cast("string")), tokens(text))
-    dt = (docs.select(key, F.explode(marker_and_tokens).alias("token"))
+    mc = model.model_cols
+    delta = model.token_table.join(model.class_table.select(*mc, "label", "log_default"), [*mc, "label"]).select(
+        *mc, "token", "label", (F.col("logp") - F.col("log_default")).alias("d"))
+    of_model = F.struct(*[F.col(c) for c in mc], F.lit(0).alias("_m")).alias("model")
+    # a token's entries: per model, one for each class, and one without a class that counts the token
+    vocab = delta.groupBy(of_model, "token").agg(F.collect_list(F.struct("label", "d")).alias("own"))
+    counting = F.array(F.struct(F.lit(None).cast(delta.schema["label"].dataType).alias("label"), F.lit(1.0).alias("d")))
+    vocab = vocab.groupBy(F.col("token").alias("_token")).agg(F.collect_list(
+        F.struct("model", F.concat("own", counting).alias("own"))).alias("entries"))
+    dt = (docs.select(key, F.explode(tokens(text)).alias("token"))
           .groupBy(key, "token").agg(F.count(F.lit(1)).alias("n")))
-    if mc:  # every document is scored by every model: a generator over the (small) model list
-        grid = F.explode(F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(mc, mv)])
-                                   for mv in model_values]))
-        dt = dt.select("*", grid.alias("_mv")).select(key, "token", "n", *[F.col(f"_mv.{c}").alias(c) for c in mc])
-    # salt hot tokens: their document rows spread over ``salts`` join keys,
-    # their (few) vocabulary rows are replicated once per salt
-    hot = hot_tokens(model) if salts > 1 else []
-    is_hot = F.col("token").isin(hot) if hot else F.lit(False)
-    dt = dt.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(F.col(key)), F.lit(salts))).otherwise(F.lit(0)))
-    vocab = vocab.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-                                                .otherwise(F.array(F.lit(0).cast("bigint")))))
-    j = dt.join(vocab, [*mc, "token", "_salt"], "left")  # (doc, token) pre-aggregated; NULL markers kept
-    known = F.col("_d0").isNotNull() if k else F.lit(False)
-    s = j.groupBy(*mc, key).agg(
-        F.sum(F.when(known, F.col("n")).otherwise(0)).alias("_nd"),
-        *[F.sum(F.when(known, F.col("n") * F.col(f"_d{i}")).otherwise(0.0)).alias(f"_s{i}") for i in range(k)])
-    mk = _key(mc)
-    prior = F.element_at(per_model_array("log_prior"), mk)
-    dflt = F.element_at(per_model_array("log_default"), mk)
-    scores = F.array(*[F.element_at(prior, i + 1) + F.col("_nd") * F.element_at(dflt, i + 1) + F.col(f"_s{i}")
-                       for i in range(k)])
-    lab = F.array(*[F.lit(c).cast(label_type) for c in classes])
-    res = s.select(*mc, key, scores.alias("scores"))
-    return res.select(*mc, key, "scores", F.element_at(lab, argmax(F.col("scores")) + 1).alias(out))
+    hits = salted_join(dt, vocab, "token", "_token", [key], "inner", salts)
+    sums = (hits.select(key, "n", F.inline("entries")).select(key, "model", "n", F.inline("own"))
+            .groupBy(key, "model", "label").agg(F.sum(F.col("n") * F.col("d")).alias("s"))
+            .groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("model", "label", "s")).alias("sums")))
+    per_model = model.class_table.groupBy(of_model).agg(
+        F.sort_array(F.collect_list(F.struct("label", "log_prior", "log_default"))).alias("own"))
+    models = per_model.agg(F.collect_list(F.struct("model", "own")).alias("models"),
+                           F.sort_array(F.array_distinct(F.flatten(F.collect_list("own.label")))).alias("labels"))
+    # one row: a document's key joins it through a constant
+    x = (docs.select(F.col(key), F.lit(0).alias("_one")).join(F.broadcast(models.withColumn("_one", F.lit(0))), "_one")
+         .join(sums, F.col(key).eqNullSafe(F.col("_key")), "left"))
+    x = x.select(key, "labels", "sums", F.inline("models"))
+
+    def found(label: Column) -> Column:
+        hit = F.filter("sums", lambda e: (e["model"] == F.col("model")) & e["label"].eqNullSafe(label))
+        return F.coalesce(F.get(hit, F.lit(0))["s"], F.lit(0.0))
+
+    def score(label: Column) -> Column:
+        own = F.get(F.filter("own", lambda c: c["label"] == label), F.lit(0))
+        s = own["log_prior"] + F.col("_nd") * own["log_default"] + found(label)
+        return F.coalesce(s, F.lit(float("-inf")))
+
+    x = x.withColumn("_nd", found(F.lit(None).cast(delta.schema["label"].dataType)))
+    x = x.withColumn("scores", F.transform("labels", score))
+    return x.select(*[F.col(f"model.{c}").alias(c) for c in mc], key, "scores",
+                    F.element_at("labels", argmax(F.col("scores")) + 1).alias(out))
 
 
 def lr_estimator(text: str = "text", label: str = "label", weight: str | None = "w",
@@ -199,12 +140,8 @@ def lr_estimator(text: str = "text", label: str = "label", weight: str | None =
 
 def lr_fit(train: DataFrame, text: str = "text", label: str = "label", weight: str | None = "w",
            **kw) -> PipelineModel:
-    """Fit on cached input (the learner makes many passes; one partition per
-    core keeps per-iteration task overhead low, coalesce adds no shuffle)."""
+    """Fit on cached input (the learner makes many passes)."""
     data = train.select(text, F.col(label).cast("double").alias(label), *([weight] if weight else []))
-    cores = data.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() > cores:
-        data = data.coalesce(cores)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return lr_estimator(text, label, weight, **kw).fit(data)

@@ -1,9 +1,9 @@
 """Corpus preparation: filters, recodes, majority vote with tie policies.
 
-The vote runs as two aggregations: (key, vote) counts with map-side
-partial aggregation, then one row per key over at most |vote domain|
-cells.  A key holding a third of all rows is reduced to a handful of
-cells before the shuffle, so hot keys never land whole in one task.
+The vote runs as aggregations with map-side partial aggregation: (key, vote)
+counts, then the top count of each key and its winners.  A key holding a
+third of all rows is reduced to its distinct votes before the shuffle, and
+only the winners of a key are ever put together.
 """
 
 from __future__ import annotations
@@ -64,15 +64,29 @@ def vote_modes(df: DataFrame, key_cols: list[str], vote_col: str) -> DataFrame:
     cond = F.lit(True)
     for k in key_cols:
         cond = cond & F.col(k).isNotNull()
-    keyed = df.where(cond)
-    cells = keyed.groupBy(*key_cols, F.col(vote_col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    per_key = cells.groupBy(*key_cols).agg(
-        F.max(F.when(F.col("v").isNotNull(), F.col("n"))).alias("top"),
-        # bounded: one entry per distinct vote value of the key
-        F.collect_list(F.when(F.col("v").isNotNull(), F.struct("n", "v"))).alias("cells"),
-        F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).cast("bigint").alias("n_votes"))
-    modes = F.array_sort(F.transform(F.filter("cells", lambda c: c["n"] == F.col("top")), lambda c: c["v"]))
-    return per_key.select(*key_cols, modes.alias("modes"), F.size(modes).alias("n_modes"), "n_votes")
+    cells = df.where(cond).groupBy(*key_cols, F.col(vote_col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.when(F.col("v").isNotNull(), F.col("n"))
+    tops = cells.groupBy(*key_cols).agg(F.max(n).alias("top"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("n_votes"))
+    won = cells.where(F.col("v").isNotNull()).withColumnRenamed("n", "top")
+    # only the winners are put into the array, which is the result
+    modes = won.join(tops, [*key_cols, "top"]).groupBy(*key_cols).agg(F.array_sort(F.collect_list("v")).alias("modes"))
+    none = F.array().cast(modes.schema["modes"].dataType)
+    return tops.join(modes, key_cols, "left").select(
+        *key_cols, F.coalesce("modes", none).alias("modes"),
+        F.coalesce(F.size("modes"), F.lit(0)).alias("n_modes"), "n_votes")
+
+
+def vote_winner(df: DataFrame, key_cols: list[str], vote_col: str) -> DataFrame:
+    """(key..., n_modes, winner): how many votes tie at the top, and the least of them; no array is built."""
+    cond = F.lit(True)
+    for k in key_cols:
+        cond = cond & F.col(k).isNotNull()
+    cells = df.where(cond).groupBy(*key_cols, F.col(vote_col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0).alias("n")
+    ties = cells.select(*key_cols, "v", n).groupBy(*key_cols, "n").agg(
+        F.count("v").cast("int").alias("n_modes"), F.min("v").alias("winner"))
+    top = ties.groupBy(*key_cols).agg(F.max(F.struct("n", "n_modes", "winner")).alias("t"))
+    return top.select(*key_cols, "t.n_modes", "t.winner")
 
 
 def vote_keep_ties(df: DataFrame, key_cols: list[str], vote_col: str) -> DataFrame:
@@ -82,14 +96,18 @@ def vote_keep_ties(df: DataFrame, key_cols: list[str], vote_col: str) -> DataFra
 
 def vote_drop_ties(df: DataFrame, key_cols: list[str], vote_col: str, out: str = "label") -> DataFrame:
     """Tie policy *drop*: keys with more than one mode are removed."""
-    m = vote_modes(df, key_cols, vote_col)
-    return m.where(F.col("n_modes") == 1).select(*key_cols, F.col("modes")[0].alias(out))
-
-
-def vote_neutral(df: DataFrame, key_cols: list[str], vote_col: str, neutral=0, out: str = "label") -> DataFrame:
-    """Tie policy *neutral*: a tie (or no vote) becomes ``neutral``."""
-    m = vote_modes(df, key_cols, vote_col)
-    return m.select(*key_cols, F.when(F.col("n_modes") == 1, F.col("modes")[0]).otherwise(F.lit(neutral)).alias(out))
+    m = vote_winner(df, key_cols, vote_col)
+    return m.where(F.col("n_modes") == 1).select(*key_cols, F.col("winner").alias(out))
+
+
+def vote_neutral(df: DataFrame, key_cols: list[str], vote_col: str, neutral=0, out: str = "label",
+                 codes: list | None = None) -> DataFrame:
+    """Tie policy *neutral*: a tie, no vote, or a winner that is none of ``codes`` becomes ``neutral``."""
+    m = vote_winner(df, key_cols, vote_col)
+    clear = F.col("n_modes") == 1
+    if codes is not None:
+        clear = clear & F.col("winner").isin(list(codes))
+    return m.select(*key_cols, F.when(clear, F.col("winner")).otherwise(F.lit(neutral)).alias(out))
 
 
 def binary_from_polar(df: DataFrame, label: str = "label", neutral=0, negative=-1) -> DataFrame:

@@ -17,24 +17,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textlab.functions.random import draw, hash_key
 
 STRATEGIES = ("upsampling", "undersampling", "loss_weight", "none")
-MAX_BROADCAST_ROWS = 2_000_000
+#: Draws that one row of the draw plan generates.
+DRAWS = 100_000
 
 
 def seeded_rank(df: DataFrame, seed, key: str, by: list[str] = (), bucket_digits: int = 4,
-                out: str = "pos", total: str | None = None, few_groups: bool | None = None) -> DataFrame:
+                out: str = "pos", total: str | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of each row in the seeded permutation
     of its ``by`` group (order: md5(seed:key), then key).  ``total`` names an
     optional column with the group size.
 
     The bucket-offset table has at most 16^bucket_digits rows per group; it
-    is broadcast only when the number of groups is known to be small
-    (no ``by``, or ``few_groups=True`` from a caller that checked it, e.g.
-    classes); otherwise the join strategy is left to AQE's runtime sizes."""
+    is broadcast without ``by`` (one group: a bound set by the parameter);
+    otherwise the join strategy is left to the optimizer's sizes."""
     if not 1 <= bucket_digits <= 5:
         raise ValueError("bucket_digits must be in 1..5 (broadcast bound 16^digits rows per group)")
     by = list(by)
@@ -46,9 +45,7 @@ def seeded_rank(df: DataFrame, seed, key: str, by: list[str] = (), bucket_digits
         F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_n").over(Window.partitionBy(*by)).alias("_tot"))
     r = Window.partitionBy(*by, "_b").orderBy("_h", key)
-    if few_groups is None:
-        few_groups = not by
-    ranked = x.join(F.broadcast(offs) if few_groups else offs, [*by, "_b"]).withColumn(
+    ranked = x.join(offs if by else F.broadcast(offs), [*by, "_b"]).withColumn(
         out, (F.col("_off") + F.row_number().over(r) - 1).cast("bigint"))
     if total:
         ranked = ranked.withColumn(total, F.col("_tot").cast("bigint"))
@@ -79,16 +76,9 @@ def holdout_keys(df: DataFrame, seed, key: str, n: int) -> DataFrame:
     return h.orderBy("_h", key).limit(n).select(key)
 
 
-def complement(df: DataFrame, taken: DataFrame, key: str, taken_rows: int | None = None) -> DataFrame:
-    """Rows of ``df`` whose key is not in ``taken`` (left anti join).
-
-    ``taken`` is broadcast only when its size bound ``taken_rows`` (e.g.
-    the hold-out size) is known and small; otherwise Spark/AQE decides.
-    """
-    t = taken.select(key)
-    if taken_rows is not None and taken_rows <= MAX_BROADCAST_ROWS:
-        t = F.broadcast(t)
-    return df.join(t, key, "left_anti")
+def complement(df: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``taken`` (left anti join; the optimizer sizes it)."""
+    return df.join(taken.select(key), key, "left_anti")
 
 
 def split_train_val(df: DataFrame, seed, key: str, train_frac: float = 0.9, out: str = "split") -> DataFrame:
@@ -100,15 +90,6 @@ def split_train_val(df: DataFrame, seed, key: str, train_frac: float = 0.9, out:
             .drop("_n")
 
 
-def _class_table(df: DataFrame, label: str, by: list[str]):
-    """Class sizes per group, collected: one row per (group, class), bounded
-    by the number of classes (checked)."""
-    rows = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n")).collect()
-    if len(rows) > 100_000:
-        raise ValueError(f"{len(rows)} (group, class) pairs: not a class label")
-    return rows
-
-
 def resample(df: DataFrame, seed, key: str, label: str, strategy: str, by: list[str] = ()) -> DataFrame:
     """Per-class resampling with replacement (the reference's semantics).
 
@@ -125,34 +106,24 @@ def resample(df: DataFrame, seed, key: str, label: str, strategy: str, by: list[
     if strategy in ("loss_weight", "none"):
         return df.withColumn("i", F.lit(None).cast("bigint"))
     df = df.where(F.col(label).isNotNull())  # a row without a class cannot be rebalanced
-    spark = df.sparkSession
-    rows = _class_table(df, label, by)
-    groups: dict[tuple, list] = {}
-    for r in rows:
-        groups.setdefault(tuple(r[c] for c in by), []).append(r)
-    draws = None
-    cls_rows = []
-    for g, members in groups.items():
-        members = sorted(members, key=lambda r: (r[label] is None, r[label]))
-        target = (max if strategy == "upsampling" else min)(r["n"] for r in members)
-        total = target * len(members)
-        parts = max(spark.sparkContext.defaultParallelism, total // 2_000_000 + 1)
-        d = spark.range(0, total, 1, parts).select(
-            *[F.lit(v).alias(c) for c, v in zip(by, g)],
-            (F.col("id") / F.lit(target)).cast("bigint").alias("_ci"),
-            (F.col("id") % F.lit(target)).alias("i"))
-        draws = d if draws is None else draws.unionByName(d)
-        cls_rows += [(*g, j, m[label], m["n"]) for j, m in enumerate(members)]
-    ranked = seeded_rank(df, seed, key, by=[*by, label], few_groups=True)  # groups = checked class table
-    if draws is None:  # empty input
-        return ranked.withColumn("i", F.lit(None).cast("bigint")).where(F.lit(False)).drop("pos")
-    fields = [T.StructField(c, df.schema[c].dataType) for c in by]
-    schema = T.StructType(fields + [T.StructField("_ci", T.LongType()), T.StructField(label, df.schema[label].dataType),
-                                    T.StructField("_nc", T.LongType())])
-    cls = spark.createDataFrame(cls_rows, schema)
-    d = draws.join(F.broadcast(cls), [*by, "_ci"])  # bounded: checked class table
-    d = d.withColumn("pos", draw(seed, *[F.col(c) for c in by], F.col(label), F.col("i")) % F.col("_nc"))
-    return d.join(ranked, [*by, label, "pos"]).drop("_ci", "_nc", "pos")
+    most = F.max if strategy == "upsampling" else F.min
+    groups = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # over one row per class
+    classes = (df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_nc"))
+               .withColumn("_draws", most("_nc").over(groups)))
+    # a class's draws in runs of DRAWS, dealt out before they are generated
+    runs = classes.select(*by, label, "_nc", "_draws", F.explode(
+        F.sequence(F.lit(0).cast("bigint"), F.col("_draws") - 1, F.lit(DRAWS).cast("bigint"))).alias("_at"))
+    runs = runs.repartition(*by, label, "_at")
+    draws = runs.select(*by, label, "_nc", F.explode(F.sequence(
+        F.col("_at"), F.least(F.col("_at") + DRAWS, F.col("_draws")) - 1)).alias("i"))
+    names = {c: f"_d_{c}" for c in [*by, label]}
+    draws = draws.withColumn("_dpos", draw(seed, *[F.col(c) for c in by], F.col(label), F.col("i")) % F.col("_nc"))
+    draws = draws.withColumnsRenamed(names).drop("_nc")
+    ranked = seeded_rank(df, seed, key, by=[*by, label])
+    cond = F.col("pos") == F.col("_dpos")
+    for c, d in names.items():
+        cond = cond & F.col(c).eqNullSafe(F.col(d))
+    return draws.join(ranked, cond).select(*df.columns, "i")
 
 
 def subset_sizes(df: DataFrame, seed, key: str, sizes: list[int], n: int | None = None) -> DataFrame:

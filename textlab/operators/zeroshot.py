@@ -62,17 +62,34 @@ def lexicon_predict(df: DataFrame, text: str = "text", labels=LEXICON_LABELS, le
         out, F.element_at(lab, argmax(F.col("_hits")) + 1)).drop("_hits")
 
 
-TEXT_BATCH_ROWS = 1000
+#: Rows that a user function gets at once; the session's batch size is left alone.
+CALL_ROWS = 1000
 
 
-def limit_arrow_batch(spark, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Whole texts travel to Python: cap Arrow batches at ``rows`` records
-    (lowers the session setting, never raises it), so a batch stays around
-    100 MB even when every document is a 20 000-word one."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    cur = int(spark.conf.get(key, "10000"))
-    if cur <= 0 or cur > rows:
-        spark.conf.set(key, str(rows))
+def _parts(batches, rows: int = CALL_ROWS):
+    """Arrow batches in slices of at most ``rows`` rows, each with a fresh 0..n-1 index."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at:at + rows].reset_index(drop=True)
+
+
+def _call(fn, values: pd.Series) -> tuple[list, list]:
+    """(results, errors) by position.  A failing call, or one of another length, is made again row by row,
+    so that a bad row never touches its neighbours and results do not depend on how rows are batched."""
+    try:
+        got = list(fn(values))
+        if len(got) != len(values):
+            raise ValueError(f"{len(got)} results for {len(values)} rows")
+        return got, [None] * len(got)
+    except Exception as exc:
+        if len(values) == 1:
+            return [None], [repr(exc)]
+        pairs = [_call(fn, values.iloc[[k]]) for k in range(len(values))]
+        return [g[0] for g, _ in pairs], [e[0] for _, e in pairs]
+
+
+def _is_null(v) -> bool:
+    return v is None or v is pd.NA or (isinstance(v, float) and v != v)
 
 
 def scorer_predict(df: DataFrame, text: str, labels: list[str],
@@ -83,10 +100,9 @@ def scorer_predict(df: DataFrame, text: str, labels: list[str],
     so a model is loaded once per task, not per row.  Adds ``scores``, ``out``.
     """
     schema = T.StructType(list(df.schema.fields) + [T.StructField("scores", T.ArrayType(T.DoubleType()))])
-    limit_arrow_batch(df.sparkSession)
 
     def run(batches):
-        for pdf in batches:
+        for pdf in _parts(batches):
             sc = scorer(pdf[text], labels) if len(pdf) else []
             rows = sc.values.tolist() if hasattr(sc, "values") else [list(r) for r in sc]
             out_pdf = pdf.copy()
@@ -103,89 +119,80 @@ def label_to_id(col, labels: list[str]) -> Column:
     return F.when(pos > 0, (pos - 1).cast("int"))
 
 
-def answer_loop(df: DataFrame, prompt_col: str, answer_fn: Callable[[pd.Series, int], pd.Series],
-                labels: list[str], max_attempts: int = 3) -> DataFrame:
+def answer_loop(df: DataFrame, prompt_col: str, answer_fn: Callable[[pd.Series, int], "pd.Series | list"],
+                labels: list[str], max_attempts: int | None = 3) -> DataFrame:
     """Call ``answer_fn`` until the cleaned answer is a known label.
 
-    The reference retried forever; here retries are bounded and a row that
-    never gets a valid answer keeps ``y_pred`` NULL with the last error.
+    ``max_attempts=None`` never gives up; with a bound, a row without a valid
+    answer keeps ``y_pred`` NULL with the last error (count and rerun such
+    rows with ``unresolved`` and ``answer_again``).  Only the calls run in
+    Python; cleaning and the label lookup are column expressions.
     Adds: answer STRING, y_pred INT, attempts INT, error STRING.
     """
-    label_pos = {lab: i for i, lab in enumerate(labels)}
-    limit_arrow_batch(df.sparkSession)
     schema = T.StructType(list(df.schema.fields) + [
-        T.StructField("answer", T.StringType()), T.StructField("y_pred", T.IntegerType()),
-        T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())])
+        T.StructField("answer", T.StringType()), T.StructField("attempts", T.IntegerType()),
+        T.StructField("error", T.StringType())])
+    known = set(labels)
 
     def run(batches):
-        for pdf in batches:
+        for pdf in _parts(batches):
             n = len(pdf)
-            answer = pd.Series([None] * n, dtype=object, index=pdf.index)
-            y = pd.Series([None] * n, dtype=object, index=pdf.index)
-            att = pd.Series([0] * n, index=pdf.index)
-            err = pd.Series([None] * n, dtype=object, index=pdf.index)
-            todo = pd.Series(True, index=pdf.index)
-            for attempt in range(1, max_attempts + 1):
-                if not todo.any():
-                    break
-                idx = todo[todo].index
-                att.loc[idx] = attempt
-                try:
-                    got = pd.Series(answer_fn(pdf.loc[idx, prompt_col], attempt), index=idx)
-                except Exception as exc:  # the whole call failed: retry all
-                    err.loc[idx] = repr(exc)
-                    continue
-                clean = got.astype(object).where(got.notna(), None)
-                clean = clean.map(lambda a: a.replace("'", "") if isinstance(a, str) else a)
-                ids = clean.map(lambda a: label_pos.get(a))
-                answer.loc[idx] = got
-                ok = ids.notna()
-                y.loc[idx[ok.values]] = ids[ok]
-                err.loc[idx[~ok.values]] = "unknown label"
-                err.loc[idx[ok.values]] = None
-                todo.loc[idx[ok.values]] = False
-            out = pdf.copy()
-            out["answer"] = answer
-            out["y_pred"] = pd.array(y.tolist(), dtype="Int32")
-            out["attempts"] = att.astype("int32")
-            out["error"] = err
-            yield out
-
-    return df.mapInPandas(run, schema)
-
-
-def map_text(df: DataFrame, text_col: str, fn: Callable[[pd.Series], pd.Series],
+            answer, attempts, error = [None] * n, [0] * n, [None] * n
+            todo, attempt = list(range(n)), 0
+            while todo and (max_attempts is None or attempt < max_attempts):
+                attempt += 1
+                now = attempt  # the function sees the number of this attempt
+                got, failed = _call(lambda v: answer_fn(v, now), pdf[prompt_col].iloc[todo])
+                left = []
+                for k, a, e in zip(todo, got, failed):
+                    a = None if _is_null(a) else str(a)
+                    answer[k], attempts[k], error[k] = a, attempt, e
+                    if a is None or a.replace("'", "") not in known:
+                        error[k] = e or "unknown label"
+                        left.append(k)
+                todo = left
+            yield pdf.assign(answer=pd.Series(answer, dtype=object), attempts=pd.Series(attempts, dtype="int32"),
+                             error=pd.Series(error, dtype=object))
+
+    out = df.mapInPandas(run, schema)
+    return out.withColumn("y_pred", label_to_id(normalise_answer("answer"), labels)).select(
+        *df.columns, "answer", "y_pred", "attempts", "error")
+
+
+def unresolved(answered: DataFrame) -> DataFrame:
+    """Rows of an ``answer_loop`` that have no valid answer yet."""
+    return answered.where(F.col("y_pred").isNull())
+
+
+def answer_again(answered: DataFrame, prompt_col: str, answer_fn, labels: list[str],
+                 max_attempts: int | None = 3) -> DataFrame:
+    """An ``answer_loop`` over its unresolved rows alone; ``answered`` is best a stored table."""
+    added = ["answer", "y_pred", "attempts", "error"]
+    again = answer_loop(unresolved(answered).drop(*added), prompt_col, answer_fn, labels, max_attempts)
+    return answered.where(F.col("y_pred").isNotNull()).unionByName(again)
+
+
+def map_text(df: DataFrame, text_col: str, fn: Callable[[pd.Series], "pd.Series | list"],
              select: Column | None = None, fallback: str = "", out: str = "text_out") -> DataFrame:
     """Row-wise text mapping (e.g. translation) through a user function.
 
     Rows where ``select`` is false pass through unchanged (the reference
-    reused the previous row's result there); a failing call yields
-    ``fallback`` for its rows.  Batches arrive via Arrow.
+    reused the previous row's result there); a row whose call fails, or
+    yields NULL, takes ``fallback``.  Results are taken by position.
     """
     sel = select if select is not None else F.lit(True)
-    limit_arrow_batch(df.sparkSession)
     staged = df.withColumn("_sel", F.coalesce(sel, F.lit(False)))
     schema = T.StructType(list(staged.schema.fields) + [T.StructField(out, T.StringType())])
 
     def run(batches):
-        for pdf in batches:
-            res = pdf[text_col].astype(object).copy()
-            m = pdf["_sel"].astype(bool)
-            if m.any():
-                part = pdf.loc[m, text_col]
-                try:
-                    mapped = pd.Series(fn(part), index=part.index)
-                    res.loc[m] = mapped.where(mapped.notna(), fallback)
-                except Exception:
-                    # retry row by row so one bad row does not sink its batch
-                    for i in part.index:
-                        try:
-                            res.loc[i] = fn(part.loc[[i]]).iloc[0]
-                        except Exception:
-                            res.loc[i] = fallback
-            pdf = pdf.copy()
-            pdf[out] = res
-            yield pdf
+        for pdf in _parts(batches):
+            res = [None if _is_null(x) else x for x in pdf[text_col]]
+            chosen = [k for k, s in enumerate(pdf["_sel"]) if s]
+            if chosen:
+                got, _ = _call(fn, pdf[text_col].iloc[chosen])
+                for k, g in zip(chosen, got):
+                    res[k] = fallback if _is_null(g) else g
+            yield pdf.assign(**{out: pd.Series(res, dtype=object)})
 
     return staged.mapInPandas(run, schema).drop("_sel")
 
@@ -195,4 +202,4 @@ def prompt_column(text: str, labels: list[str] = LEXICON_LABELS, template: str =
 
 
 __all__ = ["LEXICON", "LEXICON_LABELS", "PROMPT_TEMPLATE", "lexicon_tokens", "hits_from_tokens", "with_lexicon_hits", "lexicon_predict",
-           "scorer_predict", "label_to_id", "answer_loop", "map_text", "prompt_column", "normalise_answer"]
+           "scorer_predict", "label_to_id", "answer_loop", "unresolved", "answer_again", "map_text", "prompt_column", "normalise_answer"]

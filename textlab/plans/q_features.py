@@ -4,46 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textlab.functions.arrays import argmax, join_numbers, one_hot, softmax
+from textlab.functions.arrays import argmax, join_numbers, softmax
 from textlab.functions.text import tokens
 from textlab.operators import features as FE
 from textlab.operators import metrics as M
 from textlab.operators.zeroshot import LEXICON, with_lexicon_hits
 from textlab.plans import sqlfrag as S
-from textlab.plans.registry import query, text_table
+from textlab.plans.registry import query, table, text_table
 
 # --- fixed values: encoder length of the fixtures ---
-MAX_LEN = 128
+MAX_LEN = 512
 
 
-def docs_indexed(spark, sf):
-    d = text_table(spark, sf, "documents", ["doc_id", "lang", "text"])
-    classes = FE.class_list(d, "lang")
-    return d.withColumn("idx", FE.index_labels(d, "lang", classes)), classes
+#: Classes of the lexicon scorer, in class id order.
+CLASSES = sorted(LEXICON)
 
 
 CLS_SQL = """c as (select lang, cast(row_number() over (order by lang) - 1 as int) idx, count(*) over () k
              from (select distinct lang from documents where lang is not null))"""
 
 
+LEX_SQL = f"""c as (select lang, cast(row_number() over (order by lang) - 1 as int) idx
+             from (values {', '.join(f"('{c}')" for c in CLASSES)}) v(lang))"""
+
+
+def docs_indexed(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    return FE.with_index(d, "lang", FE.class_index(d, "lang")).where(F.col("idx").isNotNull())
+
+
 @query("label_index", f"with {CLS_SQL} select doc_id, lang, idx from documents join c using (lang)")
 def q_label_index(spark, sf):
-    d, _ = docs_indexed(spark, sf)
-    return d.select("doc_id", "lang", "idx")
+    return docs_indexed(spark, sf).select("doc_id", "lang", "idx")
 
 
 @query("one_hot", f"""with {CLS_SQL}
 select doc_id, array_to_string(list_transform(range(k), lambda j: case when j = idx then 1 else 0 end), ',') vec
 from documents join c using (lang)""")
 def q_one_hot(spark, sf):
-    d, classes = docs_indexed(spark, sf)
-    return d.select("doc_id", join_numbers(one_hot(F.col("idx"), len(classes))).alias("vec"))
+    hot = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: (j == F.col("idx")).cast("int"))
+    return docs_indexed(spark, sf).select("doc_id", join_numbers(hot).alias("vec"))
 
 
 def hits_sql(lex: dict) -> str:
-    """Per document: list of lexicon hits in sorted class order (k from data)."""
+    """Per document: list of lexicon hits in class order."""
     vals = ", ".join(f"('{w}', '{lab}')" for lab in sorted(lex) for w in lex[lab])
-    return f"""{CLS_SQL},
+    return f"""{LEX_SQL},
 tok as (select doc_id, unnest({S.tokens('text')}) token from documents),
 lx as (select token, label from (values {vals}) v(token, label)),
 hc as (select t.doc_id, lx.label, count(*) n from tok t join lx using (token) group by all),
@@ -55,16 +61,15 @@ pp as (select doc_id, lang, hits, list_transform(e, lambda x: x / list_sum(e)) p
 
 
 def probs(spark, sf):
-    d, classes = docs_indexed(spark, sf)
-    lex = {c: LEXICON.get(c, []) for c in classes}
-    d = with_lexicon_hits(d, "text", classes, lex, "hits")
-    return d.withColumn("p", softmax(F.col("hits"))), classes
+    d = text_table(spark, sf, "documents", ["doc_id", "lang", "text"])
+    d = with_lexicon_hits(d, "text", CLASSES, LEXICON, "hits")
+    return d.withColumn("p", softmax(F.col("hits"))).withColumn("idx", FE.index_labels("lang", CLASSES))
 
 
 @query("softmax", f"""with {hits_sql(LEXICON)}
 select doc_id, array_to_string(list_transform(p, lambda x: printf('%.6f', x)), ',') p from pp""")
 def q_softmax(spark, sf):
-    d, _ = probs(spark, sf)
+    d = probs(spark, sf)
     return d.select("doc_id", FE.format_probs(F.col("p")).alias("p"))
 
 
@@ -72,8 +77,8 @@ def q_softmax(spark, sf):
 am as (select doc_id, list_position(p, list_max(p)) - 1 idx from pp)
 select doc_id, c.lang y_pred from am join c using (idx)""")
 def q_label_inverse(spark, sf):
-    d, classes = probs(spark, sf)
-    return d.select("doc_id", FE.inverse_labels(argmax(F.col("p")), classes).alias("y_pred"))
+    d = probs(spark, sf)
+    return d.select("doc_id", FE.inverse_labels(argmax(F.col("p")), CLASSES).alias("y_pred"))
 
 
 @query("weighted_ce", f"""with {hits_sql(LEXICON)},
@@ -82,9 +87,9 @@ w as (select lang, cast(sum(n) over () as double) / (count(*) over () * n) w fro
 t as (select pp.doc_id, w.w, greatest(p[c.idx + 1], 1e-12) py from pp join c using (lang) join w using (lang))
 select cast(count(*) as bigint) n, round(avg(-w * ln(py)), 6) loss, round(avg(-ln(py)), 6) loss_unweighted from t""")
 def q_weighted_ce(spark, sf):
-    d, classes = probs(spark, sf)
+    d = probs(spark, sf).where(F.col("idx").isNotNull())
     w = M.class_weights(d.select("lang"), "lang")
-    j = d.join(F.broadcast(w.select("lang", "w")), "lang")  # one row per checked class
+    j = d.join(w.select("lang", "w"), "lang")  # one row per class
     term = FE.weighted_ce(F.col("p"), F.col("idx"), F.col("w"))
     plain = FE.weighted_ce(F.col("p"), F.col("idx"), F.lit(1.0))
     return j.agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.round(F.avg(term), 6).alias("loss"),

@@ -8,17 +8,17 @@ from textlab.operators import metrics as M
 from textlab.operators import models as MD
 from textlab.operators import sampling as SM
 from textlab.plans import sqlfrag as S
-from textlab.plans.q_sampling import HOLD_SQL, SEED, SIZES, corpus, hold, part_a
+from textlab.plans.q_sampling import HOLD_SQL, SEED, SIZES, corpus, hold, part_a, part_a_ids
 from textlab.plans.registry import query, table, text_table
 from textlab.session import scratch_dir
 
 
-def nb_model(spark, sf, held=None):
-    return MD.nb_train(part_a(spark, sf, held), "text", "label")
+def nb_model(spark, sf):
+    return MD.nb_train(part_a(spark, sf), "text", "label")
 
 
-def part_b(spark, sf, held=None):
-    return (held if held is not None else hold(spark, sf)).select("doc_id", "label", "text")
+def part_b(spark, sf):
+    return hold(spark, sf).select("doc_id", "label", "text")
 
 
 def nb_sql(train: str, score: str, mc: list[str] = ()) -> str:
@@ -65,8 +65,7 @@ b as (select h.doc_id, c.text from hold h join corpus c using (doc_id)),
 {nb_sql('a', 'b')}
 select doc_id, y_pred from pred""")
 def q_nb_predict(spark, sf):
-    held = hold(spark, sf, reuse=True)
-    return MD.nb_predict(nb_model(spark, sf, held), part_b(spark, sf, held), "doc_id", "text").select("doc_id", "y_pred")
+    return MD.nb_predict(nb_model(spark, sf), part_b(spark, sf), "doc_id", "text").select("doc_id", "y_pred")
 
 
 @query("auto_label", f"""with corpus as (select l.doc_id, l.quality label, d.text from labels l join documents d using (doc_id)),
@@ -101,48 +100,51 @@ def q_learning_curve(spark, sf):
     """Metric by training size: seeded draws with replacement for each size,
     plus the whole training part as the 'full' anchor; all models train and
     score in the same jobs (model key = n_train, full)."""
-    held = hold(spark, sf, reuse=True)
-    a = part_a(spark, sf, held)
-    n_a = a.count()
-    sub = SM.subset_sizes(a, SEED, "doc_id", SIZES, n=n_a).select("n_train", F.lit(False).alias("full"), "label", "text")
-    full = a.select(F.lit(n_a).cast("bigint").alias("n_train"), F.lit(True).alias("full"), "label", "text")
-    model = MD.nb_train(sub.unionByName(full), "text", "label", model_cols=["n_train", "full"])
-    b = part_b(spark, sf, held)
-    values = [(s, False) for s in SIZES] + ([(n_a, True)] if n_a else [])
-    pred = MD.nb_predict(model, b, "doc_id", "text", model_values=values)
+    ids = part_a_ids(spark, sf)
+    n_a = ids.count()
+    # sizes are drawn on ids alone; the few drawn texts are fetched by one join
+    sub = SM.subset_sizes(ids, SEED, "doc_id", SIZES, n=n_a).select("n_train", F.lit(False).alias("full"), "doc_id", "label")
+    full = ids.select(F.lit(n_a).cast("bigint").alias("n_train"), F.lit(True).alias("full"), "doc_id", "label")
+    texts = text_table(spark, sf, "documents", ["doc_id", "text"])
+    model = MD.nb_train(sub.unionByName(full).join(texts, "doc_id"), "text", "label", model_cols=["n_train", "full"])
+    b = part_b(spark, sf)
+    pred = MD.nb_predict(model, b, "doc_id", "text")
     j = pred.join(b.select("doc_id", F.col("label").alias("y_true")), "doc_id")
     return M.classification_report(j, ["n_train", "full"], "y_true", "y_pred")
 
 
-def lr_model(spark, sf, held=None):
-    a = part_a(spark, sf, held)
+def lr_model(spark, sf):
+    a = part_a(spark, sf)
     if a.isEmpty():  # nothing to learn from (tiny data): no model
         return None
     w = M.class_weights(a, "label")
-    return MD.lr_fit(SM.weight_rows(a, w, "label"), "text", "label", "w", max_iter=30, num_features=1 << 16)
+    return MD.lr_fit(SM.weight_rows(a, w, "label"), "text", "label", "w", max_iter=30)
 
 
-@query("lr_predict")
+@query("lr_predict", f"""with {HOLD_SQL}, classes as (select distinct label from a)
+select doc_id, true known_class from hold where exists (select 1 from a)""")
 def q_lr_predict(spark, sf):
-    held = hold(spark, sf, reuse=True)
-    model = lr_model(spark, sf, held)
-    b = part_b(spark, sf, held)
+    """Predictions of the hold-out: one per document, each a class of the training part."""
+    model = lr_model(spark, sf)
+    b = part_b(spark, sf)
     if model is None:
-        return b.where(F.lit(False)).select("doc_id", F.lit(None).cast("int").alias("y_pred"))
-    return MD.lr_predict(model, b, "doc_id")
+        return b.where(F.lit(False)).select("doc_id", F.lit(True).alias("known_class"))
+    classes = part_a_ids(spark, sf).select(F.col("label").cast("int").alias("y_pred"), F.lit(True).alias("hit")).distinct()
+    out = MD.lr_predict(model, b, "doc_id").join(classes, "y_pred", "left")
+    return out.select("doc_id", F.coalesce("hit", F.lit(False)).alias("known_class"))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", f"""with {HOLD_SQL}, n as (select case when (select count(*) from a) > 0 then count(*) else 0 end n from hold)
+select cast(n as bigint) n, cast(n as bigint) n_equal from n""")
 def q_model_roundtrip(spark, sf):
     """Save and reload the fitted pipeline; predictions must be identical."""
-    held = hold(spark, sf, reuse=True)
-    model = lr_model(spark, sf, held)
+    model = lr_model(spark, sf)
     if model is None:
         return spark.range(1).select(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("n_equal"))
     path = scratch_dir(spark, "model")
     MD.save_model(model, path)
     again = MD.load_model(path)
-    b = part_b(spark, sf, held)
+    b = part_b(spark, sf)
     p1 = MD.lr_predict(model, b, "doc_id", "p1")
     p2 = MD.lr_predict(again, b, "doc_id", "p2")
     j = p1.join(p2, "doc_id")

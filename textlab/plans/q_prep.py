@@ -88,11 +88,11 @@ def q_vote_drop_ties(spark, sf):
 c as (select user_id, vday, v, count(*) n from v group by all),
 t as (select user_id, vday, max(n) top from c group by all),
 m as (select user_id, vday, count(*) n_modes, min(v) v from c join t using (user_id, vday) where n = top group by all),
-lab as (select user_id, vday, case when n_modes = 1 then v else 0 end label from m)
+lab as (select user_id, vday, case when n_modes = 1 and v in (-1, 0, 1) then v else 0 end label from m)
 select user_id, vday, case when label = -1 then 0 else label end label from lab where label <> 0""")
 def q_vote_neutral(spark, sf):
     v = votes(spark, sf).select("user_id", "vday", P.recode_map("event_type", EVENT_POLARITY, F.lit(99)).alias("v"))
-    return P.binary_from_polar(P.vote_neutral(v, ["user_id", "vday"], "v"))
+    return P.binary_from_polar(P.vote_neutral(v, ["user_id", "vday"], "v", codes=list(EVENT_POLARITY)))
 
 
 @query("drop_first_group", f"""with {VOTE_SQL}
@@ -111,6 +111,7 @@ def decorated(spark, sf):
                                        F.col("doc_id").cast("string"), F.lit('  "'), "text", F.lit('"')).alias("x"))
 
 
+# --- fixed values: the URL and handle patterns of the cleaner, for DuckDB ---
 URL_SQL = (r"https?:\/\/(?:www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b"
            r"(?:[-a-zA-Z0-9()@:%_\+.~#?&\/=]*)")
 HANDLE_SQL = "@" + S.WORD + "{2,15}"
@@ -147,6 +148,6 @@ def q_normalise_ws(spark, sf):
 select conv_id, turn, md5(x) h, cast(length(x) as bigint) n from s""")
 def q_concat_context(spark, sf):
     conv = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    nb = lag_lead(conv, ["conv_id"], "turn", "text", "before", "after")  # no whole-conversation partition
+    nb = lag_lead(conv, ["conv_id"], "turn", "text", "before", "after")
     c = nb.select("conv_id", "turn", T.concat_context("before", "text", "after").alias("x"))
     return c.select("conv_id", "turn", F.md5("x").alias("h"), F.length("x").cast("bigint").alias("n"))

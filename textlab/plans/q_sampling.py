@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from textlab.operators import metrics as M
@@ -30,20 +29,26 @@ def corpus_ids(spark, sf):
     return lab.join(table(spark, sf, "documents").select("doc_id"), "doc_id")
 
 
-def hold(spark, sf, reuse: bool = False):
+def hold_keys(spark, sf):
+    return SM.holdout_keys(corpus_ids(spark, sf), SEED, "doc_id", HOLDOUT_N)
+
+
+def hold(spark, sf):
     """The N-row hold-out (doc_id, label, text, pos).  The N keys are chosen
     on the id-only corpus; their texts are then fetched by a broadcast join
     of those N rows (a parameter bound) against the documents, so no text is
-    shuffled.  ``reuse`` persists the N rows for queries that read them twice."""
+    shuffled."""
     keys = SM.holdout(corpus_ids(spark, sf), SEED, "doc_id", HOLDOUT_N)
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    h = docs.join(F.broadcast(keys), "doc_id").select("doc_id", "label", "text", "pos")
-    return h.persist(StorageLevel.MEMORY_AND_DISK) if reuse else h
+    return docs.join(F.broadcast(keys), "doc_id").select("doc_id", "label", "text", "pos")
+
+
+def part_a(spark, sf):
+    return SM.complement(corpus(spark, sf), F.broadcast(hold_keys(spark, sf)), "doc_id")  # N ids
 
 
-def part_a(spark, sf, held=None):
-    taken = held if held is not None else SM.holdout_keys(corpus_ids(spark, sf), SEED, "doc_id", HOLDOUT_N)
-    return SM.complement(corpus(spark, sf), taken, "doc_id", HOLDOUT_N)
+def part_a_ids(spark, sf):
+    return SM.complement(corpus_ids(spark, sf), F.broadcast(hold_keys(spark, sf)), "doc_id")  # N ids
 
 
 H = S.hkey(str(SEED), "doc_id")

@@ -17,7 +17,7 @@ SMALL_BATCH_MODEL, SMALL_BATCH, BATCH = "DEB-V3", 2, 4
 GRID_SEEDS = [1234, 3456, 5678]
 LANG_TAG = "en"
 TRANSLATE_LANGS = ["de", "fr"]
-MAX_TRANSLATE_CHARS = 15000
+UNTRANSLATABLE = "###"
 
 
 def _sql_str(s: str) -> str:
@@ -35,16 +35,14 @@ def q_prompt_render(spark, sf):
     return d.select("doc_id", F.md5("prompt").alias("h"), F.length("prompt").cast("bigint").alias("n"))
 
 
-def stub_answer(prompts: pd.Series, attempt: int) -> pd.Series:
-    """Deterministic stand-in for a remote model: on the first attempt one in
-    five prompts gets an unusable answer, others a quoted label; the second
-    attempt always answers a bare label."""
-    def one(p):
-        v = int(hashlib.md5(p.encode("utf-8")).hexdigest()[:8], 16)
-        if attempt == 1:
-            return "maybe" if v % 5 == 0 else f"'{LEXICON_LABELS[v % 4]}'"
-        return LEXICON_LABELS[(v // 7) % 4]
-    return prompts.map(one)
+def stub_answer(digests: pd.Series, attempt: int) -> pd.Series:
+    """Deterministic stand-in for a remote model, which sees a prompt's digest: on the first attempt one in
+    five prompts gets an unusable answer, others a quoted label; the second attempt always answers a bare
+    label."""
+    v = digests.str[:8].map(lambda h: int(h, 16))
+    if attempt == 1:
+        return ("'" + (v % 4).map(dict(enumerate(LEXICON_LABELS))) + "'").where(v % 5 != 0, "maybe")
+    return (v // 7 % 4).map(dict(enumerate(LEXICON_LABELS)))
 
 
 @query("answer_parse", f"""with p as (select doc_id, {PROMPT_SQL} prompt from documents),
@@ -55,20 +53,21 @@ a as (select doc_id, case when v % 5 = 0 then {['en','de','fr','es']}[(v // 7) %
 select doc_id, answer, cast(list_position({['en','de','fr','es']}, replace(answer, '''', '')) - 1 as int) y_pred,
   cast(attempts as int) attempts from a""")
 def q_answer_parse(spark, sf):
-    d = text_table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", prompt_column("text").alias("prompt"))
+    d = text_table(spark, sf, "documents", ["doc_id", "text"]).select(
+        "doc_id", F.md5(prompt_column("text")).alias("prompt"))
     out = answer_loop(d, "prompt", stub_answer, LEXICON_LABELS, max_attempts=3)
     return out.select("doc_id", "answer", "y_pred", "attempts")
 
 
 def stub_translate(texts: pd.Series) -> pd.Series:
-    """Stand-in for a translation service: tags the text; fails on very long texts."""
-    if (texts.str.len() > MAX_TRANSLATE_CHARS).any():
-        raise ValueError("text too long for the service")
+    """Stand-in for a translation service: tags the text; refuses texts with a marker."""
+    if texts.str.contains(UNTRANSLATABLE, regex=False).any():
+        raise ValueError("the service refuses this text")
     return "T:" + texts
 
 
 @query("map_text_fallback", f"""select doc_id, md5(case when lang in ({', '.join(repr(x) for x in TRANSLATE_LANGS)})
-    then (case when length(text) > {MAX_TRANSLATE_CHARS} then '' else 'T:' || text end) else text end) h
+    then (case when text is null or contains(text, '{UNTRANSLATABLE}') then '' else 'T:' || text end) else text end) h
 from documents""")
 def q_map_text_fallback(spark, sf):
     d = text_table(spark, sf, "documents", ["doc_id", "lang", "text"])
@@ -80,11 +79,14 @@ def q_map_text_fallback(spark, sf):
   s.seed, case when m.model = '{SMALL_BATCH_MODEL}' then {SMALL_BATCH} else {BATCH} end batch
 from (select distinct lang from documents) d, (values {', '.join(f"('{m}')" for m in MODELS)}) m(model),
   (values {', '.join(f'({s})' for s in GRID_SEEDS)}) s(seed)""")
-def q_experiment_grid(spark, sf, custom_model: str | None = None):
-    """Datasets (from the data) x models x seeds as rows, via generators."""
+def q_experiment_grid(spark, sf, custom_model: str | None = None, custom_for: str = MODELS[0]):
+    """Datasets (from the data) x models x seeds as rows, via generators.
+
+    A custom model name stands in the run id for the one model code ``custom_for``."""
     ds = table(spark, sf, "documents").select(F.col("lang").alias("dataset")).distinct()
     g = ds.select("dataset", F.explode(F.array(*[F.lit(m) for m in MODELS])).alias("model")) \
           .select("dataset", "model", F.explode(F.array(*[F.lit(s) for s in GRID_SEEDS])).alias("seed"))
-    name = F.coalesce(F.lit(custom_model), F.col("model"))
+    name = F.when(F.lit(custom_model).isNotNull() & (F.col("model") == custom_for), F.lit(custom_model)) \
+        .otherwise(F.col("model"))
     return g.select(F.concat_ws("-", "dataset", name, F.lit(LANG_TAG)).alias("run_id"), "dataset", "model", "seed",
                     F.when(F.col("model") == SMALL_BATCH_MODEL, SMALL_BATCH).otherwise(BATCH).alias("batch"))

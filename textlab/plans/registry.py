@@ -36,30 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, factor: int = 4, max_bytes_per_core: int = 64 << 20) -> DataFrame:
-    """Give CPU-heavy per-row text work enough tasks, when that is cheap.
-
-    Small or single-row-group files scan as a handful of tasks, and per-row
-    regex / tokenising work then runs on a few cores.  Rows are spread
-    round-robin (deterministic on retry) only when the scan has fewer
-    partitions than ``factor`` x the cluster's parallelism AND the estimated
-    input (Catalyst's size estimate, from file sizes) is at most
-    ``max_bytes_per_core`` per core, i.e. when the extra shuffle is small
-    next to the parallelism it buys.  Large inputs are never reshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    target = cores * factor
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    try:
-        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = v if isinstance(v, int) else int(v.toString())
-    except Exception:  # no estimate: stay conservative
-        return df
-    return df.repartition(target) if size <= cores * max_bytes_per_core else df
-
-
 def text_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """A table whose rows feed per-row text processing (pruned, then spread)."""
+    """A table pruned to the columns that a text query reads; its partitions are those of the scan
+    (``spark.sql.files.maxPartitionBytes``)."""
     df = table(spark, sf_dir, name)
-    return spread(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df

@@ -42,11 +42,15 @@ def get_spark(app: str = "textlab", cpus: int | str | None = None,
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Set a local one only when the session has none (local mode / tests).
+    A local one is set only when the session has none and its master is
+    local (tests); on a cluster that would be a different folder on each
+    machine, so a missing setting is an error there.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="textlab-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
