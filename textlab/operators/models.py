@@ -59,12 +59,11 @@ def nb_train(df: DataFrame, text: str, label: str, model_cols: list[str] = (), a
         F.sum(F.when(is_doc, F.col("n")).otherwise(0)).alias("n_docs"),
         F.sum(F.when(is_doc, 0).otherwise(F.col("n"))).alias("total"))
     size = tc.groupBy(*mc, "token").agg(F.lit(1).alias("one")).groupBy(*mc).agg(F.count("token").alias("V"))
-    one = [] if mc else ["_all"]  # a single model: one constant key
-    if one:
-        classes, size = classes.withColumn("_all", F.lit(0)), size.withColumn("_all", F.lit(0))
-    of_model = Window.partitionBy(*mc, *one)  # a row per class
+    # a single model's vocabulary size is one number
+    classes = classes.join(size, mc) if mc else classes.withColumn("V", size.select("V").scalar())
+    of_model = Window.partitionBy(*mc) if mc else Window.partitionBy(F.lit(0))  # a row per class
     denom = F.col("total") + F.lit(float(alpha)) * F.col("V")
-    classes = classes.join(size, [*mc, *one]).select(
+    classes = classes.select(
         *mc, "label", "n_docs", "total", "V", F.ln(F.col("n_docs") / F.sum("n_docs").over(of_model)).alias("log_prior"),
         F.when(denom > 0, F.ln(F.lit(float(alpha)) / denom)).otherwise(F.lit(float("-inf"))).alias("log_default"))
     tok = tc.where(~is_doc).join(classes, [*mc, "label"]).select(
@@ -105,10 +104,9 @@ def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, out: str =
         F.sort_array(F.collect_list(F.struct("label", "log_prior", "log_default"))).alias("own"))
     models = per_model.agg(F.collect_list(F.struct("model", "own")).alias("models"),
                            F.sort_array(F.array_distinct(F.flatten(F.collect_list("own.label")))).alias("labels"))
-    # one row: a document's key joins it through a constant
-    x = (docs.select(F.col(key), F.lit(0).alias("_one")).join(F.broadcast(models.withColumn("_one", F.lit(0))), "_one")
-         .join(sums, F.col(key).eqNullSafe(F.col("_key")), "left"))
-    x = x.select(key, "labels", "sums", F.inline("models"))
+    every = models.select(F.struct("models", "labels").alias("every")).scalar()  # one row: a scalar subquery, no join
+    x = docs.select(F.col(key), every.alias("_every")).select(key, "_every.models", "_every.labels")
+    x = x.join(sums, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "labels", "sums", F.inline("models"))
 
     def found(label: Column) -> Column:
         hit = F.filter("sums", lambda e: (e["model"] == F.col("model")) & e["label"].eqNullSafe(label))
