@@ -19,17 +19,6 @@ def softmax(arr: Column) -> Column:
     return F.transform(e, lambda x: x / s)
 
 
-def one_hot(idx: Column, k: int) -> Column:
-    """Dense one-hot vector of length k for a 0-based index."""
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.when(j == idx, 1).otherwise(0))
-
-
-def pad_right(arr: Column, length: int, pad) -> Column:
-    """Right-pad ``arr`` to ``length`` with ``pad`` (arr must not be longer)."""
-    n = F.lit(length) - F.size(arr)
-    return F.concat(arr, F.array_repeat(F.lit(pad).cast("int"), F.greatest(n, F.lit(0))))
-
-
 def join_numbers(arr: Column, sep: str = ",") -> Column:
     """Array of numbers as text (stable across engines for ints)."""
     return F.array_join(F.transform(arr, lambda x: x.cast("string")), sep)

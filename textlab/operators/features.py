@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlab.functions.arrays import argmax, join_numbers, softmax  # noqa: F401
 from textlab.functions.random import draw
 
 # --- fixed values: special token ids and default sizes of the encoder ---

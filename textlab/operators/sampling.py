@@ -52,11 +52,6 @@ def seeded_rank(df: DataFrame, seed, key: str, by: list[str] = (), bucket_digits
     return ranked.drop("_h", "_b", "_off", "_tot")
 
 
-def shuffle_order(df: DataFrame, seed, key: str) -> DataFrame:
-    """Rows sorted by their seeded draw (a seeded permutation)."""
-    return df.orderBy(hash_key(seed, F.col(key)), F.col(key))
-
-
 def holdout(df: DataFrame, seed, key: str, n: int, out: str = "pos") -> DataFrame:
     """Exactly ``n`` rows without replacement, in shuffled order.
 

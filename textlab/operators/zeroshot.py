@@ -201,5 +201,6 @@ def prompt_column(text: str, labels: list[str] = LEXICON_LABELS, template: str =
     return render_prompt(template, text, labels)
 
 
-__all__ = ["LEXICON", "LEXICON_LABELS", "PROMPT_TEMPLATE", "lexicon_tokens", "hits_from_tokens", "with_lexicon_hits", "lexicon_predict",
-           "scorer_predict", "label_to_id", "answer_loop", "unresolved", "answer_again", "map_text", "prompt_column", "normalise_answer"]
+__all__ = ["LEXICON", "LEXICON_LABELS", "PROMPT_TEMPLATE", "lexicon_tokens", "hits_from_tokens", "with_lexicon_hits",
+           "lexicon_predict", "scorer_predict", "label_to_id", "answer_loop", "unresolved", "answer_again", "map_text",
+           "prompt_column", "normalise_answer"]
