@@ -32,6 +32,30 @@ def q_src_labelled_lines(spark, sf):
     return IO.labelled_lines(IO.split_lines(text_table(spark, sf, "documents", ["doc_id", "text"]), "doc_id", "text"))
 
 
+def text_files(spark, sf):
+    """The documents' texts as text files in the shared folder."""
+    path = scratch_dir(spark, "lines")
+    d = text_table(spark, sf, "documents", ["text"]).where(F.col("text").isNotNull())
+    d.write.option("lineSep", "\n").text(path)
+    return path
+
+
+@query("src_line_files", """select md5(line) h, cast(count(*) as bigint) n
+from (select unnest(string_split(text, chr(10))) line from documents) group by 1""")
+def q_src_line_files(spark, sf):
+    lines = IO.read_line_files(spark, text_files(spark, sf))
+    return lines.groupBy(F.md5("line").alias("h")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@query("src_labelled_files", f"""with l as (select unnest(string_split(text, chr(10))) line from documents),
+s as (select regexp_replace(line, '^{S.WS}+|{S.WS}+$', '', 'g') line from l),
+v as (select md5(case when line in ({_NA_SQL}) then null else line end) h from s where line <> '')
+select h, cast(count(*) as bigint) n from v group by h""")
+def q_src_labelled_files(spark, sf):
+    lines = IO.labelled_lines(IO.read_line_files(spark, text_files(spark, sf)))
+    return lines.groupBy(F.md5("line").alias("h")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
 @query("src_labels", "select doc_id, quality label from labels")
 def q_src_labels(spark, sf):
     path = scratch_dir(spark, "labels")

@@ -66,6 +66,13 @@ def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
     return with_position(df.withColumnRenamed("value", "line"))
 
 
+def read_line_files(spark: SparkSession, path: str) -> DataFrame:
+    """Unlabelled reader of any number of text files: (file, line), lines kept as they are.  Files split freely,
+    so lines have no positions; pair such tables by a key instead."""
+    df = spark.read.option("lineSep", "\n").text(path)
+    return df.select(F.input_file_name().alias("file"), F.col("value").alias("line"))
+
+
 def read_labelled_lines(spark: SparkSession, path: str) -> DataFrame:
     """Labelled reader: positions are assigned after blank lines are dropped
     (that is what shifts later rows); use ``align_positional`` to pair."""
