@@ -270,3 +270,35 @@ def test_lm_scores_against_brute_force(make):
 def test_lm_scores_odd_rows(odd, none, make):
     labels = make("doc_id long, quality int, text string", [])
     assert lm_scores.score(odd, labels).count() == odd.count() and lm_scores.score(none, labels).count() == 0
+
+
+def test_lm_scores_count_bigrams_exactly(make, monkeypatch):
+    """More distinct bigrams than any table of fixed size holds apart, in blocks that share bigrams."""
+    from tokenizers import Tokenizer
+
+    from textlab.llm.tokens import default_path
+    monkeypatch.setattr(lm_scores, "BLOCK", 1 << 14, raising=False)
+    rnd = random.Random(8)
+    tok = Tokenizer.from_file(default_path())
+    own = sorted(w[:-4] for w in tok.get_vocab() if re.fullmatch("[a-z]{5,}</w>", w))[::4]
+    rows = [(k, " ".join(rnd.choices(own, k=500))) for k in range(400)]
+    docs, labels = make("doc_id long, text string", rows).repartition(3), make("doc_id long, quality int", [(k, 1) for k in range(100)])
+    got = {r["doc_id"]: r for r in lm_scores.score(docs, labels).collect()}
+    ids = {i: tok.encode(t, add_special_tokens=False).ids for i, t in rows}
+    size = tok.get_vocab_size(with_added_tokens=True)
+    for corpus, column in ((range(100), "target_loss"), (range(400), "background_loss")):
+        pairs, single = Counter(), Counter()
+        for j in corpus:
+            single.update(ids[j])
+            pairs.update(zip(ids[j], ids[j][1:]))
+        assert len(pairs) > 10_000
+        for i in (0, 50, 99, 100, 250, 399):
+            mine = (Counter(zip(ids[i], ids[i][1:])), Counter(ids[i])) if i in corpus else (Counter(), Counter())
+            total, out = sum(single.values()) - sum(mine[1].values()), []
+            for k, x in enumerate(ids[i]):
+                uni = bi = (single[x] - mine[1][x] + 1) / (total + size)
+                v = ids[i][k - 1]
+                if k and single[v] > mine[1][v]:
+                    bi = (pairs[v, x] - mine[0][v, x]) / (single[v] - mine[1][v])
+                out.append(-math.log2(lm_scores.MIX * bi + (1 - lm_scores.MIX) * uni))
+            assert abs(got[i][column] - sum(out) / len(out)) < 1e-9

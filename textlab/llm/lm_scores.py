@@ -7,10 +7,13 @@ taken out of both before it is scored, so that having taught a model is no
 advantage.  The score is the background's loss per token less the target's:
 the higher, the more a document resembles the target.
 
-Bigrams are counted in 2**``bits`` hashed cells, so a model has a fixed size
-(two 8-byte counts a cell: 16 MB) whatever the corpus; each task sums its
-own cells, the summed table is collected and broadcast.  Ids are made once
-and written to the shared folder for the second pass.
+Bigrams are counted exactly.  Ids are made once and written to the shared
+folder, in blocks of about ``BLOCK`` tokens.  Each block gives a row for each of its
+distinct bigrams; these are summed by bigram over all blocks, and every
+block gets the sums of its own bigrams back and scores its documents.  What
+is shuffled grows with the input; a bigram has a row a block at most, so no
+common one is a hot key.  Only the counts by id, as many as the vocabulary
+has ids, are collected and broadcast.
 
 Defined results: a NULL or empty text has no tokens, NULL losses and score
 0; conflicting or NULL labels are no target; without any target document the
@@ -25,95 +28,142 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.llm.common import rows_of, texts
 from textlab.llm.tokens import LibraryBackend, default_path, encoder
 from textlab.session import scratch_dir
 
-BITS = 20
+#: Tokens (and documents) of a block; a longer document is a block of its own.
+BLOCK = 1 << 20
 #: Weight of the bigram estimate.
 MIX = 0.7
 
 
-def cells(ids: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """The cell of each token with the token before it (0xFFFFFFFF before the first)."""
-    before = np.concatenate([[0xFFFFFFFF], ids[:-1]]).astype(np.uint64)
-    key = (before << np.uint64(32)) | ids.astype(np.uint64)
-    key = (key ^ (key >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    key = (key ^ (key >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return (key >> np.uint64(64 - bits)).astype(np.int64)
+def pairs_of(ids: np.ndarray) -> np.ndarray:
+    """Each token but the first with the token before it, as one number."""
+    return (ids[:-1] << 32) | ids[1:]
+
+
+def own_counts(keys: np.ndarray) -> np.ndarray:
+    """How often each of ``keys`` stands among them."""
+    _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return n[at]
 
 
 @dataclass
 class Counts:
-    """Counts of a corpus: by cell, by id, and in all."""
+    """Counts of a corpus by id, and in all."""
 
-    pairs: np.ndarray
     ids: np.ndarray
-
-    def loss(self, ids: np.ndarray, at: np.ndarray, own: bool) -> float:
-        """Bits per token; with ``own`` the text's own counts are taken out first."""
-        pairs, single, before, total = self.pairs[at], self.ids[ids], self.ids[ids[:-1]], self.ids.sum()
-        if own:
-            _, k, n = np.unique(at, return_inverse=True, return_counts=True)
-            pairs = pairs - n[k]
-            _, k, n = np.unique(ids, return_inverse=True, return_counts=True)
-            single, before, total = single - n[k], before - n[k][:-1], total - len(ids)
-        # the first token has no history: its bigram estimate is the unigram's
+    total: int
+
+    def loss(self, ids: np.ndarray, pairs: np.ndarray, own: tuple[np.ndarray, np.ndarray] | None) -> float:
+        """Bits per token; ``pairs``: the corpus's counts of the text's bigrams; ``own``: the text's own
+        counts, by token and by bigram, that are taken out first."""
+        single, total = self.ids[ids], self.total
+        if own is not None:
+            single, pairs, total = single - own[0], pairs - own[1], total - len(ids)
+        # of each token's predecessor; the first token has none: its bigram estimate is the unigram's
+        before = self.ids[ids[:-1]] - (0 if own is None else own[0][:-1])
         unigram = (single + 1) / (total + len(self.ids))
         bigram = unigram.copy()
         seen = before > 0
-        bigram[1:][seen] = np.minimum(pairs[1:][seen] / before[seen], 1)
-        bigram[1:][~seen] = unigram[1:][~seen]
+        bigram[1:][seen] = pairs[seen] / before[seen]
         return float(-np.log2(MIX * bigram + (1 - MIX) * unigram).mean())
 
 
-def encoded(docs: DataFrame, wanted: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, is_target, ids) with little-endian 32-bit ids; ``wanted``: distinct doc_ids."""
+def encoded(docs: DataFrame, wanted: DataFrame, path: str, width: str, id_col: str, text_col: str) -> DataFrame:
+    """(block, doc_id, is_target, ids) with ids as numpy's ``width``; ``wanted``: distinct doc_ids."""
     flagged = texts(docs, id_col, text_col).join(wanted.withColumn("is_target", F.lit(True)), "doc_id", "left")
+    most = BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(LibraryBackend, path)
+        block, n = TaskContext.get().partitionId() << 32, 0
         for rows in rows_of(batches):
+            blocks, ids = [], [np.frombuffer(raw, "<u4").astype(width).tobytes() for raw in enc.encode(rows["text"])]
+            for raw in ids:
+                size = 1 + len(raw) // np.dtype(width).itemsize
+                if n and n + size > most:
+                    block, n = block + 1, 0
+                blocks.append(block)
+                n += size
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["doc_id"], pa.int64()), pa.array([bool(x) for x in rows["is_target"]]),
-                 pa.array(enc.encode(rows["text"]), pa.binary())], names=["doc_id", "is_target", "ids"])
+                [pa.array(blocks, pa.int64()), pa.array(rows["doc_id"], pa.int64()),
+                 pa.array([bool(x) for x in rows["is_target"]]), pa.array(ids, pa.binary())],
+                names=["block", "doc_id", "is_target", "ids"])
 
-    return flagged.mapInArrow(run, "doc_id long, is_target boolean, ids binary")
+    return flagged.mapInArrow(run, "block long, doc_id long, is_target boolean, ids binary")
 
 
-def count(ids: DataFrame, size: int, bits: int = BITS) -> tuple[Counts, Counts]:
-    """Target and background counts; ``size``: ids of the vocabulary."""
+def count_ids(ids: DataFrame, size: int, width: str) -> tuple[Counts, Counts]:
+    """Target and background counts by id; ``size``: ids of the vocabulary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, (1 << bits) + size), np.int64)
+        total = np.zeros((2, size), np.int64)
         for rows in rows_of(batches):
-            for raw, is_target in zip(rows["ids"], rows["is_target"]):
-                own = np.frombuffer(raw, "<u4")
-                if len(own):
-                    at = np.concatenate([cells(own, bits), own.astype(np.int64) + (1 << bits)])
-                    np.add.at(total[1], at, 1)
-                    if is_target:
-                        np.add.at(total[0], at, 1)
+            for k, raws in enumerate(([r for r, t in zip(rows["ids"], rows["is_target"]) if t], rows["ids"])):
+                total[k] += np.bincount(np.frombuffer(b"".join(raws), width), minlength=size)
         key = np.flatnonzero(total[1])
-        for k in range(0, len(key), 1 << 16):
-            part = key[k:k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[0][part]), pa.array(total[1][part])],
-                                             names=["key", "target", "background"])
-
-    rows = (ids.mapInArrow(run, "key long, target long, background long")
-            .groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
-    got = rows.toArrow()  # at most 2**bits + size rows
-    key = got["key"].to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total[0][key]), pa.array(total[1][key])],
+                                         names=["key", "target", "background"])
+
+    got = (ids.select("is_target", "ids").mapInArrow(run, "key long, target long, background long")
+           .groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+           .toArrow())  # at most ``size`` rows
     out = []
     for name in ("target", "background"):
-        n = np.zeros((1 << bits) + size, np.int64)
-        n[key] = got[name].to_numpy()
-        out.append(Counts(n[:1 << bits], n[1 << bits:]))
+        n = np.zeros(size, np.int64)
+        n[got["key"].to_numpy()] = got[name].to_numpy()
+        out.append(Counts(n, int(n.sum())))
     return out[0], out[1]
 
 
+def count_pairs(ids: DataFrame, width: str) -> DataFrame:
+    """(block, pair, target, background): the corpus's counts of each block's bigrams.
+
+    A block that is read in parts gives a bigram once for each part, each time with the same sums.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, ([], [])  # bigrams of the block's target documents and of all
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            if held[1]:
+                key, background = np.unique(np.concatenate(held[1]), return_counts=True)
+                target = np.zeros(len(key), np.int64)
+                if held[0]:
+                    own, n = np.unique(np.concatenate(held[0]), return_counts=True)
+                    target[np.searchsorted(key, own)] = n
+                for k in range(0, len(key), 1 << 16):
+                    part = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(key[part]), block, np.int64)), pa.array(key[part]),
+                         pa.array(target[part]), pa.array(background[part])],
+                        names=["block", "pair", "target", "background"])
+            held[0].clear()
+            held[1].clear()
+
+        for rows in rows_of(batches):
+            for b, raw, is_target in zip(rows["block"], rows["ids"], rows["is_target"]):
+                if b != block:
+                    yield from counted()
+                    block = b
+                pairs = pairs_of(np.frombuffer(raw, width).astype(np.int64))
+                if len(pairs):
+                    held[1].append(pairs)
+                    if is_target:
+                        held[0].append(pairs)
+        yield from counted()
+
+    every = Window.partitionBy("pair")
+    return (ids.select("block", "is_target", "ids")
+            .mapInArrow(run, "block long, pair long, target long, background long")
+            .select("block", "pair", F.sum("target").over(every).alias("target"),
+                    F.sum("background").over(every).alias("background")))
+
+
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", path: str | None = None,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row; label 1 marks the target."""
@@ -122,27 +172,33 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", path:
     y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     wanted = (y.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
               .filter("lo = 1 and hi = 1").select("doc_id"))
+    from tokenizers import Tokenizer
+    size = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+    width = "<u2" if size <= 1 << 16 else "<u4"
     where = scratch_dir(spark, "lm")
-    encoded(docs, wanted, path, id_col, text_col).write.parquet(where)
+    encoded(docs, wanted, path, width, id_col, text_col).write.parquet(where, compression="zstd")
     ids = spark.read.parquet(where)
-    from tokenizers import Tokenizer
-    models = spark.sparkContext.broadcast(count(ids, Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)))
+    models = spark.sparkContext.broadcast(count_ids(ids, size, width))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         target, background = models.value
-        for rows in rows_of(batches):
-            found = []
-            for raw, is_target in zip(rows["ids"], rows["is_target"]):
-                own = np.frombuffer(raw, "<u4")
-                if not len(own):
-                    found.append((0, None, None, 0.0))
-                    continue
-                at = cells(own)
-                t, b = target.loss(own, at, is_target), background.loss(own, at, True)
-                found.append((len(own), t, b, b - t))
-            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["doc_id"], pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*found), kinds))],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return ids.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+        key = found["pair"].to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, of_target, of_all = key[order], found["target"].to_numpy()[order], found["background"].to_numpy()[order]
+        out = []
+        for raw, is_target in zip(rows["ids"].to_pylist(), rows["is_target"].to_pylist()):
+            own = np.frombuffer(raw, width).astype(np.int64)
+            if not len(own):
+                out.append((0, None, None, 0.0))
+                continue
+            pairs = pairs_of(own)
+            at, mine = np.searchsorted(key, pairs), (own_counts(own), own_counts(pairs))
+            t, b = target.loss(own, of_target[at], mine if is_target else None), background.loss(own, of_all[at], mine)
+            out.append((len(own), t, b, b - t))
+        kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        return pa.Table.from_arrays([rows["doc_id"], *(pa.array(c, k) for c, k in zip(zip(*out), kinds))],
+                                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    found = count_pairs(spark.read.parquet(where), width)
+    return ids.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+        run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
