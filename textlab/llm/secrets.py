@@ -1,11 +1,13 @@
 """Secret scans: patterns, and compression novelty in sensitive contexts.
 
 The patterns find named assignments, access keys and long hexadecimal
-strings.  For every other unbroken string near a sensitive name, the marginal
-cost is measured: the bytes that zstandard, primed with a dictionary of
+strings.  For every other unbroken string on either side of a sensitive name, the
+marginal cost is measured: the bytes that zstandard, primed with a dictionary of
 identifiers, needs for the surrounding text with the string less those
 without it.  What surroundings and dictionary cannot explain costs almost a
-byte per character and is reported as kind ``novel``.
+byte per character and is reported, whole, as kind ``novel``.  What was found is
+itself a sensitive place: the lines of a key, the parts of a dotted token and
+the values of a list are followed from one to the next.
 
 Defined results: NULL and empty texts hold nothing; repeated rows give equal
 results; spans are in code points, end exclusive; a novel string that
@@ -16,6 +18,7 @@ empty table.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,9 +36,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Names that make their surroundings sensitive.
 SENSITIVE = ("key", "secret", "token", "passw", "pwd", "auth", "credential", "private", "bearer", "login", "signature")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.ASCII | re.IGNORECASE)
-#: Characters before a string in which a sensitive name counts, and those compressed on each side.
+#: Characters between a string and a sensitive place, and those compressed on each side.
 NEAR, AROUND = 40, 200
-_STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,256}")
+_STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: The short last line of a string in lines, the others of which have ``LINE`` characters at least.
+LINE, _LAST = 40, re.compile(r"\r?\n([A-Za-z0-9+/_=-]{1,15})(?=\r?\n|\Z)")
 _DIGIT = re.compile(r"[0-9]")
 #: Marginal bytes per character from which a string is novel.
 NOVEL = 0.62
@@ -69,6 +74,58 @@ def novelty(text: str, start: int, end: int) -> float:
     return (_size(before + after + text[start:end]) - _size(before + after)) / (end - start)
 
 
+def _is_novel(text: str, a: int, b: int, names: list[tuple[int, int]]) -> bool:
+    """Of the string text[a:b], or of what of it begins or ends a name inside it."""
+    inside = names[bisect_left(names, (a, a)):bisect_left(names, (b, b))]
+    return any(b - x >= 16 and _DIGIT.search(text, x, b) and novelty(text, x, b) >= NOVEL
+               for x in dict.fromkeys([a, *(x for name in inside for x in name)]))
+
+
+def _novel(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The novel strings that lie near a sensitive name, or near a span that does."""
+    names = [m.span() for m in _SENSITIVE.finditer(text)]
+    joined: list[list[int]] = []  # the base spans, overlapping ones put together
+    for a, b, _ in base:
+        if joined and a < joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    items, k = [(a, b, True) for a, b in joined], 0
+    for m in _STRING.finditer(text):
+        while k < len(joined) and joined[k][1] <= m.start():
+            k += 1
+        if k == len(joined) or joined[k][0] >= m.end():
+            items.append((*m.span(), False))
+    items.sort()
+    verdicts: dict[tuple[int, int], bool] = {}
+
+    def found(a: int, b: int, is_base: bool) -> bool:
+        if not is_base and (a, b) not in verdicts:
+            verdicts[a, b] = _is_novel(text, a, b, names)
+        return is_base or verdicts[a, b]
+
+    k, reach = 0, -1
+    for a, b, is_base in items:
+        while k < len(names) and names[k][0] < b:
+            reach, k = max(reach, names[k][1] + NEAR), k + 1
+        if a <= reach and found(a, b, is_base):
+            reach = max(reach, b + NEAR)
+    k, reach = len(names) - 1, len(text) + NEAR + 1
+    for a, b, is_base in reversed(items):
+        while k >= 0 and names[k][1] > a:
+            reach, k = min(reach, names[k][0] - NEAR), k - 1
+        if (verdicts.get((a, b)) or b >= reach) and found(a, b, is_base):
+            reach = min(reach, a - NEAR)
+    out = []
+    for (a, b), is_novel in verdicts.items():
+        if is_novel:
+            out.append((a, b, "novel"))
+            last = _LAST.match(text, b) if b - a >= LINE and text[a - 1:a] in ("", "\n") else None
+            if last and not any(x < last.end(1) and last.start(1) < y for x, y in joined):
+                out.append((*last.span(1), "novel"))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans, by start, then kind."""
     low = text.lower()
@@ -78,16 +135,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if any(n in low for n in _NAMES):
         spans += [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if any(n in low for n in SENSITIVE):
-        base, seen = sorted(spans), 0
-        for name in _SENSITIVE.finditer(text):
-            for m in _STRING.finditer(text, max(seen, name.start()), name.end() + NEAR + 256):
-                a, b = m.span()
-                if a > name.end() + NEAR:
-                    break
-                seen = b
-                if _DIGIT.search(text, a, b) and not any(x < b and a < y for x, y, _ in base) \
-                        and novelty(text, a, b) >= NOVEL:
-                    spans.append((a, b, "novel"))
+        spans += _novel(text, sorted(spans))
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
