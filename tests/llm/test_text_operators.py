@@ -190,6 +190,19 @@ def test_licenses(make):
         assert (r["score"] > 0) == bool(labels)
 
 
+def test_license_names_alone_are_found(make):
+    """Every rule's own name, and mentions without any other word of licensing."""
+    texts = [("Image: CC BY-SA 4.0", "cc-by-sa-4.0"), ("this program is GPLv3", "gpl-3.0"), ("BSD 3 clause", "bsd-3-clause"),
+             ("MPL 2.0", "mpl-2.0"), ("WTFPL", "wtfpl"), ("Creative Commons Attribution 4.0", "cc-by-4.0"),
+             *((f"see {n} here", label) for label, names in licenses.NAMES.items() for n in names if n not in licenses._PLAIN)]
+    rows = licenses.scan(make("doc_id long, text string", [(k, t) for k, (t, _) in enumerate(texts)])).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text, label = texts[r["doc_id"]]
+        assert label in r["labels"].split(",") and r["score"] >= 0.6, text
+    assert all(r["keyword"].strip() in r["pattern"] for r in licenses.rules())
+
+
 def test_license_rules_are_ordered_and_many():
     all_rules = licenses.rules()
     assert len(all_rules) > 200 and all(re.compile(r["pattern"]) for r in all_rules)

@@ -2,10 +2,10 @@
 
 A text becomes its lower-case words between single spaces.  Each rule has a
 keyword, a pattern over that form, a label and its place in the order: rules
-of higher priority come first.  A rule's pattern is tried only on texts that
-hold its keyword (and all rules only on texts that hold one of a few gate
-words).  Of the detections, one that lies inside another of an earlier rule
-is suppressed.
+of higher priority come first.  The keyword is the license's name between
+spaces, without which the pattern cannot match; names are looked up once each,
+and only the rules of those found are tried.  Of the detections, one that lies
+inside another of an earlier rule is suppressed.
 
 The several hundred rules are made from license names and sentence forms.
 
@@ -85,9 +85,6 @@ FORMS = [
     (70, "", " licen[cs]ed?"),
     (60, "", ""),
 ]
-#: Texts without any of these hold no license.
-GATE = ("licen", "spdx", "released under", "distributed under", "published under", "available under",
-        "subject to", "public domain", "rights reserved", "confidential")
 #: Names that mean a license only inside a sentence form.
 _PLAIN = {"mit", "isc", "zlib", "python 2 0"}
 #: Detections on either side, by start, that may contain a detection: rules match under 30 words, and at one
@@ -103,7 +100,7 @@ def rules() -> list[dict]:
             for priority, before, after in FORMS:
                 if priority == 60 and name in _PLAIN or priority == 70 and "licen" in name:
                     continue
-                made.append((priority, len(name), label, max(name.split(), key=len),
+                made.append((priority, len(name), label, f" {name} ",
                              f"(?<= ){before}{name}{after}(?= )"))
     made.sort(key=lambda r: (-r[0], -r[1], r[2], r[4]))
     return [{"place": k, "priority": p, "label": label, "keyword": word, "pattern": pattern}
@@ -145,9 +142,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     form = F.col("form")
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_form(text).alias("form"))
-    gate = F.lit(False)
-    for word in GATE:
-        gate = gate | form.contains(word)
     spots = F.array().cast("array<struct<start: int, end: int, label: string>>")
 
     def phrase(words: str, label: str) -> Column:
@@ -155,17 +149,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             x["start"].alias("start"), x["end"].alias("end"), F.lit(label).alias("label")))
 
     base = F.flatten(F.array(*(phrase(*x) for x in PHRASES.items())))
-    all_rules = F.from_json(F.lit(json.dumps(rules())), "array<struct<place: int, priority: int, label: string, "
-                            "keyword: string, pattern: string>>")  # one constant
+    by_name: dict[str, list[dict]] = {}
+    for r in rules():
+        by_name.setdefault(r["keyword"], []).append(r)
+    names = F.from_json(F.lit(json.dumps([{"keyword": k, "rules": v} for k, v in by_name.items()])),
+                        "array<struct<keyword: string, rules: array<struct<place: int, priority: int, label: string, "
+                        "pattern: string>>>>")  # one constant
+    held = F.flatten(F.transform(F.filter(names, lambda n: F.contains(form, n["keyword"])), lambda n: n["rules"]))
     hits = F.flatten(F.transform(
-        F.filter(all_rules, lambda r: F.contains(form, r["keyword"])),
+        held,
         lambda r: F.transform(places(form, r["pattern"]), lambda x: F.struct(
             x["start"].alias("start"), x["end"].alias("end"), r["place"].alias("place"),
             r["priority"].alias("priority"), r["label"].alias("label")))))
     none = F.array().cast("array<struct<start: int, end: int, place: int, priority: int, label: string>>")
     out = out.select("doc_id", _n_words(form).alias("n_words"), "form",
                      F.when(form.contains(" license "), F.sort_array(base)).otherwise(spots).alias("base"),
-                     F.when(gate, F.sort_array(hits)).otherwise(none).alias("hits"))
+                     F.sort_array(hits).alias("hits"))
     near = F.filter(F.col("hits"), lambda d, i: ~F.exists(
         F.slice(F.col("hits"), F.greatest(F.lit(1), i + 1 - _NEAR), F.lit(2 * _NEAR)),
         lambda e: (e["start"] <= d["start"]) & (e["end"] >= d["end"]) & (e["place"] < d["place"])))
