@@ -54,6 +54,22 @@ def test_rules_reject_what_strays_from_its_language(make):
     assert words <= kept
 
 
+def test_rules_do_not_hold_a_language_against_another(make):
+    rnd = random.Random(5)
+    russian = "река камень утро письмо сад зима окно серебро бумага лес дорога вечер".split()
+    chinese = "河流 石头 早晨 书信 花园 冬天 窗户 白银 纸张 森林 道路 夜晚".split()
+    rare = "talo kivi aamu kirje puutarha talvi ikkuna hopea paperi metsä tie ilta joki".split()
+    clean = [(100 + k, " ".join(rnd.choices(own, k=120)), lang) for k, (own, lang) in enumerate(
+        [(russian, "ru"), (chinese, "zh"), (rare, "fi"), (russian, None), (chinese, None)])]
+    bad = [(200, "&&& ".join(prose(rnd, 200).split()), None), (201, "word " * 200, "fi")]
+    docs = make("doc_id long, text string, lang string", [(k, prose(rnd, 300), "en") for k in range(20)] + clean + bad)
+    got = {r["doc_id"]: r for r in quality_rules.score(docs).collect()}
+    assert all(got[k]["kept"] and got[k]["char_distance"] is None and got[k]["word_distance"] is None for k in range(100, 105))
+    assert not got[200]["kept"] and got[200]["char_distance"] > quality_rules.MAX_CHAR_DISTANCE
+    assert got[201]["base_failed"] and not got[201]["kept"]
+    assert {100, 101, 102, 103, 104} <= {r["doc_id"] for r in quality_rules.keep_clean(docs).collect()}
+
+
 def test_distance_is_that_of_jensen_and_shannon():
     own, ref = np.array([9000, 1000]) * 10**6, np.array([1, 1])
     p, q = np.array([.9, .1]), np.array([.5, .5])

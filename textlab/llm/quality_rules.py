@@ -5,17 +5,18 @@ by the common words of its language (the last bin holds all other words).
 Each is compared with the reference of the document's language by
 Jensen-Shannon distance.  The references are summed over all documents of a
 language in one pass (a few numbers per language and task are shuffled); a
-document without a known language is held against its nearest reference.
+document that states no language is held against its nearest reference, if it
+is in Latin script like that one (the classes do not tell other scripts apart).
 
 A short text's histogram strays from any reference by chance, so a
 comparison needs a minimum length, and the divergence expected from sampling
 alone, (bins - 1) / (8 n ln 2) bits, is taken off before the threshold.
 
 Defined results: NULL and empty texts have no words, so the base rules
-reject them; repeated rows get equal results; an unknown language or one
-whose reference has under ``MIN_REFERENCE`` words uses the nearest of the
-others; where no reference is long enough only the base rules decide; an
-empty table gives an empty table.
+reject them; repeated rows get equal results; only the base rules decide, and
+the distances are NULL, for a stated language whose reference has under
+``MIN_REFERENCE`` words, and for no language where no reference fits; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.21, 0.245
 
 
 def _classes() -> np.ndarray:
-    table = np.full(0x3000, CLASSES.index("letter"), np.uint8)
+    table = np.full(0x3001, CLASSES.index("letter"), np.uint8)  # the last entry is that of all from U+3000 on
     for c in range(0x80):
         ch = chr(c)
         kind = ("lower" if ch.islower() else "upper" if ch.isupper() else "digit" if ch.isdigit()
@@ -166,6 +167,12 @@ def references(docs: DataFrame, text_col: str = "text",
     return out
 
 
+def _latin(chars: np.ndarray) -> bool:
+    """Whether a histogram has no more letters outside ASCII (capitals apart) than others."""
+    n = dict(zip(CLASSES, chars))
+    return n["letter"] <= n["lower"] + n["upper"]
+
+
 def judge(text: str, lang: str | None, known: dict) -> tuple:
     """All result columns after doc_id for one text."""
     words = words_of(text)
@@ -173,7 +180,10 @@ def judge(text: str, lang: str | None, known: dict) -> tuple:
     word_chars, symbols, dup_lines, repeats = base_measures(text, words)
     failed = n < 50 or 100 * repeats > 50 * n
     chars = char_histogram(text)
-    near = [lang] if lang in known else list(known)
+    if lang is not None:
+        near = [lang] if lang in known else []
+    else:
+        near = [x for x in known if _latin(chars) and _latin(known[x][0])]
     by_char = by_word = None
     if near and chars.sum() >= MIN_CHARS and n >= MIN_WORDS:
         by_char = min(distance(chars, known[x][0]) for x in near)
