@@ -45,6 +45,29 @@ def test_templates_that_rewrite_history_are_detected(make):
     assert kept and found[0][2:] == (2, 3)
 
 
+@pytest.mark.parametrize("block", [1, 32])
+def test_rewriting_is_detected_over_blocks(make, block):
+    def plain(turns, first):
+        return "".join(f"{r}:{t.strip()};" for r, t in turns)
+
+    def rewriting(turns, first):
+        return "".join(f"{r}:{'' if k < len(turns) - 1 else t};" for k, (r, t) in enumerate(turns))
+
+    def late(turns, first):
+        """Takes back turn 31 alone, once a turn follows it."""
+        return "".join(f"{r}:{'' if first + k == 31 and k < len(turns) - 1 else t};" for k, (r, t) in enumerate(turns))
+
+    n = {1: 33, 2: 1, 3: 600, 4: 32}
+    rows = [(c, t, ["user", "assistant"][t % 2], f"text {t}", "", "") for c in n for t in range(n[c])]
+    for template, kept in ((rewriting, {2}), (late, {2, 4}), (plain, {1, 2, 3, 4})):
+        out = chat.format_chats(make(SCHEMA, rows), template, block=block).collect()
+        assert {(r["conv_id"], r["kept"]) for r in out} == {(c, c in kept) for c in n}
+        assert all(r["loss"] == (r["kept"] and r["role"] == "assistant") for r in out)
+        assert all(r["content_start"] == r["content_end"] == 0 for r in out if not r["kept"])
+        assert sorted((r["conv_id"], r["turn_no"]) for r in out) == [(c, t) for c in n for t in range(n[c])]
+        assert all(r["rendered"][r["content_start"]:r["content_end"]] == f"text {r['turn_no']}" for r in out if r["kept"])
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 32])
 def test_formatting_and_digest(make, spark, block):
     rnd = random.Random(2)

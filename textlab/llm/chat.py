@@ -9,9 +9,11 @@ part of it is put under the loss mask.
 
 Rows are shuffled once, by conversation, and sorted within partitions; a
 conversation streams through its task in blocks of ``block`` turns, so no
-conversation is ever collected.  A template must therefore render a
+conversation is ever collected.  Each block is rendered after the one before
+it, whose own output it must not change.  A template must therefore render a
 conversation as its blocks' outputs joined (it is told the first turn's
-number); the default one renders turn by turn.
+number); the default one renders turn by turn.  Rows wait for the end of their
+conversation, which settles its mark: of long ones, in a file of the task.
 
 Defined results: NULL texts are empty, NULL roles the empty role; turns are
 taken by (turn, role, text), NULL turn numbers first, and numbered anew, so
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -57,14 +60,17 @@ def default_template(turns: list[Turn], first: int = 0) -> str:
     return "".join(f"{_START}{escape(role).replace(_LINE, _SPELT)}\n{escape(text)}<|im_end|>\n" for role, text in turns)
 
 
-def spans(turns: list[Turn], template: Template, first: int = 0) -> tuple[str, list[tuple[int, int, int, int]], bool]:
+def spans(turns: list[Turn], template: Template, first: int = 0,
+          context: int = 0) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """The rendered block, (start, end, content start, content end) of each turn, and whether history was kept.
 
     A turn's content is found by rendering the same prefix with a probe for its text: what stands before
-    and after the probe stands before and after the content.
+    and after the probe stands before and after the content.  The first ``context`` turns are rendered
+    before the others, but are not part of the block.
     """
-    old, out, kept = "", [], True
-    for k in range(1, len(turns) + 1):
+    old, out, kept = template(turns[:context], first) if context else "", [], True
+    at_block = len(old)
+    for k in range(context + 1, len(turns) + 1):
         new = template(turns[:k], first)
         probe = "probe"
         while probe in new:
@@ -74,9 +80,9 @@ def spans(turns: list[Turn], template: Template, first: int = 0) -> tuple[str, l
         end = len(new) - (len(probed) - at - len(probe))
         if not new.startswith(old) or not len(old) <= at <= end <= len(new) or new[:at] != probed[:at]:
             kept = False
-        out.append((len(old), len(new), at, end))
+        out.append(tuple(x - at_block for x in (len(old), len(new), at, end)))
         old = new
-    return old, out, kept
+    return old[at_block:], out, kept
 
 
 FORMATTED = ("conv_id long, turn_no long, role string, rendered string, content_start long, content_end long, "
@@ -105,29 +111,79 @@ def format_chats(conversations: DataFrame, template: Template = default_template
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, turns in groupby(_turns(batches), key=lambda r: r[0]):
-            first, part = 0, []
-            for row in turns:
-                part.append(row[1:])
-                if len(part) == block:
-                    yield render(conv, part, first)
-                    first, part = first + block, []
-            if part:
-                yield render(conv, part, first)
-
-    def render(conv, part: list[Turn], first: int) -> pa.RecordBatch:
-        whole, found, kept = spans(part, template, first)
-        ends = [e for _, e, _, _ in found] if kept else [len(whole)] * len(found)
+            first, part, before, kept = 0, [], [], True
+            with _Held() as held:
+                for row in turns:
+                    part.append(row[1:])
+                    if len(part) == block:
+                        out, kept = render(conv, part, first, before, kept)
+                        held.add(out)
+                        first, part, before = first + block, [], part
+                if part:
+                    out, kept = render(conv, part, first, before, kept)
+                    held.add(out)
+                for out in held:
+                    yield out if kept else unmarked(out)
+
+    def render(conv, part: list[Turn], first: int, before: list[Turn], kept: bool) -> tuple[pa.RecordBatch, bool]:
+        """A block after the one before it, and whether history was kept up to its end."""
+        if kept:
+            whole, found, kept = spans(before + part, template, first - len(before), len(before))
+            # a template whose block depends on the one before it does not render blocks that can be joined
+            kept = kept and (not before or whole == template(part, first))
+        if not kept:
+            whole = template(part, first)
+            found = [(len(whole),) * 4] * len(part)
+        ends = [e for _, e, _, _ in found]
         starts = [0, *ends[:-1]]
         cols = ([conv] * len(part), range(first, first + len(part)), [r for r, _ in part],
                 [whole[a:b] for a, b in zip(starts, ends)],
                 [c - a if kept else 0 for (_, _, c, _), a in zip(found, starts)],
                 [c - a if kept else 0 for (_, _, _, c), a in zip(found, starts)],
                 [kept and r == loss_role for r, _ in part], [kept] * len(part))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS)], names=_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS)], names=_NAMES), kept
+
+    def unmarked(out: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows of a conversation whose history was rewritten: no content, no loss."""
+        none, no = pa.array([0] * out.num_rows, pa.int64()), pa.array([False] * out.num_rows, pa.bool_())
+        return pa.RecordBatch.from_arrays([*out.columns[:4], none, none, no, no], names=_NAMES)
 
     return rows.mapInArrow(_joined(run), FORMATTED)
 
 
+class _Held:
+    """A conversation's batches until its end: up to ``MOST`` in memory, then in a file that goes with the block."""
+
+    MOST = 256
+
+    def __init__(self) -> None:
+        self.batches, self.file, self.writer = [], None, None
+
+    def __enter__(self) -> _Held:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.file is not None:
+            self.file.close()
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.batches.append(batch)
+        if len(self.batches) == self.MOST:
+            if self.file is None:
+                self.file = tempfile.TemporaryFile()
+                self.writer = pa.ipc.new_stream(self.file, batch.schema)
+            for b in self.batches:
+                self.writer.write_batch(b)
+            self.batches = []
+
+    def __iter__(self) -> Iterator[pa.RecordBatch]:
+        if self.file is not None:
+            self.writer.close()
+            self.file.seek(0)
+            yield from pa.ipc.open_stream(self.file)
+        yield from self.batches
+
+
 def _joined(run):
     """Small batches put together, so that a conversation does not cost a message of its own."""
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
