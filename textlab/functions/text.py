@@ -7,7 +7,7 @@ syntax so that every expression stays a built-in ``regexp_replace``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: regex classes and patterns (must match Python semantics) ---
@@ -92,6 +92,26 @@ def tokens(col) -> Column:
     return F.filter(F.split(F.lower(_c(col)), TOKEN_SPLIT), lambda t: t != "")
 
 
+def with_runs(df: DataFrame, values: Column, out: str) -> DataFrame:
+    """Adds ``out``: array of (value, n), each distinct value of an array with its count, in order of value.
+
+    Equal values stand together once the array is sorted, so counting needs no rows and no exchange.
+    """
+    x = df.withColumn("_sorted", F.sort_array(values))
+    size = F.coalesce(F.size("_sorted"), F.lit(0))
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    x = x.withColumn("_starts", F.filter(places, lambda k: (k == 0) | (F.get("_sorted", k) != F.get("_sorted", k - 1))))
+    run = F.transform("_starts", lambda at, k: F.struct(F.get("_sorted", at).alias("value"),
+                                                        (F.coalesce(F.get("_starts", k + 1), size) - at).alias("n")))
+    return x.withColumn(out, run).drop("_sorted", "_starts")
+
+
+def with_token_runs(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds ``out``: array of (token, n) of a text, counted inside its row; NULL and empty texts have none."""
+    runs = with_runs(df, tokens(text), out)
+    return runs.withColumn(out, F.transform(out, lambda r: F.struct(r["value"].alias("token"), r["n"].alias("n"))))
+
+
 def labelled_line(col) -> Column:
     """Labelled-reader cell: stripped line, NA tokens become NULL."""
     s = py_strip(col)

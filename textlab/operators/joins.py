@@ -22,6 +22,12 @@ def hot_keys(df: DataFrame, key: str, share: float | None = None) -> list:
     return [r[key] for r in c.where(F.col("_c") >= threshold).limit(int(1 / share) + 1).collect()]
 
 
+def hot_values(counts: DataFrame, key: str, n: str, share: float = 1.0 / 64) -> list:
+    """Keys that hold at least ``share`` of a counted table's total: at most 1 / share."""
+    total = counts.agg((F.sum(n) * F.lit(share)).alias("_t")).scalar()
+    return [r[key] for r in counts.where(F.col(n) >= total).select(key).limit(int(1 / share) + 1).collect()]
+
+
 def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, salt_cols: list[str],
                 how: str = "inner", salts: int = 32, hot: list | None = None) -> DataFrame:
     """``big.join(small, big_key == small_key, how)`` with hot keys salted."""

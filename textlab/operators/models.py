@@ -2,7 +2,7 @@
 
 (a) Multinomial naive Bayes as pure relational aggregation: training is
     token counts per (model, class, token) with map-side partial
-    aggregation; scoring is a join of per-document token counts with the
+    aggregation; scoring is a join of the documents' tokens with the
     vocabulary table plus a per-document sum.  ``model_cols`` lets many
     models (e.g. one per training size or seed) train and score in the same
     jobs: the grid is data, not a driver loop.
@@ -17,6 +17,7 @@ is not rebuilt (see README).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -26,34 +27,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.functions.arrays import argmax
-from textlab.functions.text import TOKEN_SPLIT, tokens
-from textlab.operators.joins import salted_join
+from textlab.functions.text import TOKEN_SPLIT, tokens, with_token_runs
+from textlab.operators.joins import hot_values, salted_join
 from textlab.session import cut_lineage
 
 
+#: (class, token) pairs up to which a model is broadcast to the scored texts; beyond it both sides are exchanged by token.
+BROADCAST_PAIRS = 300_000
+
+
 @dataclass
 class NBModel:
     model_cols: list[str]    # columns identifying one model
-    token_table: DataFrame   # model..., label, token, n, logp (observed pairs; checkpointed counts)
+    token_table: DataFrame   # model..., label, token, n, logp, log_default (observed pairs)
     class_table: DataFrame   # model..., label, n_docs, total, V, log_prior, log_default: a row per model and class
+    counts: DataFrame        # model..., label, token, n; token NULL counts documents: all that a model is made of
+    alpha: float = 1.0
 
+    @cached_property
+    def pairs(self) -> int:
+        return self.counts.count()
 
-def nb_train(df: DataFrame, text: str, label: str, model_cols: list[str] = (), alpha: float = 1.0) -> NBModel:
-    """Multinomial NB with Laplace/Lidstone smoothing ``alpha``:
-    log p(t|c) = ln((n_tc + alpha) / (N_c + alpha * |V|)), V = model vocabulary.
-
-    One pass over the training texts: each document emits its tokens plus one
-    NULL marker (summed map-side), so the (model, class, token) count table
-    also carries the document counts.  That table is the model; it is
-    checkpointed to the shared checkpoint dir (computed once, lineage cut).
-    Rows without a label teach nothing.
+
+def nb_counts(df: DataFrame, text: str, label: str, model_cols: list[str] = ()) -> DataFrame:
+    """(model, class, token, n): the sufficient statistics of naive Bayes, in one pass over the texts.
+
+    Each document emits its tokens plus one NULL marker (summed map-side), so the table also carries the
+    document counts.  Counts of several tables may be added up.  Rows without a label teach nothing.
     """
     mc = list(model_cols)
     base = df.select(*mc, F.col(label).alias("label"), text).where(F.col("label").isNotNull())
-    marker_and_tokens = F.concat(F.array(F.lit(None).cast("string")), tokens(text))
-    tc = (base.select(*mc, "label", F.explode(marker_and_tokens).alias("token"))
-          .groupBy(*mc, "label", "token").agg(F.count(F.lit(1)).alias("n")))
-    tc = cut_lineage(tc)
+    marker_and_tokens = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(tokens(text), F.array().cast("array<string>")))
+    return (base.select(*mc, "label", F.explode(marker_and_tokens).alias("token"))
+            .groupBy(*mc, "label", "token").agg(F.count(F.lit(1)).alias("n")))
+
+
+def nb_counts_of_uses(df: DataFrame, text: str, uses: str, model_cols: list[str]) -> DataFrame:
+    """``nb_counts`` of many models whose training sets share texts: a row's ``uses`` is an array of
+    (model..., label, m), m times in that model's training set.  A text is read and split once, whatever its uses."""
+    mc = list(model_cols)
+    marker_and_tokens = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(tokens(text), F.array().cast("array<string>")))
+    return (df.select(uses, F.explode(marker_and_tokens).alias("token")).select("token", F.inline(uses))
+            .groupBy(*mc, "label", "token").agg(F.sum("m").alias("n")))
+
+
+def nb_from_counts(tc: DataFrame, model_cols: list[str] = (), alpha: float = 1.0) -> NBModel:
+    """The models whose counts a stored table holds: log p(t|c) = ln((n_tc + alpha) / (N_c + alpha * |V|)),
+    V = model vocabulary.  ``tc`` is read several times, so it should be a stored table."""
+    mc = list(model_cols)
     is_doc = F.col("token").isNull()
     classes = tc.groupBy(*mc, "label").agg(
         F.sum(F.when(is_doc, F.col("n")).otherwise(0)).alias("n_docs"),
@@ -67,46 +88,58 @@ def nb_train(df: DataFrame, text: str, label: str, model_cols: list[str] = (), a
         *mc, "label", "n_docs", "total", "V", F.ln(F.col("n_docs") / F.sum("n_docs").over(of_model)).alias("log_prior"),
         F.when(denom > 0, F.ln(F.lit(float(alpha)) / denom)).otherwise(F.lit(float("-inf"))).alias("log_default"))
     tok = tc.where(~is_doc).join(classes, [*mc, "label"]).select(
-        *mc, "label", "token", "n", F.ln((F.col("n") + F.lit(float(alpha))) / denom).alias("logp"))
-    return NBModel(mc, tok, classes)
+        *mc, "label", "token", "n", F.ln((F.col("n") + F.lit(float(alpha))) / denom).alias("logp"), "log_default")
+    return NBModel(mc, tok, classes, tc, alpha)
+
+
+def nb_train(df: DataFrame, text: str, label: str, model_cols: list[str] = (), alpha: float = 1.0) -> NBModel:
+    """Multinomial NB with Laplace/Lidstone smoothing ``alpha``.  The count table is the model; it is
+    checkpointed to the shared checkpoint dir (computed once, lineage cut)."""
+    return nb_from_counts(cut_lineage(nb_counts(df, text, label, model_cols)), model_cols, alpha)
 
 
-def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, out: str = "y_pred", salts: int = 32) -> DataFrame:
+def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, out: str = "y_pred", salts: int = 32,
+               broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """Arg-max class per (model, document); ties -> first class in order.
 
     score_c = log_prior_c + N_d * log_default_c + sum_t n_dt (logp_tc - log_default_c),
     N_d = the document's in-vocabulary token count; only observed (class,
     token) pairs are stored, unobserved ones contribute the default.
 
-    Counted (document, token) rows
-    join a token's entries of all models (one array), hot tokens of the
-    scored texts salted; the sums of a document then join its row, which the
-    one-row table of models and classes turns into scores.  ``scores`` is in
-    class order over all models' classes; a class that a model has not seen
-    scores -inf and can never win.
+    A model of at most ``broadcast_pairs`` counted pairs is broadcast, and the texts are not moved at all: their
+    tokens meet it where they are.  For a larger one a text's tokens are counted inside its row (sorted, run
+    lengths), so that one row a document and distinct token is exchanged by token; tokens that are hot in the
+    model are salted, others left to Spark's skew join.  Either way one more exchange, of sums, brings a
+    document's classes together; documents without known tokens come through as rows without a match.
+    ``scores`` is in class order over all models' classes; a class that a model has not seen scores -inf and can
+    never win.
     """
     mc = model.model_cols
-    delta = model.token_table.join(model.class_table.select(*mc, "label", "log_default"), [*mc, "label"]).select(
-        *mc, "token", "label", (F.col("logp") - F.col("log_default")).alias("d"))
+    label_type = model.token_table.schema["label"].dataType
     of_model = F.struct(*[F.col(c) for c in mc], F.lit(0).alias("_m")).alias("model")
-    # a token's entries: per model, one for each class, and one without a class that counts the token
-    vocab = delta.groupBy(of_model, "token").agg(F.collect_list(F.struct("label", "d")).alias("own"))
-    counting = F.array(F.struct(F.lit(None).cast(delta.schema["label"].dataType).alias("label"), F.lit(1.0).alias("d")))
-    vocab = vocab.groupBy(F.col("token").alias("_token")).agg(F.collect_list(
-        F.struct("model", F.concat("own", counting).alias("own"))).alias("entries"))
-    dt = (docs.select(key, F.explode(tokens(text)).alias("token"))
-          .groupBy(key, "token").agg(F.count(F.lit(1)).alias("n")))
-    hits = salted_join(dt, vocab, "token", "_token", [key], "inner", salts)
-    sums = (hits.select(key, "n", F.inline("entries")).select(key, "model", "n", F.inline("own"))
+    # a token's entries: one for each model and class, and for each model one without a class that counts the token
+    own = F.collect_list(F.struct(of_model, "label", (F.col("logp") - F.col("log_default")).alias("d")))
+    vocab = model.token_table.groupBy(F.col("token").alias("_token")).agg(own.alias("own"))
+    counting = F.transform(F.array_distinct(F.col("own.model")), lambda m: F.struct(
+        m.alias("model"), F.lit(None).cast(label_type).alias("label"), F.lit(1.0).alias("d")))
+    vocab = vocab.select("_token", F.concat("own", counting).alias("entries"))
+    if model.pairs <= broadcast_pairs:
+        each = docs.select(key, F.explode_outer(tokens(text)).alias("token"), F.lit(1).alias("n"))
+        hits = each.join(F.broadcast(vocab), F.col("token") == F.col("_token"), "left")
+    else:
+        each = with_token_runs(docs.select(key, text), text, "_runs").select(key, F.explode_outer("_runs").alias("_run"))
+        each = each.select(key, "_run.token", "_run.n")
+        by_token = model.token_table.groupBy("token").agg(F.sum("n").alias("n"))
+        hits = salted_join(each, vocab, "token", "_token", [key], "left", salts, hot=hot_values(by_token, "token", "n"))
+    sums = (hits.select(key, "n", F.inline_outer("entries"))
             .groupBy(key, "model", "label").agg(F.sum(F.col("n") * F.col("d")).alias("s"))
-            .groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("model", "label", "s")).alias("sums")))
+            .groupBy(key).agg(F.collect_list(F.struct("model", "label", "s")).alias("sums")))
     per_model = model.class_table.groupBy(of_model).agg(
         F.sort_array(F.collect_list(F.struct("label", "log_prior", "log_default"))).alias("own"))
     models = per_model.agg(F.collect_list(F.struct("model", "own")).alias("models"),
                            F.sort_array(F.array_distinct(F.flatten(F.collect_list("own.label")))).alias("labels"))
     every = models.select(F.struct("models", "labels").alias("every")).scalar()  # one row: a scalar subquery, no join
-    x = docs.select(F.col(key), every.alias("_every")).select(key, "_every.models", "_every.labels")
-    x = x.join(sums, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "labels", "sums", F.inline("models"))
+    x = sums.select(key, "sums", every.alias("_every")).select(key, "sums", "_every.labels", F.inline("_every.models"))
 
     def found(label: Column) -> Column:
         hit = F.filter("sums", lambda e: (e["model"] == F.col("model")) & e["label"].eqNullSafe(label))
@@ -117,7 +150,7 @@ def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, out: str =
         s = own["log_prior"] + F.col("_nd") * own["log_default"] + found(label)
         return F.coalesce(s, F.lit(float("-inf")))
 
-    x = x.withColumn("_nd", found(F.lit(None).cast(delta.schema["label"].dataType)))
+    x = x.withColumn("_nd", found(F.lit(None).cast(label_type)))
     x = x.withColumn("scores", F.transform("labels", score))
     return x.select(*[F.col(f"model.{c}").alias(c) for c in mc], key, "scores",
                     F.element_at("labels", argmax(F.col("scores")) + 1).alias(out))

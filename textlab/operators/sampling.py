@@ -138,6 +138,22 @@ def subset_sizes(df: DataFrame, seed, key: str, sizes: list[int], n: int | None
     return j.withColumn("n_train", F.explode(F.filter(sz, lambda s: F.col("i") < s)))
 
 
+def size_bands(df: DataFrame, seeds: list[int], rank_seed, key: str, sizes: list[int], n: int) -> DataFrame:
+    """(seed, band, key, m): the draws of ``subset_sizes`` of many seeds, each counted once in the band where it
+    enters.  Band b holds draws sizes[b-1]..sizes[b]-1 of a seed's one stream, so the set of size b is the sum of
+    bands 0..b: statistics of all sizes are running sums over bands, without a copy of the rows per size."""
+    spark = df.sparkSession
+    sizes = sorted(int(x) for x in sizes)
+    m = sizes[-1] if n > 0 else 0
+    seed = F.explode(F.array(*[F.lit(int(x)).cast("bigint") for x in seeds]))
+    d = spark.range(0, m, 1, max(1, min(spark.sparkContext.defaultParallelism, m // 100_000 + 1)))
+    d = d.select(F.col("id").alias("i"), seed.alias("seed"))
+    band = F.size(F.filter(F.array(*[F.lit(x) for x in sizes]), lambda x: x <= F.col("i")))
+    d = d.select("seed", band.alias("band"), (draw(F.col("seed"), F.lit("size"), F.col("i")) % F.lit(max(n, 1))).alias("pos"))
+    d = d.groupBy("seed", "band", "pos").agg(F.count(F.lit(1)).alias("m"))
+    return d.join(seeded_rank(df.select(key), rank_seed, key), "pos").select("seed", "band", key, "m")
+
+
 def weight_rows(df: DataFrame, weights: DataFrame, label: str) -> DataFrame:
     """Attach the class weight to every row.  The weight table has one row
     per class; AQE broadcasts it from its measured size (no blind hint)."""
