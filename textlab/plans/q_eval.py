@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.functions.random import draw
+from textlab.operators import linear as LN
 from textlab.operators import metrics as M
+from textlab.operators import sampling as SM
 from textlab.operators.joins import salted_join
 from textlab.operators.zeroshot import LEXICON, LEXICON_LABELS, lexicon_predict
 from textlab.plans import sqlfrag as S
+from textlab.plans.q_sampling import CORPUS_SQL, SEED, TRAIN_FRAC, corpus_ids
 from textlab.plans.registry import query, table, text_table
+from textlab.session import scratch_dir
 
 # --- fixed values: seeds and run tasks of the evaluation fixtures ---
 SEEDS = [1234, 3456, 5678]
@@ -140,45 +144,84 @@ def q_result_table(spark, sf):
     return summ.groupBy("run_id").pivot("metric", order).agg(F.first(cell))
 
 
-def epoch_runs(spark, sf):
-    """The runs table read as an epoch log: seed index = epoch, part 'val'."""
-    r = runs(spark, sf)
-    epoch = F.array_position(F.array(*[F.lit(s) for s in SEEDS]), F.col("seed")) - 1
-    return r.withColumn("epoch", epoch.cast("int")).withColumn("part", F.lit("val"))
-
-
-EPOCH_SQL = f"""{RUNS_SQL},
-ecells as (select run_id, 'val' part, cast(list_position({[*SEEDS]}, seed) - 1 as int) epoch, y_true, y_pred,
-             count(*) n from runs group by all),
-erep as (select * from {S.report('ecells', ['run_id', 'part', 'epoch'])})"""
-
-
-def epoch_report(spark, sf):
-    return M.classification_report(epoch_runs(spark, sf), ["run_id", "part", "epoch"])
+# --- fixed values: the epoch-wise learner of the fixtures ---
+EPOCHS, STEPS, DIMS, RATE = 4, 1, 64, 0.1
+EPOCH_TASK = "quality"
+
+
+def epoch_fit(spark, sf):
+    """The linear learner on the labelled corpus, split into train and val; its folder holds the log."""
+    ids = corpus_ids(spark, sf)
+    parts = SM.split_train_val(ids, SEED, "doc_id", TRAIN_FRAC, out="part").select("doc_id", "label", "part")
+    texts = text_table(spark, sf, "documents", ["doc_id", "text"])
+    rows = LN.with_features(parts.join(texts, "doc_id"), "text", DIMS).select("doc_id", "part", "label", "feats")
+    return LN.fit(rows, "doc_id", scratch_dir(spark, "epochs"), EPOCH_TASK, SEED, DIMS, EPOCHS, STEPS, RATE)
+
+
+def _epoch_sql():
+    h = S.hkey(str(SEED), "doc_id")
+    out = [f"""{CORPUS_SQL},
+ranked as (select doc_id, label, text, row_number() over (order by {h}, doc_id) - 1 pos, count(*) over () n from corpus),
+part as (select doc_id, label, text, case when pos < n - floor(cast({TRAIN_FRAC} as double) * n) then 'val' else 'train' end part
+         from ranked),
+cls as (select label, row_number() over (order by label) - 1 y, count(*) over () k, sum(nt) over () n, nt
+        from (select label, count(*) filter (where part = 'train') nt from part group by label)),
+r as materialized (select doc_id, part, y, cast(n as double) / (k * nt) cw, n from part join cls using (label)),
+tok as (select doc_id, {S.draw("'0'", 'token')} % {DIMS} + 1 f from (select doc_id, unnest({S.tokens('text')}) token from part)),
+fc as (select doc_id, f, count(*) m from tok group by all),
+fx as materialized (select doc_id, f, m * cast({DIMS} as double) / sum(m) over (partition by doc_id) x from fc
+                    union all select doc_id, 0, 1.0 from part),
+w0 as (select f, y c, 0.0::double v from range(0, {DIMS + 1}) t(f), cls)"""]
+
+    def forward(p, w):
+        return f"""{p} as materialized (select doc_id, c, e / sum(e) over (partition by doc_id) p from (
+  select doc_id, c, exp(z - max(z) over (partition by doc_id)) e from (
+    select doc_id, c, sum(x * v) z from fx join {w} using (f) group by all)))"""
+
+    for s in range(1, EPOCHS * STEPS + 1):
+        out.append(forward(f"p{s}", f"w{s - 1}"))
+        out.append(f"""w{s} as materialized (select w.f, w.c, w.v - {RATE} * coalesce(g.g, 0) v from w{s - 1} w left join (
+  select f, c, sum(cw * (p - cast(y = c as int)) * x) / any_value(n) g from p{s} join r using (doc_id) join fx using (doc_id)
+  where part = 'train' group by all) g using (f, c))""")
+    ends = []
+    for e in range(EPOCHS):
+        out.append(forward(f"q{e}", f"w{(e + 1) * STEPS}"))
+        ends.append(f"select cast({e} as int) epoch, * from q{e}")
+    out.append(f"""stored as (select epoch, doc_id, part, y, cw, any_value(p) filter (where c = y) py,
+  first(c order by p desc, c) y_pred from ({' union all '.join(ends)}) join r using (doc_id) group by all),
+ecells as (select part, epoch, y y_true, y_pred, count(*) n from stored group by all),
+losses as (select part, epoch, round(avg(-cw * ln(greatest(py, 1e-12))), 6) loss from stored group by all),
+erep as (select '{EPOCH_TASK}' run_id, cast({SEED} as bigint) seed, * from {S.report('ecells', ['part', 'epoch'])} join losses using (part, epoch))""")
+    return ",\n".join(out)
+
+
+EPOCH_SQL = _epoch_sql()
 
 
 @query("epoch_report", f"with {EPOCH_SQL} select * from erep")
 def q_epoch_report(spark, sf):
-    return epoch_report(spark, sf)
+    """Loss and metrics of the train and the val part after each epoch."""
+    return epoch_fit(spark, sf).log(spark)
 
 
 @query("metric_select", f"""with {EPOCH_SQL}
-select run_id, epoch, f1_macro score, "precision" legacy_score from erep""")
+select run_id, part, epoch, f1_macro score, "precision" legacy_score from erep""")
 def q_metric_select(spark, sf):
-    rep = epoch_report(spark, sf)
-    return rep.select("run_id", "epoch", M.select_metric(rep, "f1_score_macro").alias("score"),
+    rep = epoch_fit(spark, sf).log(spark)
+    return rep.select("run_id", "part", "epoch", M.select_metric(rep, "f1_score_macro").alias("score"),
                       M.select_metric(rep, "f1_macro", legacy_default=True).alias("legacy_score"))
 
 
-@query("best_epoch", f"""with {EPOCH_SQL}
-select run_id, epoch, f1_macro score,
+@query("best_epoch", f"""with {EPOCH_SQL}, v as (select * from erep where part = 'val')
+select run_id, epoch, loss, f1_macro score,
   max(f1_macro) over (partition by run_id order by epoch rows between unbounded preceding and current row) best_score,
   f1_macro >= coalesce(max(f1_macro) over (partition by run_id order by epoch
                                            rows between unbounded preceding and 1 preceding), '-inf'::double) is_best
-from erep""")
+from v""")
 def q_best_epoch(spark, sf):
-    rep = epoch_report(spark, sf).select("run_id", "epoch", F.col("f1_macro").alias("score"))
-    return M.best_so_far(rep, ["run_id"], "epoch", "score")
+    """Which epochs of the stored log were the best so far on the val part."""
+    rep = epoch_fit(spark, sf).log(spark).where("part = 'val'")
+    return M.best_so_far(rep.select("run_id", "epoch", "loss", F.col("f1_macro").alias("score")), ["run_id"], "epoch", "score")
 
 
 @query("log_attempts", """with log as (select user_id, event_id, cast(event_id % 7 as int) epoch from events),
