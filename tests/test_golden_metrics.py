@@ -5,7 +5,7 @@ baselines (FIXTURES.md F3)."""
 import pytest
 
 from textlab.operators import metrics as M
-from textlab.plans.golden import B2, B3, F3, F4, F5, ORDER, SEEDS, SIZES, cell_rows, check
+from golden import B2, B3, F3, F4, F5, ORDER, SEEDS, SIZES, cell_rows, check
 
 
 def test_seed_summaries_match_shipped_files(spark):

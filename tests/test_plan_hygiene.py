@@ -7,7 +7,7 @@ from textlab.plans import catalog
 from textlab.plans.plan_report import summarise
 
 SF = "/root/testdata/sf0.001"
-PYTHON_KEYS = {"answer_parse", "map_text_fallback"}  # user answer / mapping functions via mapInPandas
+PYTHON_KEYS = {"answer_parse", "map_text_fallback", "scorer_predict"}  # user answer / mapping functions via mapInPandas
 
 
 @pytest.mark.parametrize("key", sorted(catalog.queries()))

@@ -114,8 +114,8 @@ def test_band_and_threshold(spark):
 
 def test_drop_first_group_variants(spark):
     df = spark.createDataFrame([("", 0), ("b", 1), ("a", 1)], "text string, y int")
+    assert sorted(r.text for r in P.drop_first_group(df, ["text"], positional=True).collect()) == ["a", "b"]
     assert sorted(r.text for r in P.drop_first_group(df, ["text"]).collect()) == ["a", "b"]
-    assert sorted(r.text for r in P.drop_first_group(df, ["text"], positional=False, text_col="text").collect()) == ["a", "b"]
 
 
 def test_handle_fixpoint_matches_python_re(spark):

@@ -6,10 +6,12 @@ number needs no bound; per-row work stays in JVM expressions (no UDF).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlab.functions.random import draw
+from textlab.functions.text import tokens
+from textlab.operators.ranks import dense_index
 
 # --- fixed values: special token ids and default sizes of the encoder ---
 PAD_ID, CLS_ID, SEP_ID = 0, 1, 2
@@ -18,10 +20,8 @@ VOCAB = 30000
 
 
 def class_index(df: DataFrame, label: str) -> DataFrame:
-    """(label, idx, k): sorted distinct classes, idx 0..k-1 (the one-hot order)."""
-    cls = df.select(label).where(F.col(label).isNotNull()).distinct()
-    return cls.select(label, (F.row_number().over(Window.orderBy(label)) - 1).cast("int").alias("idx"),
-                      F.count(F.lit(1)).over(Window.partitionBy()).cast("int").alias("k"))
+    """(label, idx, k): sorted distinct classes, idx 0..k-1 (the one-hot order); any number of them."""
+    return dense_index(df, label)
 
 
 def with_index(df: DataFrame, label: str, classes: DataFrame) -> DataFrame:
@@ -45,13 +45,40 @@ def token_ids(toks: Column, vocab: int = VOCAB, salt: str = "0") -> Column:
     return F.transform(toks, lambda t: draw(F.lit(salt), t) % vocab + FIRST_TOKEN_ID)
 
 
+def learn_vocabulary(df: DataFrame, text: str, size: int = VOCAB, min_count: int = 1) -> DataFrame:
+    """(token, id, n): the ``size`` most frequent tokens of a training part, ties by token; ids are dense, from
+    FIRST_TOKEN_ID + 1 on.  FIRST_TOKEN_ID is the unknown token's.  At most ``size`` rows."""
+    n = df.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    top = n.where(F.col("n") >= min_count).orderBy(F.col("n").desc(), "token").limit(size)
+    ordered = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "token"))).alias("all"))
+    return ordered.select(F.posexplode("all").alias("_at", "_t")).select(
+        "_t.token", (F.col("_at") + FIRST_TOKEN_ID + 1).cast("bigint").alias("id"), (-F.col("_t.less")).alias("n"))
+
+
+def encode_learned(df: DataFrame, key: str, text: str, vocabulary: DataFrame, max_len: int) -> DataFrame:
+    """(key, ids): ``encode`` with a learned vocabulary in place of hashed ids; tokens that it lacks, and words that
+    merely look alike, never share an id with a known one.
+
+    The vocabulary has a parameter's size and is broadcast; the at most ``max_len`` - 2 ids of a text that are kept
+    come together in one exchange of numbers.
+    """
+    kept = df.select(key, F.posexplode_outer(F.slice(tokens(text), 1, max_len - 2)).alias("_at", "_token"))
+    own = vocabulary.select(F.col("token").alias("_known"), F.col("id").alias("_id"))
+    known = kept.join(F.broadcast(own), F.col("_token") == F.col("_known"), "left")
+    ids = F.transform(F.sort_array(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct(
+        "_at", F.coalesce("_id", F.lit(FIRST_TOKEN_ID).cast("bigint")).alias("id"))))), lambda x: x["id"])
+    return known.groupBy(key).agg(ids.alias("_ids")).select(key, framed(F.col("_ids"), max_len).alias("ids"))
+
+
+def framed(ids: Column, max_len: int) -> Column:
+    """[CLS] + ids + [SEP], right-padded with PAD."""
+    whole = F.concat(F.array(F.lit(CLS_ID).cast("bigint")), ids, F.array(F.lit(SEP_ID).cast("bigint")))
+    return F.concat(whole, F.array_repeat(F.lit(PAD_ID).cast("bigint"), F.greatest(F.lit(max_len) - F.size(whole), F.lit(0))))
+
+
 def encode(toks: Column, max_len: int, vocab: int = VOCAB) -> Column:
     """[CLS] + first max_len-2 token ids + [SEP], right-padded with PAD."""
-    ids = F.concat(F.array(F.lit(CLS_ID).cast("bigint")),
-                   token_ids(F.slice(toks, 1, max_len - 2), vocab),
-                   F.array(F.lit(SEP_ID).cast("bigint")))
-    n = F.lit(max_len) - F.size(ids)
-    return F.concat(ids, F.array_repeat(F.lit(PAD_ID).cast("bigint"), F.greatest(n, F.lit(0))))
+    return framed(token_ids(F.slice(toks, 1, max_len - 2), vocab), max_len)
 
 
 def attention_mask(ids: Column) -> Column:

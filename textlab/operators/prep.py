@@ -8,6 +8,8 @@ only the winners of a key are ever put together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,16 +118,30 @@ def binary_from_polar(df: DataFrame, label: str = "label", neutral=0, negative=-
         label, F.when(F.col(label) == negative, F.lit(0)).otherwise(F.col(label)))
 
 
-def drop_first_group(df: DataFrame, key_cols: list[str], positional: bool = True,
+def vote_by_text(df: DataFrame, text: str, vote_col: str, clean: Callable[[Column], Column], clean_first: bool = True,
+                 out: str = "label") -> DataFrame:
+    """(text, label): one row per text, its clear vote; tied and voteless texts go.
+
+    ``clean_first`` groups by the cleaned text, so that texts which differ only in what cleaning removes are one.
+    Otherwise texts are grouped as they are and cleaned afterwards, and copies that cleaning makes alike survive.
+    Groups meet by a digest; a group's text travels once for each task that has it, not once a row.
+    """
+    own = df.where(F.col(text).isNotNull()).select((clean(F.col(text)) if clean_first else F.col(text)).alias("_text"), vote_col)
+    own = own.withColumn("_key", F.sha2("_text", 256))
+    texts = own.groupBy("_key").agg(F.any_value("_text").alias("_text"))
+    won = vote_drop_ties(own, ["_key"], vote_col, out).join(texts, "_key")
+    return won.select((F.col("_text") if clean_first else clean(F.col("_text"))).alias(text), out)
+
+
+def drop_first_group(df: DataFrame, key_cols: list[str], positional: bool = False,
                      text_col: str | None = None) -> DataFrame:
-    """Drop the first group in key order (the reference's ``iloc[1:]``).
+    """Drop the group of the empty text (``text_col``, by default the first key).
 
-    ``positional=False`` applies the intended meaning instead: drop rows
-    whose ``text_col`` is empty.  The positional variant finds the minimum
-    key with one aggregate (a single row) and anti-joins it.
+    ``positional=True`` drops the first group in key order instead, whatever it is (the reference's ``iloc[1:]``):
+    the minimum key is found with one aggregate (a single row) and anti-joined.
     """
     if not positional:
-        return df.where(F.col(text_col) != "")
+        return df.where(F.col(text_col or key_cols[0]) != "")
     first = df.agg(F.min(F.struct(*key_cols)).alias("k")).select(*[F.col(f"k.{c}").alias(c) for c in key_cols])
     return df.join(F.broadcast(first), key_cols, "left_anti")  # one row
 

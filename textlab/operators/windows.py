@@ -28,10 +28,17 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str
     return left.join(right, cond, how).drop(*names.values())
 
 
-def _split_hot(df: DataFrame, part_cols: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of normal keys, rows of keys with more than ``hot_rows`` rows."""
-    hot = df.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > hot_rows).drop("_k")
-    return (null_safe_join(df, hot, part_cols, "left_anti"), null_safe_join(df, hot, part_cols, "left_semi"))
+def _split_hot(df: DataFrame, part_cols: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of normal keys, and rows of keys with more than ``hot_rows`` rows; None where there is no such key.
+
+    The hot keys, at most one in ``hot_rows`` rows, come from one count of the keys alone and return as a filter;
+    without any the input is read once and the plan is a plain window.
+    """
+    hot = df.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > hot_rows).drop("_k").collect()
+    if not hot:
+        return df, None
+    keys = F.broadcast(df.sparkSession.createDataFrame(hot, df.select(*part_cols).schema))
+    return null_safe_join(df, keys, part_cols, "left_anti"), null_safe_join(df, keys, part_cols, "left_semi")
 
 
 def _block(order_col: str, block_bits: int) -> Column:
@@ -51,6 +58,8 @@ def running_agg(df: DataFrame, part_cols: list[str], order_col: str, value, fn:
     normal = normal.withColumn(out, agg("_v").over(upto))
     if total:
         normal = normal.withColumn(total, agg("_v").over(whole))
+    if hot is None:
+        return normal.drop("_v")
 
     hot = hot.withColumn("_blk", _block(order_col, block_bits))
     blocks = hot.groupBy(*part_cols, "_blk").agg(agg("_v").alias("_bv"))
@@ -79,6 +88,8 @@ def lag_lead(df: DataFrame, part_cols: list[str], order_col: str, value: str, pr
     normal, hot = _split_hot(df, part_cols, hot_rows)
     w = Window.partitionBy(*part_cols).orderBy(order_col)
     normal = normal.withColumns({prev: F.lag(value).over(w), nxt: F.lead(value).over(w)})
+    if hot is None:
+        return normal
 
     hot = hot.withColumn("_blk", _block(order_col, block_bits))
     # a block's order values are all NULL (one row) or none is: order by (is not NULL, value)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from textlab.functions.arrays import argmax
 from textlab.functions.text import TOKEN_SPLIT, normalise_answer, render_prompt
+from textlab.session import ship_package
 
 # --- fixed values: default language lexicon (label order is the class id) ---
 LEXICON_LABELS = ["en", "de", "fr", "es"]
@@ -92,25 +93,69 @@ def _is_null(v) -> bool:
     return v is None or v is pd.NA or (isinstance(v, float) and v != v)
 
 
-def scorer_predict(df: DataFrame, text: str, labels: list[str],
-                   scorer: Callable[[pd.Series, list[str]], "pd.DataFrame | list"], out: str = "y_pred") -> DataFrame:
+#: Characters of the texts that a scorer gets at once, unless a single text is longer.
+CALL_CHARS = 1_000_000
+_LOADED: dict = {}
+
+
+def _loaded(load: Callable, name: str):
+    """What ``load`` makes of a shipped file, made once in each worker."""
+    if name not in _LOADED:
+        from pyspark import SparkFiles
+        _LOADED[name] = load(SparkFiles.get(name))
+    return _LOADED[name]
+
+
+def _by_chars(pdf: pd.DataFrame, text: str, most: int):
+    """A frame in slices whose texts have about ``most`` characters."""
+    start, n = 0, 0
+    for k, t in enumerate(pdf[text]):
+        size = len(t) if isinstance(t, str) else 0
+        if k > start and n + size > most:
+            yield pdf.iloc[start:k].reset_index(drop=True)
+            start, n = k, 0
+        n += size
+    yield pdf.iloc[start:].reset_index(drop=True)
+
+
+def scorer_predict(df: DataFrame, text: str, labels: list[str], scorer: Callable, out: str = "y_pred",
+                   model: str | None = None, max_chars: int = CALL_CHARS) -> DataFrame:
     """Pluggable zero-shot scorer: ``scorer(texts, labels)`` returns one score
     per (text, label) (a frame or list of rows in label order); the best label
-    wins, ties -> first label.  Runs through ``mapInPandas`` on Arrow batches,
-    so a model is loaded once per task, not per row.  Adds ``scores``, ``out``.
+    wins, ties -> first label.  Adds ``scores``, ``error``, ``out``.
+
+    With ``model``, a file in any store, the file is shipped to every worker and ``scorer`` is its loader:
+    ``scorer(local path)`` returns the scoring function and runs once per worker.  Texts come in slices of at most
+    ``CALL_ROWS`` rows and about ``max_chars`` characters.  A call that fails, or whose result does not fit its
+    texts, is made again row by row: a failing row has NULL scores, a NULL label and an error, and its neighbours
+    are as without it, however rows are batched.  Files of one name must have one content.
     """
-    schema = T.StructType(list(df.schema.fields) + [T.StructField("scores", T.ArrayType(T.DoubleType()))])
+    ship_package(df.sparkSession)
+    schema = T.StructType(list(df.schema.fields) + [T.StructField("scores", T.ArrayType(T.DoubleType())),
+                                                    T.StructField("error", T.StringType())])
+    name = None
+    if model is not None:
+        df.sparkSession.sparkContext.addFile(model)
+        name = model.rstrip("/").rsplit("/", 1)[-1]
 
     def run(batches):
+        own = scorer if name is None else _loaded(scorer, name)
+
+        def rows_of(texts: pd.Series) -> list:
+            got = own(texts, labels)
+            rows = [[float(x) for x in r] for r in (got.values.tolist() if hasattr(got, "values") else got)]
+            if any(len(r) != len(labels) or any(x != x for x in r) for r in rows):
+                raise ValueError(f"a score for each of {len(labels)} labels is needed")
+            return rows
+
         for pdf in _parts(batches):
-            sc = scorer(pdf[text], labels) if len(pdf) else []
-            rows = sc.values.tolist() if hasattr(sc, "values") else [list(r) for r in sc]
-            out_pdf = pdf.copy()
-            out_pdf["scores"] = [[float(x) for x in r] for r in rows] if rows else pd.Series([], dtype=object)
-            yield out_pdf
+            for part in _by_chars(pdf, text, max_chars):
+                scores, errors = _call(rows_of, part[text]) if len(part) else ([], [])
+                yield part.assign(scores=pd.Series(scores, dtype=object), error=pd.Series(errors, dtype=object))
 
     lab = F.array(*[F.lit(x) for x in labels])
-    return df.mapInPandas(run, schema).withColumn(out, F.element_at(lab, argmax(F.col("scores")) + 1))
+    best = F.when(F.col("scores").isNotNull(), F.element_at(lab, argmax(F.col("scores")) + 1))
+    return df.mapInPandas(run, schema).withColumn(out, best)
 
 
 def label_to_id(col, labels: list[str]) -> Column:

@@ -144,6 +144,45 @@ def q_result_table(spark, sf):
     return summ.groupBy("run_id").pivot("metric", order).agg(F.first(cell))
 
 
+# --- fixed values: models of the result table and their share of flipped predictions, in tenths ---
+TABLE_MODELS = {"ROB-BASE": 3, "ROB-LRG": 1, "DEB-V3": 2}
+TABLE_METRICS = ["accuracy", "f1_macro"]
+
+
+@query("result_table_models", f"""with base as (
+  select doc_id, 'quality' dataset, cast(quality as int) y_true from labels union all select doc_id, 'toxic', cast(toxic as int) from labels),
+runs as (select dataset, model, seed, doc_id, y_true,
+    case when {S.draw('seed', 'model', 'dataset', 'doc_id')} % 10 < tenths then 1 - y_true else y_true end y_pred
+  from base, (values {', '.join(f"('{m}', {t})" for m, t in TABLE_MODELS.items())}) m(model, tenths),
+    (values {', '.join(f'({s})' for s in SEEDS)}) s(seed)),
+maj as (select dataset, first(y_true order by n desc, y_true) y_pred from (
+  select dataset, y_true, count(*) n from base group by all) group by dataset),
+every as (select dataset, model, seed, y_true, y_pred from runs
+  union all select base.dataset, 'majority', 0, y_true, y_pred from base join maj using (dataset)),
+cells as (select dataset, model, seed, y_true, y_pred, count(*) n from every group by all),
+rep as (select * from {S.report('cells', ['dataset', 'model', 'seed'], rounded=False)}),
+long as (unpivot rep on "precision", f1_weighted, f1_macro, accuracy, recall into name metric value "value"),
+cell as (select dataset || '_' || metric point, model, printf('%.2f', round_even(avg("value"), 2)) || '(±' ||
+           printf('%.2f', round_even(stddev_pop("value"), 2)) || ')' c from long group by dataset, metric, model)
+select model, {', '.join(f"max(case when point = '{d}_{m}' then c end) {d}_{m}" for d in RUN_TASKS for m in TABLE_METRICS)}
+from cell group by model""")
+def q_result_table_models(spark, sf):
+    """A row per model, columns per dataset: mean and spread over seeds, with the majority baseline as a model."""
+    pairs = F.inline(F.array(*[F.struct(F.lit(t).alias("dataset"), F.col(t).cast("int").alias("y_true")) for t in RUN_TASKS]))
+    base = table(spark, sf, "labels").select("doc_id", pairs)
+    models = F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).alias("tenths")) for m, t in TABLE_MODELS.items()]))
+    r = base.select("*", F.explode(F.array(*[F.lit(x) for x in SEEDS])).alias("seed")).select("*", models)
+    flip = draw(F.col("seed"), F.col("model"), F.col("dataset"), F.col("doc_id")) % 10 < F.col("tenths")
+    r = r.withColumn("y_pred", F.when(flip, 1 - F.col("y_true")).otherwise(F.col("y_true")))
+    rep = M.classification_report(r, ["dataset", "model", "seed"], digits=None)
+    majority = M.majority_baseline(base, "y_true", ["dataset"], digits=None).withColumns(
+        {"model": F.lit("majority"), "seed": F.lit(0)}).select(*rep.columns)
+    summ = M.seeds_summary(rep.unionByName(majority), ["dataset", "model"], digits=2)
+    cell = F.format_string("%.2f(±%.2f)", "mean", "std")
+    return summ.select("model", F.concat_ws("_", "dataset", "metric").alias("point"), cell.alias("c")).groupBy("model").pivot(
+        "point", [f"{d}_{m}" for d in RUN_TASKS for m in TABLE_METRICS]).agg(F.first("c"))
+
+
 # --- fixed values: the epoch-wise learner of the fixtures ---
 EPOCHS, STEPS, DIMS, RATE = 4, 1, 64, 0.1
 EPOCH_TASK = "quality"

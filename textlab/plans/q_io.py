@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from textlab.operators import metrics as M
 from textlab.plans import sqlfrag as S
-from textlab.plans.q_eval import RUN_CELLS_SQL, RUNS_SQL, runs
+from textlab.plans.q_eval import RUN_CELLS_SQL, RUNS_SQL, SUMMARY_SQL, report_runs, runs
 from textlab.plans.registry import query, table, text_table
 from textlab.session import scratch_dir
 from textlab.sources import io as IO
-from textlab.functions.text import NA_TOKENS
+from textlab.sources import published as PB
+from textlab.functions.text import NA_TOKENS, WS
 
 
 @query("src_text_lines", """select doc_id, cast(unnest(range(len(parts))) as bigint) line_no, unnest(parts) line
@@ -88,14 +89,59 @@ def q_align_pairs(spark, sf):
     return IO.align_keyed(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
 
 
+PRED_COLS = "doc_id BIGINT, y_pred INT"
+
+
 @query("stack_seeds", f"with {RUNS_SQL} select run_id, seed, doc_id, y_pred from runs")
 def q_stack_seeds(spark, sf):
+    """Predictions in a folder a run and seed, read back as one table; run and seed are partition columns."""
     path = scratch_dir(spark, "preds")
     IO.write_partitioned(runs(spark, sf).select("run_id", "seed", "doc_id", "y_pred"), path, ["run_id", "seed"],
                          mode="overwrite", fmt="csv")
-    back = IO.stack_files(spark, path, "doc_id BIGINT, y_pred INT", r"run_id=([^/]+)/seed=(\d+)/",
-                          {"run_id": 1, "seed": 2}, options={"header": "false"})
-    return back.select("run_id", F.col("seed").cast("int").alias("seed"), "doc_id", "y_pred")
+    return IO.read_partitions(spark, path, PRED_COLS, "run_id STRING, seed INT")
+
+
+@query("stack_indexed", f"with {RUNS_SQL} select run_id, seed, doc_id, y_pred from runs where seed <> 3456")
+def q_stack_indexed(spark, sf):
+    """The same from a layout that only names files: an index of the names, filtered, decides what is read."""
+    path = scratch_dir(spark, "named")
+    r = runs(spark, sf).withColumn("of", F.concat_ws("__", "run_id", "seed"))
+    IO.write_partitioned(r.select("doc_id", "y_pred", "of"), path, ["of"], mode="overwrite", fmt="csv")
+    index = IO.file_index(spark, path, r"of=(.+)__(\d+)/", {"run_id": 1, "seed": 2}).where("run_id <> '' and seed <> '3456'")
+    back = IO.read_indexed(index.withColumn("seed", F.col("seed").cast("int")), PRED_COLS)
+    return back.select("run_id", "seed", "doc_id", "y_pred")
+
+
+@query("align_files", f"""with l as (select d.doc_id, replace(regexp_replace(text, '{S.WS}+', ' ', 'g'), '---', '') line, quality label
+  from documents d join labels l using (doc_id))
+select cast(row_number() over (order by doc_id) - 1 as bigint) "at", md5(line) h, cast(label as int) label from l""")
+def q_align_files(spark, sf):
+    """Texts in three files and labels in four, paired by place."""
+    both = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")).join(
+        text_table(spark, sf, "documents", ["doc_id", "text"]), "doc_id")
+    line = F.replace(F.regexp_replace("text", f"{WS}+", " "), F.lit("---"), F.lit(""))
+    x, y = scratch_dir(spark, "x"), scratch_dir(spark, "y")
+    both.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select(line).write.option("lineSep", "\n").text(x)
+    labels = both.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(F.col("label").cast("float"))
+    IO.write_csv(labels, y, header=False)
+    paired = IO.pair_files(IO.read_lines_at(spark, x), IO.with_file_positions(IO.read_labels(spark, y)))
+    return paired.select("at", F.md5("line").alias("h"), "label")
+
+
+@query("sink_summary_text", f"""{SUMMARY_SQL}
+select run_id, cast(case metric when 'accuracy' then 0 when 'precision' then 1 when 'recall' then 2 when 'f1_macro' then 3 else 4 end
+    as bigint) line_no,
+  case metric when 'accuracy' then 'accuracy' when 'precision' then 'precision' when 'recall' then 'recall'
+              when 'f1_macro' then 'f1 score macro' else 'f1 score weighted' end
+    || ': ' || cast(mean as varchar) || ' +/- ' || cast(std as varchar) line from summ""")
+def q_sink_summary_text(spark, sf):
+    """The five-line summaries written as text files, one a run, and read back with their line numbers."""
+    path = scratch_dir(spark, "summaries")
+    lines = M.seeds_summary_text(M.seeds_summary(report_runs(spark, sf, None), ["run_id"]), ["run_id"])
+    IO.write_lines(lines, path, "run_id", "line_no")
+    back = spark.read.option("lineSep", "\n").schema("value STRING, run_id STRING").text(path)
+    placed, _ = IO.with_file_positions(back.withColumnRenamed("value", "line"))
+    return placed.select("run_id", F.col("pos").alias("line_no"), "line")
 
 
 @query("sink_corpus", """select l.doc_id, l.quality label, md5(d.text) h from labels l join documents d using (doc_id)""")
@@ -126,7 +172,7 @@ def q_sink_predictions(spark, sf):
     path = scratch_dir(spark, "pred-export")
     out = runs(spark, sf).select("run_id", "seed", "doc_id", IO.format_fixed("y_pred").alias("y_pred"))
     IO.write_csv(out.sortWithinPartitions("run_id", "seed", "doc_id"), path)
-    return IO.read_csv(spark, path, "run_id STRING, seed INT, doc_id BIGINT, y_pred STRING")
+    return IO.read_csv(spark, path, "run_id STRING, seed INT, doc_id BIGINT, y_pred STRING", multi_line=False)
 
 
 @query("sink_overwrite_seed", f"""with {RUNS_SQL}
@@ -145,12 +191,10 @@ def q_sink_overwrite_seed(spark, sf):
 @query("sink_publish", f"""with {RUNS_SQL}
 select run_id, seed, doc_id, case when run_id = 'quality' then y_true else y_pred end y_pred from runs""")
 def q_sink_publish(spark, sf):
-    """Final dataset holds every run; a new 'quality' run is staged, then published."""
-    final, staged = scratch_dir(spark, "published"), scratch_dir(spark, "staged")
-    r = runs(spark, sf)
-    IO.write_partitioned(r.select("doc_id", "y_pred", "run_id", "seed"), final, ["run_id", "seed"], mode="overwrite")
-    rerun = r.where(F.col("run_id") == "quality").select("doc_id", F.col("y_true").alias("y_pred"), "run_id", "seed")
-    IO.write_partitioned(rerun, staged, ["run_id", "seed"], mode="overwrite")
-    IO.publish(spark, staged, final, ["run_id", "seed"])
-    back = spark.read.parquet(final)
-    return back.select("run_id", F.col("seed").cast("int").alias("seed"), "doc_id", "y_pred")
+    """Published are all runs; a new 'quality' run is staged, then committed in place of the old one."""
+    root, cols = scratch_dir(spark, "published"), ["run_id", "seed"]
+    r = runs(spark, sf).select("doc_id", "y_pred", "y_true", *cols)
+    PB.commit(spark, root, PB.stage(r.drop("y_true"), root, cols), cols)
+    rerun = r.where(F.col("run_id") == "quality").select("doc_id", F.col("y_true").alias("y_pred"), *cols)
+    PB.commit(spark, root, PB.stage(rerun, root, cols), cols)
+    return PB.read(spark, root, "doc_id LONG, y_pred INT, run_id STRING, seed INT").select("run_id", "seed", "doc_id", "y_pred")

@@ -101,7 +101,44 @@ where (user_id, vday) <> (select (user_id, vday) from m order by user_id, vday l
 def q_drop_first_group(spark, sf):
     m = P.vote_keep_ties(votes(spark, sf), ["user_id", "vday"], "event_type")
     m = m.select("user_id", "vday", P.flatten_modes().alias("modes"))
-    return P.drop_first_group(m, ["user_id", "vday"])
+    return P.drop_first_group(m, ["user_id", "vday"], positional=True)
+
+
+@query("drop_empty_group", f"""with l as (select unnest(string_split(text, chr(10))) line from documents),
+s as (select regexp_replace(line, '^{S.WS}+|{S.WS}+$', '', 'g') line from l)
+select md5(line) h, cast(count(*) as bigint) n from s group by line having line <> ''""")
+def q_drop_empty_group(spark, sf):
+    """The lines' groups without that of the lines that cleaning leaves empty."""
+    d = text_table(spark, sf, "documents", ["text"])
+    lines = d.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(T.py_strip("line").alias("line"))
+    groups = lines.groupBy("line").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return P.drop_first_group(groups, ["line"]).select(F.md5("line").alias("h"), "n")
+
+
+_CLEAN_SQL = f"regexp_replace(replace(text, '---', ''), '{S.WS}{S.WS}+', ' ', 'g')"
+
+
+def _by_text_sql(order: str, key: str, shown: str) -> str:
+    return f"""select {order} clean_first, md5(any_value({shown})) h, any_value(v) filter (where n = top) label from (
+  select *, max(n) over (partition by k) top from (
+    select {key} k, v, any_value(text) text, count(*) n from x group by all))
+group by k having count(*) filter (where n = top) = 1"""
+
+
+@query("vote_by_text", f"""with x as (select lower(substr(text, 1, 3)) || text text, quality v from documents join labels using (doc_id)
+  union all select '  ' || lower(substr(text, 1, 3)) || text, toxic from documents join labels using (doc_id)
+  union all select ' --- ' || lower(substr(text, 1, 3)) || text, toxic from documents join labels using (doc_id))
+{_by_text_sql('true', _CLEAN_SQL, _CLEAN_SQL)} union all {_by_text_sql('false', 'text', _CLEAN_SQL)}""")
+def q_vote_by_text(spark, sf):
+    """Votes by cleaned text, and by text as it is with cleaning afterwards.  Three raters see a text with different
+    blanks and dashes, so only the first order makes them one group."""
+    d = text_table(spark, sf, "documents", ["doc_id", "text"]).join(table(spark, sf, "labels"), "doc_id")
+    own = F.concat(F.lower(F.substring("text", 1, 3)), "text")
+    x = d.select(F.inline(F.array(*[F.struct(F.concat(F.lit(before), own).alias("text"), F.col(v).alias("v"))
+                                    for before, v in (("", "quality"), ("  ", "toxic"), (" --- ", "toxic"))])))
+    both = [P.vote_by_text(x, "text", "v", T.normalise_ws, first).select(
+        F.lit(first).alias("clean_first"), F.md5("text").alias("h"), "label") for first in (True, False)]
+    return both[0].unionByName(both[1])
 
 
 def decorated(spark, sf):

@@ -141,15 +141,37 @@ def q_loss_weight(spark, sf):
 
 
 @query("sink_holdout", f"""with {HOLD_SQL}
-select doc_id, label, case when doc_id in (select doc_id from hold) then 'B' else 'A' end split from corpus""")
+select doc_id, label, case when doc_id in (select doc_id from hold) then 'B' else 'A' end split, md5(text) h from corpus""")
 def q_sink_holdout(spark, sf):
-    """Persist the labelled corpus with its A/B split beside the run, partitioned by split."""
+    """Persist the labelled corpus, texts beside the truth, with its A/B split, partitioned by split."""
     from textlab.session import scratch_dir
     from textlab.sources import io as IO
-    c = corpus_ids(spark, sf)
-    keys = SM.holdout_keys(c, SEED, "doc_id", HOLDOUT_N).withColumn("_b", F.lit(True))
-    tagged = c.join(F.broadcast(keys), "doc_id", "left").select(  # N keys: parameter bound
-        "doc_id", "label", F.when(F.col("_b"), F.lit("B")).otherwise(F.lit("A")).alias("split"))
+    keys = SM.holdout_keys(corpus_ids(spark, sf), SEED, "doc_id", HOLDOUT_N).withColumn("_b", F.lit(True))
+    tagged = corpus(spark, sf).join(F.broadcast(keys), "doc_id", "left").select(  # N keys: parameter bound
+        "doc_id", "label", "text", F.when(F.col("_b"), F.lit("B")).otherwise(F.lit("A")).alias("split"))
     path = scratch_dir(spark, "split")
     IO.write_partitioned(tagged, path, ["split"], mode="overwrite")
-    return spark.read.parquet(path).select("doc_id", "label", "split")
+    return spark.read.parquet(path).select("doc_id", "label", "split", F.md5("text").alias("h"))
+
+
+@query("class_weights_split", f"""with {SPLIT_SQL},
+k as (select count(distinct label) k from split),
+t as (select label, count(*) n from split where split = 'train' group by label)
+select label, cast(n as bigint) n, round(cast(sum(n) over () as double) / (k * n), 6) w from t, k""")
+def q_class_weights_split(spark, sf):
+    """Weights from the train part, for the classes of train and val together; a class that train lacks is an error."""
+    parts = SM.split_train_val(part_a_ids(spark, sf), SEED, "doc_id", TRAIN_FRAC).select("label", "split")
+    train, val = (parts.where(F.col("split") == p).select("label") for p in ("train", "val"))
+    return M.class_weights(train, "label", train.unionByName(val)).withColumn("w", F.round("w", 6))
+
+
+@query("class_list_split", f"""with {SPLIT_SQL}
+select cast(count(distinct label) as bigint) n_classes, coalesce(string_agg(distinct cast(label as varchar), '|' order by cast(label as varchar)), '')
+  classes, cast(count(*) as bigint) n_rows from split""")
+def q_class_list_split(spark, sf):
+    """Classes of the bag union of the train and val parts."""
+    parts = SM.split_train_val(part_a_ids(spark, sf), SEED, "doc_id", TRAIN_FRAC).select("label", "split")
+    both = parts.where("split = 'train'").select("label").unionByName(parts.where("split = 'val'").select("label"))
+    return both.agg(F.countDistinct("label").cast("bigint").alias("n_classes"),
+                    F.array_join(F.sort_array(F.collect_set(F.col("label").cast("string"))), "|").alias("classes"),
+                    F.count(F.lit(1)).cast("bigint").alias("n_rows"))

@@ -6,9 +6,11 @@ Line readers
   labelled:  each line stripped, blank lines dropped, NA tokens -> NULL,
              CSV quotes kept literally -- the labelled-text reader.
 Positions
-  ``with_position`` numbers the rows of a single-file scan 0..n-1 without a
-  single-partition window: per-partition counts (one row per input split)
-  give offsets, broadcast back and added to the in-partition row index.
+  ``with_file_positions`` numbers the rows of any number of files, within
+  each and over all, from the blocks that the scan is cut into;
+  ``with_position`` numbers the rows of a single-file scan 0..n-1:
+  per-partition counts (one row per input split) give offsets, broadcast
+  back and added to the in-partition row index.
 Sinks write keyed Parquet (or CSV exports) with dynamic partition
 overwrite; nothing is renamed or moved after the fact.
 """
@@ -91,6 +93,50 @@ def renumber(df: DataFrame, pos: str) -> DataFrame:
             .drop("_b", "_off")
 
 
+def with_file_positions(df: DataFrame, pos: str = "pos", at: str = "at") -> tuple[DataFrame, int]:
+    """``df`` with ``file``, ``pos`` (0-based place in its file) and ``at`` (place over all files, in order of path),
+    and the number of rows.
+
+    ``df`` is a file scan with nothing but filters and projections on it (lines that a reader drops are not
+    counted).  Files split freely: a row's place is its place in its block of the file plus the rows of the blocks
+    before.  Only a row a block (path, start, rows) comes to the driver, which lists the same blocks to plan the
+    scan; the texts are not moved.
+    """
+    x = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+    x = x.withColumn("_row", F.monotonically_increasing_id())
+    found = x.groupBy("file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")).collect()
+    blocks, n, n_file, file = [], 0, 0, None
+    for r in sorted(found, key=lambda r: (r.file, r["_block"])):
+        if r.file != file:
+            file, n_file = r.file, 0
+        blocks.append((r.file, r["_block"], n_file - r["_first"], n - r["_first"]))
+        n, n_file = n + r["_n"], n_file + r["_n"]
+    table = df.sparkSession.createDataFrame(blocks, "file string, _block long, _in_file long, _in_all long")
+    x = x.join(F.broadcast(table) if len(blocks) <= MAX_BLOCKS else table, ["file", "_block"])
+    return x.select(*df.columns, "file", (F.col("_row") + F.col("_in_file")).alias(pos),
+                    (F.col("_row") + F.col("_in_all")).alias(at)), n
+
+
+#: Blocks up to which their table is broadcast.
+MAX_BLOCKS = 1 << 18
+
+
+def read_lines_at(spark: SparkSession, path: str, labelled: bool = False) -> tuple[DataFrame, int]:
+    """(line, file, pos, at) of any number of text files, and the number of lines; ``labelled``: as that reader sees
+    them, with places assigned after blank lines are dropped."""
+    df = spark.read.option("lineSep", "\n").text(path).withColumnRenamed("value", "line")
+    return with_file_positions(labelled_lines(df) if labelled else df)
+
+
+def pair_files(x: tuple[DataFrame, int], y: tuple[DataFrame, int], at: str = "at") -> DataFrame:
+    """Pair two positioned sets of files row by row, however each is cut into files; sets of different lengths are
+    an error."""
+    if x[1] != y[1]:
+        raise ValueError(f"text/label files differ in length: {x[1]} vs {y[1]}")
+    names = {c: f"{c}_y" for c in y[0].columns if c in x[0].columns and c != at}
+    return x[0].join(y[0].withColumnsRenamed(names), at)
+
+
 def read_labels(spark: SparkSession, path: str, schema: str = "label FLOAT", label: str = "label") -> DataFrame:
     """Headerless numeric label file(s); float labels must be integral and are
     cast to INT (a non-integral label fails the query)."""
@@ -102,13 +148,14 @@ def read_labels(spark: SparkSession, path: str, schema: str = "label FLOAT", lab
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None,
-             sep: str = ",") -> DataFrame:
-    """Header CSV/TSV with quoted multi-line fields, explicit schema, projection.
-
-    Multi-line CSV cannot be split inside a file (a record may span lines),
-    so each file is one read task: keep such data in many part files (as
-    ``write_csv`` produces) or convert it to Parquet once."""
-    df = spark.read.options(**_opts({"sep": sep})).schema(schema).csv(path)
+             sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """Header CSV/TSV with quoted fields, explicit schema, projection.
+
+    Fields that may hold a newline need ``multi_line``; such files cannot be
+    split inside (a record may span lines), so each is one read task: keep
+    them in many part files (as ``write_csv`` produces) or convert them to
+    Parquet once.  Without it files split freely."""
+    df = spark.read.options(**_opts({"sep": sep, "multiLine": str(multi_line).lower()})).schema(schema).csv(path)
     return df.select(*columns) if columns else df
 
 
@@ -146,6 +193,42 @@ def stack_files(spark: SparkSession, path: str, schema: str, name_pattern: str,
     return df.select(*cols, *df.columns)
 
 
+def write_lines(df: DataFrame, path: str, by: str, order: str, line: str = "line") -> None:
+    """Text files, one folder a value of ``by``, each one file of its lines in order: for summaries of a few lines."""
+    df.repartition(by).sortWithinPartitions(by, order).select(by, line).write.partitionBy(by).option("lineSep", "\n").text(path)
+
+
+def read_partitions(spark: SparkSession, path: str, schema: str, partitions: str, fmt: str = "csv",
+                    options: dict | None = None) -> DataFrame:
+    """Files in a folder a run and seed (``run_id=a/seed=1``), with those parts of the path as columns of the types
+    that ``partitions`` gives.  A filter on them leaves out folders before anything is opened."""
+    df = spark.read.options(**(options or {"header": "false"})).format(fmt).schema(f"{schema}, {partitions}").load(path)
+    own = [f.split()[0] for f in partitions.split(",")]
+    return df.select(*own, *[c for c in df.columns if c not in own])
+
+
+def file_index(spark: SparkSession, path: str, name_pattern: str, groups: dict[str, int]) -> DataFrame:
+    """(path, file, groups...) of all files below a folder of any layout; no file is opened.  Files whose path does
+    not match the pattern have empty groups."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.select("path", F.col("_metadata.file_path").alias("file"))
+    return files.select("path", "file", *[F.regexp_extract("path", name_pattern, g).alias(c) for c, g in groups.items()])
+
+
+def read_indexed(index: DataFrame, schema: str, fmt: str = "csv", options: dict | None = None) -> DataFrame:
+    """Rows of the files that (a filter of) a ``file_index`` names, with its columns.  Other files are not read:
+    the index is filtered first, and its rows, one a file, are the scan's paths."""
+    spark, own = index.sparkSession, [c for c in index.columns if c not in ("path", "file")]
+    chosen = index.collect()
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema if f.name in own)
+    if not chosen:
+        return spark.createDataFrame([], f"{kinds}, {schema}")
+    df = spark.read.options(**(options or {"header": "false"})).format(fmt).schema(schema).load([r.path for r in chosen])
+    names = spark.createDataFrame([tuple(r[c] for c in ("file", *own)) for r in chosen], f"file string, {kinds}")
+    x = df.select("*", F.col("_metadata.file_path").alias("file"))
+    return x.join(F.broadcast(names) if len(chosen) <= MAX_BLOCKS else names, "file").select(*own, *df.columns)
+
+
 def write_partitioned(df: DataFrame, path: str, partition_cols: list[str], mode: str = "append",
                       fmt: str = "parquet") -> None:
     """Partitioned write. With ``mode='overwrite'`` and the session in dynamic
@@ -160,16 +243,6 @@ def format_fixed(col, digits: int = 6) -> Column:
     return F.format_string(f"%.{digits}f", c.cast("double"))
 
 
-def publish(spark: SparkSession, staged_path: str, final_path: str, partition_cols: list[str],
-            fmt: str = "parquet") -> None:
-    """Publish staged run outputs: insert the staged rows into the final
-    dataset, replacing only the partitions they cover (dynamic overwrite).
-    Files are never renamed or moved, which object stores cannot do
-    atomically; the staging data stays until the caller drops it."""
-    staged = spark.read.format(fmt).load(staged_path)
-    write_partitioned(staged, final_path, partition_cols, mode="overwrite", fmt=fmt)
-
-
 def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str) -> DataFrame:
     """Store ``df`` as an external table bucketed and sorted by ``key``.
 
