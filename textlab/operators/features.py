@@ -67,18 +67,19 @@ def encode_learned(df: DataFrame, key: str, text: str, vocabulary: DataFrame, ma
     known = kept.join(F.broadcast(own), F.col("_token") == F.col("_known"), "left")
     ids = F.transform(F.sort_array(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct(
         "_at", F.coalesce("_id", F.lit(FIRST_TOKEN_ID).cast("bigint")).alias("id"))))), lambda x: x["id"])
-    return known.groupBy(key).agg(ids.alias("_ids")).select(key, framed(F.col("_ids"), max_len).alias("ids"))
+    return known.groupBy(key).agg(ids.alias("_ids")).select(key, framed(F.col("_ids"), F.size("_ids"), max_len).alias("ids"))
 
 
-def framed(ids: Column, max_len: int) -> Column:
-    """[CLS] + ids + [SEP], right-padded with PAD."""
-    whole = F.concat(F.array(F.lit(CLS_ID).cast("bigint")), ids, F.array(F.lit(SEP_ID).cast("bigint")))
-    return F.concat(whole, F.array_repeat(F.lit(PAD_ID).cast("bigint"), F.greatest(F.lit(max_len) - F.size(whole), F.lit(0))))
+def framed(ids: Column, n: Column, max_len: int) -> Column:
+    """[CLS] + ``n`` ids + [SEP], right-padded with PAD."""
+    pad = F.array_repeat(F.lit(PAD_ID).cast("bigint"), F.greatest(F.lit(max_len - 2) - n, F.lit(0)))
+    return F.concat(F.array(F.lit(CLS_ID).cast("bigint")), ids, F.array(F.lit(SEP_ID).cast("bigint")), pad)
 
 
 def encode(toks: Column, max_len: int, vocab: int = VOCAB) -> Column:
     """[CLS] + first max_len-2 token ids + [SEP], right-padded with PAD."""
-    return framed(token_ids(F.slice(toks, 1, max_len - 2), vocab), max_len)
+    kept = F.slice(toks, 1, max_len - 2)
+    return framed(token_ids(kept, vocab), F.size(kept), max_len)
 
 
 def attention_mask(ids: Column) -> Column:

@@ -115,14 +115,9 @@ def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, out: str =
     never win.
     """
     mc = model.model_cols
-    label_type = model.token_table.schema["label"].dataType
-    of_model = F.struct(*[F.col(c) for c in mc], F.lit(0).alias("_m")).alias("model")
-    # a token's entries: one for each model and class, and for each model one without a class that counts the token
-    own = F.collect_list(F.struct(of_model, "label", (F.col("logp") - F.col("log_default")).alias("d")))
-    vocab = model.token_table.groupBy(F.col("token").alias("_token")).agg(own.alias("own"))
-    counting = F.transform(F.array_distinct(F.col("own.model")), lambda m: F.struct(
-        m.alias("model"), F.lit(None).cast(label_type).alias("label"), F.lit(1.0).alias("d")))
-    vocab = vocab.select("_token", F.concat("own", counting).alias("entries"))
+    cells = model.class_table.select(*mc, "label", "log_prior", "log_default").limit(WIDE + 1).collect() if not mc else []
+    wide = bool(cells) and len(cells) <= WIDE
+    vocab = _wide_vocabulary(model, cells) if wide else _long_vocabulary(model)
     if model.pairs <= broadcast_pairs:
         each = docs.select(key, F.explode_outer(tokens(text)).alias("token"), F.lit(1).alias("n"))
         hits = each.join(F.broadcast(vocab), F.col("token") == F.col("_token"), "left")
@@ -131,10 +126,13 @@ def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, out: str =
         each = each.select(key, "_run.token", "_run.n")
         by_token = model.token_table.groupBy("token").agg(F.sum("n").alias("n"))
         hits = salted_join(each, vocab, "token", "_token", [key], "left", salts, hot=hot_values(by_token, "token", "n"))
+    if wide:
+        return _wide_scores(hits, sorted(cells, key=lambda r: r.label), key, out)
+    label_type = model.token_table.schema["label"].dataType
     sums = (hits.select(key, "n", F.inline_outer("entries"))
             .groupBy(key, "model", "label").agg(F.sum(F.col("n") * F.col("d")).alias("s"))
             .groupBy(key).agg(F.collect_list(F.struct("model", "label", "s")).alias("sums")))
-    per_model = model.class_table.groupBy(of_model).agg(
+    per_model = model.class_table.groupBy(_model_struct(mc)).agg(
         F.sort_array(F.collect_list(F.struct("label", "log_prior", "log_default"))).alias("own"))
     models = per_model.agg(F.collect_list(F.struct("model", "own")).alias("models"),
                            F.sort_array(F.array_distinct(F.flatten(F.collect_list("own.label")))).alias("labels"))
@@ -156,6 +154,42 @@ def nb_predict(model: NBModel, docs: DataFrame, key: str, text: str, out: str =
                     F.element_at("labels", argmax(F.col("scores")) + 1).alias(out))
 
 
+#: Classes of a single model up to which a token carries one number per class, in columns.
+WIDE = 12
+
+
+def _model_struct(mc: list[str]) -> Column:
+    return F.struct(*[F.col(c) for c in mc], F.lit(0).alias("_m")).alias("model")
+
+
+def _long_vocabulary(model: NBModel) -> DataFrame:
+    """(_token, entries): for each model and class, and for each model one without a class that counts the token."""
+    label_type = model.token_table.schema["label"].dataType
+    own = F.collect_list(F.struct(_model_struct(model.model_cols), "label", (F.col("logp") - F.col("log_default")).alias("d")))
+    vocab = model.token_table.groupBy(F.col("token").alias("_token")).agg(own.alias("own"))
+    counting = F.transform(F.array_distinct(F.col("own.model")), lambda m: F.struct(
+        m.alias("model"), F.lit(None).cast(label_type).alias("label"), F.lit(1.0).alias("d")))
+    return vocab.select("_token", F.concat("own", counting).alias("entries"))
+
+
+def _wide_vocabulary(model: NBModel, cells: list) -> DataFrame:
+    """(_token, d0, d1, ...): what one occurrence adds to each class of a single model, in order of label."""
+    d = F.col("logp") - F.col("log_default")
+    return model.token_table.groupBy(F.col("token").alias("_token")).agg(*[
+        F.coalesce(F.max(F.when(F.col("label") == F.lit(c.label), d)), F.lit(0.0)).alias(f"d{k}")
+        for k, c in enumerate(sorted(cells, key=lambda r: r.label))])
+
+
+def _wide_scores(hits: DataFrame, cells: list, key: str, out: str) -> DataFrame:
+    """Scores of a single model's few classes: as many sums, in one exchange."""
+    n = F.sum(F.when(F.col("_token").isNotNull(), F.col("n")).otherwise(0))
+    sums = hits.groupBy(key).agg(n.alias("_nd"), *[
+        F.coalesce(F.sum(F.col("n") * F.col(f"d{k}")), F.lit(0.0)).alias(f"s{k}") for k in range(len(cells))])
+    scores = F.array(*[F.lit(c.log_prior) + F.col("_nd") * F.lit(c.log_default) + F.col(f"s{k}") for k, c in enumerate(cells)])
+    labels = F.array(*[F.lit(c.label) for c in cells])
+    return sums.select(key, scores.alias("scores")).withColumn(out, F.element_at(labels, argmax(F.col("scores")) + 1))
+
+
 def lr_estimator(text: str = "text", label: str = "label", weight: str | None = "w",
                 num_features: int = 1 << 18, max_iter: int = 50, reg: float = 0.0) -> Pipeline:
     """Tokenizer -> hashing TF -> IDF -> (weighted) logistic regression."""
