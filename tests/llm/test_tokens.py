@@ -54,8 +54,9 @@ def test_encode_and_decode_odd_rows(odd, none, library):
 
 
 def test_decode_null_and_unknown_ids(make):
-    got = bpe.decode(make("doc_id long, ids array<int>", [(1, None), (2, [320, 10**9])])).collect()
-    assert [r["text"] for r in got] == ["", "a</w>"]
+    rows = [(1, None), (2, [320, 10**9]), (3, []), (4, [-1, None, 320, 320]), (5, [None])]
+    got = {r["doc_id"]: r["text"] for r in bpe.decode(make("doc_id long, ids array<int>", rows)).collect()}
+    assert got == {1: "", 2: "a</w>", 3: "", 4: "a</w> a</w>", 5: ""}
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4095, 4096, 4097, 12288, 13001])

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -186,19 +187,43 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+_STRINGS: dict[str, pa.Array] = {}
+
+
+def _strings(path: str) -> pa.Array:
+    """This Python worker's table of token strings by id; NULL for numbers that are no token's."""
+    if path not in _STRINGS:
+        from tokenizers import Tokenizer
+        strings = {i: t for t, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=True).items()}
+        _STRINGS[path] = pa.array([strings.get(i) for i in range(max(strings) + 1)], pa.string())
+    return _STRINGS[path]
+
+
+def joined(ids: pa.Array, strings: pa.Array) -> pa.Array:
+    """Token strings of lists of ids, joined by one space; ids that are no token's are skipped."""
+    counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    flat = ids.flatten()
+    number = flat.to_numpy(zero_copy_only=False)
+    known = pc.fill_null(flat, -1).to_numpy() if flat.null_count else number
+    taken = strings.take(pa.array(np.where((known >= 0) & (known < len(strings)), known, 0).astype(np.int64)))
+    here = (known >= 0) & (known < len(strings)) & (taken.is_valid().to_numpy(zero_copy_only=False) if taken.null_count else True)
+    if not here.all():
+        taken = taken.filter(pa.array(here))
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[here], minlength=len(counts))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken), " ")
+
+
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, ids, text): the vocabulary has no decoder, so tokens are joined by one space, as its library does."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-        strings = {i: t for t, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=True).items()}
-        get = strings.get
+        strings = _strings(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                text = [" ".join(filter(None, map(get, ids or ()))) for ids in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string())],
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), joined(part.column(1), strings)],
                                                  names=["doc_id", "ids", "text"])
 
     cols = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
