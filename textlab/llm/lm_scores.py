@@ -77,7 +77,8 @@ class Counts:
 
 def encoded(docs: DataFrame, wanted: DataFrame, path: str, width: str, id_col: str, text_col: str) -> DataFrame:
     """(block, doc_id, is_target, ids) with ids as numpy's ``width``; ``wanted``: distinct doc_ids."""
-    flagged = texts(docs, id_col, text_col).join(wanted.withColumn("is_target", F.lit(True)), "doc_id", "left")
+    # one way at every size, so that what is shuffled grows with the input alone
+    flagged = texts(docs, id_col, text_col).hint("merge").join(wanted.withColumn("is_target", F.lit(True)), "doc_id", "left")
     most = BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
