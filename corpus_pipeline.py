@@ -15,27 +15,29 @@ from textlab.session import scratch_dir
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; NULL and empty texts have no words and go."""
     return quality_rules.keep_clean(docs)
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a classifier, taught by the labels of these documents, calls good."""
-    return classifier.keep_good(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+    """Documents that a classifier calls good; all labelled documents of ``sf_dir`` teach it, also those that the
+    rules reject.  Without labels of both kinds nothing is rejected."""
+    model = classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classifier.keep_good(docs, model)
 
 
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of copies and near copies."""
+    """One document of each class of copies and near copies: that of the least id, NULL ids last, repeated rows once."""
     return near_dups.keep_one(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets masked."""
+    """All documents, NULL texts as they are, with their secrets masked."""
     return secrets.mask_secrets(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, as op7 returns them."""
+    """The documents' pieces, as op7 returns them; a NULL or empty text is its closing token, rows are packed each."""
     return packing.digest(packing.pack(docs))
 
 
@@ -47,7 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; an empty table gives no pieces."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_dir(spark, name)

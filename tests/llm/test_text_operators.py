@@ -106,7 +106,13 @@ def test_classifier_odd_rows(odd, none, make):
     got = classifier.score(odd, model).collect()
     assert [r["score"] for r in got] == [0.5] * odd.count()
     assert classifier.score(none, classifier.train(none, labels.limit(0))).count() == 0
-    assert classifier.keep_good(odd, model).count() == 0
+    assert classifier.keep_good(odd, model).count() == odd.count()  # what learnt nothing rejects nothing
+    assert classifier.keep_good(none, model).count() == 0
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, len(classifier.FEATURES)))
+    own = classifier.fit(x, (x[:, 0] > 0).astype(float), rounds=5)
+    kept = Counter(r["doc_id"] for r in classifier.keep_good(odd, own).collect())
+    assert kept == Counter(r["doc_id"] for r in classifier.score(odd, own).collect() if r["score"] >= classifier.GOOD)
 
 
 def test_held_out_rule(make):

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.common import filter_rows, rows_of, texts
+from textlab.llm.common import rows_of, texts
+from textlab.session import ship_package
 
 FEATURES = ("log_words", "word_length", "marks", "upper", "digits", "space", "non_ascii", "bare_marks", "mark_ends",
             "distinct", "same_word_run", "repeated_triples", "dup_lines", "line_words", "short_words")
@@ -200,6 +201,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score ``GOOD`` or more."""
-    return filter_rows(docs, [text_col],
-                       lambda row: model.score(np.array([features(row[text_col] or "")]))[0] >= GOOD)
+    """The rows of ``docs``, with all their columns, that score ``GOOD`` or more.
+
+    NULL texts are scored as empty ones; equal rows have equal verdicts; an empty table stays empty.  A model that
+    learnt nothing (no labelled rows, or one class alone) rejects nothing.
+    """
+    if not any(len(table) > 1 for table in model.tables):
+        return docs
+    ship_package(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                x = np.array([features(t or "") for t in part.column(at).to_pylist()], float)
+                yield part.filter(pa.array(model.score(x) >= GOOD))
+
+    return docs.mapInArrow(run, docs.schema)
