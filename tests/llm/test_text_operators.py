@@ -238,6 +238,122 @@ def test_licenses_many_places_and_odd_rows(make, odd, none):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).count() == 0
 
 
+#: Passages that do not name their license, and the label each must have.
+PASSAGES = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all\n * copies or substantial portions "
+            "of the Software."),
+    ("ncsa", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+             "documentation files (the \"Software\"), to deal with the Software without restriction"),
+    ("mit-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+              "documentation files (the \"Software\"), to deal in the Software without restriction, including the rights to "
+              "use, and to permit persons to do so.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\""),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+                "and accompanying documentation covered by this license"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+             "granted.\n\nTHE SOFTWARE IS PROVIDED"),
+    ("hpnd", "Permission to use, copy, modify and distribute this software and its documentation for any purpose and without "
+             "fee is hereby granted, provided that the above copyright notice appear in all copies"),
+    ("postgresql", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, "
+                   "without fee, and without a written agreement is hereby granted"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+            "following conditions are met:"),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+            "WARRANTIES"),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                     "promote products derived from this software without specific prior written permission."),
+    ("bsd-4-clause", "All advertising materials mentioning features or use of this software must display the following "
+                     "acknowledgement:"),
+    ("apache-2.0", "you may not use this file except in compliance with the License."),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+                   "distributed on an \"AS IS\" BASIS"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
+    ("lgpl", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
+    ("gpl-2.0-or-later", "the GNU General Public License as published by the Free Software Foundation; either version 2 of the "
+                         "License, or (at your option) any later version."),
+    ("gpl-3.0-or-later", "the GNU General Public License as published by the Free Software Foundation, either version 3 of the "
+                         "License, or (at your option) any later version."),
+    ("lgpl-2.1-or-later", "the GNU Lesser General Public License as published by the Free Software Foundation; either version "
+                          "2.1 of the License, or (at your option) any later version."),
+    ("agpl-3.0-or-later", "the GNU Affero General Public License as published by the Free Software Foundation, either version 3 "
+                          "of the License, or (at your option) any later version."),
+    ("agpl", "You should have received a copy of the GNU Affero General Public License along with this program."),
+    ("gpl-2.0", "The licenses for most software are designed to take away your freedom to share and change it."),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("zlib", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("zlib", "Altered source versions must be plainly marked as such"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("cc0-1.0", "To the extent possible under law, the author has dedicated all copyright and related rights"),
+    ("cc", "Share - copy and redistribute the material in any medium or format"),
+    ("cc-by", "You must give appropriate credit, provide a link to the license, and indicate if changes were made."),
+    ("cc-nc", "You may not use the material for commercial purposes."),
+    ("cc-sa", "If you remix, transform, or build upon the material, you must distribute your contributions under the same "
+              "license as the original."),
+    ("openssl", "This product includes software developed by the OpenSSL Project for use in the OpenSSL Toolkit"),
+    ("json", "The Software shall be used for Good, not Evil."),
+    ("beerware", "If we meet some day, and you think this stuff is worth it, you can buy me a beer in return."),
+    ("vim", "There are no restrictions on distributing unmodified copies of Vim"),
+    ("ijg", "this software is based in part on the work of the Independent JPEG Group"),
+    ("perl-5", "you can redistribute it and/or modify it under the same terms as Perl itself."),
+    ("elastic-2.0", "You may not provide the software to third parties as a hosted or managed service"),
+    ("busl-1.1", "The Licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make "
+                 "non-production use of the Licensed Work."),
+    ("cecill", "This Agreement is a Free Software license agreement that is the result of discussions between its authors"),
+    ("odbl-1.0", "is a license agreement intended to allow users to freely share, modify, and use this Database"),
+    ("proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited"),
+    ("x11", "Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise "
+            "to promote the sale, use or other dealings in this Software"),
+]
+
+
+def plain_detections(text):
+    """All rules tried on the text one by one, then every pair of detections compared."""
+    form = f" {' '.join(re.findall(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', text.lower()))} "
+    hits = [(m.start(), m.end(), r["place"], r["label"]) for r in licenses.rules() for m in re.finditer(r["pattern"], form)]
+    return sorted(d[:3] for d in hits if d[3] and not any(
+        e[0] <= d[0] and e[1] >= d[1] and e[2] < d[2] for e in hits))
+
+
+def test_license_passages_are_found_without_names(make):
+    rows = licenses.scan(make("doc_id long, text string", [(k, f"/* {t} */ and so on") for k, (_, t) in enumerate(PASSAGES)]))
+    for r in rows.collect():
+        label, text = PASSAGES[r["doc_id"]]
+        assert {label} <= set(r["labels"].split(",")) <= {label, r["base_labels"]} and r["score"] >= 0.8, (text, r["labels"])
+    assert len({label for label, _ in PASSAGES}) >= 30
+
+
+def test_license_rules_against_brute_force(make):
+    rnd = random.Random(5)
+    pool = [t for _, t in PASSAGES] + [t for t, _, _ in LICENSED] + ["the river runs", "not", "under the", "license"]
+    pool += [f"{b} {n} {a}" for b in ("", "not licensed under the", "released under", "licensed under the terms of the")
+             for n in ("MIT", "MIT License", "Apache License, Version 2.0", "GPL v2", "CC BY-SA 4.0") for a in ("", "license")]
+    texts = [" ".join(rnd.choices(pool, k=rnd.randint(1, 40))) for _ in range(60)] + ["mit license " * 700]
+    texts += [" ".join(t.split()[rnd.randint(0, 3):]) for _, t in PASSAGES]
+    found = 0
+    for r in licenses.scan(make("doc_id long, text string", list(enumerate(texts)))).collect():
+        got = sorted((d["start"], d["end"], d["place"]) for d in r["detections"])
+        assert got == plain_detections(texts[r["doc_id"]]), texts[r["doc_id"]]
+        found += len(got)
+    assert found > 1500
+
+
+def test_licenses_that_are_denied(make):
+    texts = ["This is not licensed under the MIT License.", "it isn't released under the terms of the GPL v3",
+             "Not licensed under CC BY 4.0, but under the Apache License, Version 2.0"]
+    rows = licenses.scan(make("doc_id long, text string", list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [r["labels"] for r in rows] == ["mit", "", "apache,apache-2.0"]
+    assert (rows[0]["n_base"], rows[0]["score"], rows[1]["score"]) == (1, 0.5, 0.0) and rows[0]["detections"] == []
+
+
+def test_licenses_in_a_very_long_text(make):
+    """40,000 detections in a text, in time that does not grow with their square."""
+    r = licenses.scan(make("doc_id long, text string", [(1, "the river; under GPL v2 and so on\n" * 40_000)])).first()
+    assert len(r["detections"]) == 40_000 and r["labels"] == "gpl-2.0" and r["n_words"] == 320_000
+
+
 # -- fingerprints
 
 def test_fingerprints_against_brute_force(make):
