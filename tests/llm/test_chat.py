@@ -46,7 +46,8 @@ def test_templates_that_rewrite_history_are_detected(make):
 
 
 @pytest.mark.parametrize("block", [1, 32])
-def test_rewriting_is_detected_over_blocks(make, block):
+@pytest.mark.parametrize("by_turn", [False, True])
+def test_rewriting_is_detected_over_blocks(make, block, by_turn):
     def plain(turns, first):
         return "".join(f"{r}:{t.strip()};" for r, t in turns)
 
@@ -57,6 +58,8 @@ def test_rewriting_is_detected_over_blocks(make, block):
         """Takes back turn 31 alone, once a turn follows it."""
         return "".join(f"{r}:{'' if first + k == 31 and k < len(turns) - 1 else t};" for k, (r, t) in enumerate(turns))
 
+    for template in (plain, rewriting, late):
+        template.by_turn = by_turn
     n = {1: 33, 2: 1, 3: 600, 4: 32}
     rows = [(c, t, ["user", "assistant"][t % 2], f"text {t}", "", "") for c in n for t in range(n[c])]
     for template, kept in ((rewriting, {2}), (late, {2, 4}), (plain, {1, 2, 3, 4})):
@@ -68,6 +71,29 @@ def test_rewriting_is_detected_over_blocks(make, block):
         assert all(r["rendered"][r["content_start"]:r["content_end"]] == f"text {r['turn_no']}" for r in out if r["kept"])
 
 
+def test_black_boxes_see_the_whole_history(make):
+    """What a template does long after a turn, or once before all turns, counts at every length."""
+    def much_later(turns, first):
+        """Takes back turn 0 once there are more than 100."""
+        return "".join(f"{r}:{'' if len(turns) > 100 and k == 0 else t};" for k, (r, t) in enumerate(turns))
+
+    def headed(turns, first):
+        return "<s>" + "".join(f"{r}:{t};" for r, t in turns)
+
+    n = {1: 100, 2: 101, 3: 33, 4: 32, 5: 1}
+    rows = [(c, t, ["user", "assistant"][t % 2], f"text {t}", "", "") for c in n for t in range(n[c])]
+    for template, rewritten in ((much_later, {2}), (headed, set())):
+        out = chat.format_chats(make(SCHEMA, rows), template).collect()
+        assert len(out) == len(rows) and all(r["kept"] == (r["conv_id"] not in rewritten) for r in out)
+        assert all(r["loss"] == (r["kept"] and r["role"] == "assistant") for r in out)
+        for c in n:
+            own = sorted((r for r in out if r["conv_id"] == c), key=lambda r: r["turn_no"])
+            turns = [(["user", "assistant"][t % 2], f"text {t}") for t in range(n[c])]
+            assert "".join(r["rendered"] for r in own) == template(turns, 0)
+            if c not in rewritten:
+                assert [r["rendered"][r["content_start"]:r["content_end"]] for r in own] == [t for _, t in turns]
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 32])
 def test_formatting_and_digest(make, spark, block):
     rnd = random.Random(2)

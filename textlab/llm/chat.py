@@ -7,13 +7,14 @@ span, and the turn's escaped text inside that span is its content.  Where it
 does not, the template rewrites history; the conversation is marked, and no
 part of it is put under the loss mask.
 
-Rows are shuffled once, by conversation, and sorted within partitions; a
-conversation streams through its task in blocks of ``block`` turns, so no
-conversation is ever collected.  Each block is rendered after the one before
-it, whose own output it must not change.  A template must therefore render a
-conversation as its blocks' outputs joined (it is told the first turn's
-number); the default one renders turn by turn.  Rows wait for the end of their
-conversation, which settles its mark: of long ones, in a file of the task.
+Rows are shuffled by conversation and sorted within partitions.  A template is a
+black box, so each prefix is rendered whole, from the first turn on, whatever the
+length: the turns of one conversation are held by its task, and its time grows
+with the square of them.  A template that says it renders turn by turn
+(``by_turn``), as the default one does, is rendered in blocks of ``block`` turns
+instead, each after the one before it, so that no conversation is ever collected;
+within that reach the comparison still checks it.  A second, ordered window over
+the conversation settles its mark; its rows wait in Spark's own spill files.
 
 Defined results: NULL texts are empty, NULL roles the empty role; turns are
 taken by (turn, role, text), NULL turn numbers first, and numbered anew, so
@@ -24,13 +25,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-import tempfile
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.session import ship_package
@@ -60,6 +60,9 @@ def default_template(turns: list[Turn], first: int = 0) -> str:
     return "".join(f"{_START}{escape(role).replace(_LINE, _SPELT)}\n{escape(text)}<|im_end|>\n" for role, text in turns)
 
 
+default_template.by_turn = True  # its output is that of its turns joined
+
+
 def spans(turns: list[Turn], template: Template, first: int = 0,
           context: int = 0) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """The rendered block, (start, end, content start, content end) of each turn, and whether history was kept.
@@ -109,27 +112,21 @@ def format_chats(conversations: DataFrame, template: Template = default_template
     rows = (rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
             .select("conv_id", "role", "text"))
 
+    by_turn = getattr(template, "by_turn", False)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, turns in groupby(_turns(batches), key=lambda r: r[0]):
-            first, part, before, kept = 0, [], [], True
-            with _Held() as held:
-                for row in turns:
-                    part.append(row[1:])
-                    if len(part) == block:
-                        out, kept = render(conv, part, first, before, kept)
-                        held.add(out)
-                        first, part, before = first + block, [], part
-                if part:
-                    out, kept = render(conv, part, first, before, kept)
-                    held.add(out)
-                for out in held:
-                    yield out if kept else unmarked(out)
+            first, before, kept = 0, [], True
+            while part := [row[1:] for row in (islice(turns, block) if by_turn else turns)]:
+                out, kept = render(conv, part, first, before, kept)
+                yield out
+                first, before = first + len(part), part
 
     def render(conv, part: list[Turn], first: int, before: list[Turn], kept: bool) -> tuple[pa.RecordBatch, bool]:
         """A block after the one before it, and whether history was kept up to its end."""
         if kept:
             whole, found, kept = spans(before + part, template, first - len(before), len(before))
-            # a template whose block depends on the one before it does not render blocks that can be joined
+            # one whose block depends on the one before it does not render turn by turn
             kept = kept and (not before or whole == template(part, first))
         if not kept:
             whole = template(part, first)
@@ -143,45 +140,14 @@ def format_chats(conversations: DataFrame, template: Template = default_template
                 [kept and r == loss_role for r, _ in part], [kept] * len(part))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS)], names=_NAMES), kept
 
-    def unmarked(out: pa.RecordBatch) -> pa.RecordBatch:
-        """The rows of a conversation whose history was rewritten: no content, no loss."""
-        none, no = pa.array([0] * out.num_rows, pa.int64()), pa.array([False] * out.num_rows, pa.bool_())
-        return pa.RecordBatch.from_arrays([*out.columns[:4], none, none, no, no], names=_NAMES)
-
-    return rows.mapInArrow(_joined(run), FORMATTED)
-
-
-class _Held:
-    """A conversation's batches until its end: up to ``MOST`` in memory, then in a file that goes with the block."""
-
-    MOST = 256
-
-    def __init__(self) -> None:
-        self.batches, self.file, self.writer = [], None, None
-
-    def __enter__(self) -> _Held:
-        return self
-
-    def __exit__(self, *_) -> None:
-        if self.file is not None:
-            self.file.close()
-
-    def add(self, batch: pa.RecordBatch) -> None:
-        self.batches.append(batch)
-        if len(self.batches) == self.MOST:
-            if self.file is None:
-                self.file = tempfile.TemporaryFile()
-                self.writer = pa.ipc.new_stream(self.file, batch.schema)
-            for b in self.batches:
-                self.writer.write_batch(b)
-            self.batches = []
-
-    def __iter__(self) -> Iterator[pa.RecordBatch]:
-        if self.file is not None:
-            self.writer.close()
-            self.file.seek(0)
-            yield from pa.ipc.open_stream(self.file)
-        yield from self.batches
+    each = Window.partitionBy("conv_id").orderBy("turn_no").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    kept = F.min("kept").over(each)
+    marked = rows.mapInArrow(_joined(run), FORMATTED).withColumn("kept", kept)
+    return marked.select(  # of a conversation whose history was rewritten: no content, no loss
+        "conv_id", "turn_no", "role", "rendered",
+        *(F.when(F.col("kept"), F.col(c)).otherwise(F.lit(0).cast("long")).alias(c) for c in ("content_start", "content_end")),
+        (F.col("loss") & F.col("kept")).alias("loss"), "kept")
 
 
 def _joined(run):
