@@ -154,6 +154,14 @@ def test_novel_strings_need_a_sensitive_place_and_no_explanation():
     assert secrets.find(f"{odd_one} {odd_one} {odd_one}, key {odd_one}") == []  # the surroundings explain it
 
 
+def test_keys_of_letters_alone_are_novel():
+    assert secrets.find("private key: qWxRtYpLmNbVcZaSdFgHkTqB") == [(13, 37, "novel")]
+    letters = [re.sub("[^A-Za-z]", "", drawn(k, 80))[:32] for k in range(40)]
+    assert all(secrets.find(f"the signing key {x} was sent") == [(16, 48, "novel")] for x in letters)
+    for plain in ("configuration_settings", "authorization_header", "placeholder_password", "development_environment"):
+        assert secrets.find(f"the key of {plain} here") == []
+
+
 def drawn(seed, n):
     return "".join(random.Random(seed).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
 

@@ -9,6 +9,11 @@ byte per character and is reported, whole, as kind ``novel``.  What was found is
 itself a sensitive place: the lines of a key, the parts of a dotted token and
 the values of a list are followed from one to the next.
 
+Parameters of the kind ``novel``: strings have ``SHORTEST`` characters at least and lie
+within ``NEAR`` characters of a sensitive place; one with a digit is novel from
+``NOVEL`` marginal bytes a character, one of letters and signs alone, which may be an
+identifier that the dictionary does not know, from ``NOVEL_PLAIN``.
+
 Defined results: NULL and empty texts hold nothing; repeated rows give equal
 results; spans are in code points, end exclusive; a novel string that
 overlaps a pattern's span is not reported again; an empty table gives an
@@ -38,12 +43,14 @@ SENSITIVE = ("key", "secret", "token", "passw", "pwd", "auth", "credential", "pr
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.ASCII | re.IGNORECASE)
 #: Characters between a string and a sensitive place, and those compressed on each side.
 NEAR, AROUND = 40, 200
-_STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Characters of a string at least.
+SHORTEST = 16
+_STRING = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 #: The short last line of a string in lines, the others of which have ``LINE`` characters at least.
 LINE, _LAST = 40, re.compile(r"\r?\n([A-Za-z0-9+/_=-]{1,15})(?=\r?\n|\Z)")
 _DIGIT = re.compile(r"[0-9]")
-#: Marginal bytes per character from which a string is novel.
-NOVEL = 0.62
+#: Marginal bytes per character from which a string is novel, with and without a digit.
+NOVEL, NOVEL_PLAIN = 0.62, 0.9
 
 _IDENTIFIERS = """
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef fedcba9876543210 1234567890
@@ -77,7 +84,7 @@ def novelty(text: str, start: int, end: int) -> float:
 def _is_novel(text: str, a: int, b: int, names: list[tuple[int, int]]) -> bool:
     """Of the string text[a:b], or of what of it begins or ends a name inside it."""
     inside = names[bisect_left(names, (a, a)):bisect_left(names, (b, b))]
-    return any(b - x >= 16 and _DIGIT.search(text, x, b) and novelty(text, x, b) >= NOVEL
+    return any(b - x >= SHORTEST and novelty(text, x, b) >= (NOVEL if _DIGIT.search(text, x, b) else NOVEL_PLAIN)
                for x in dict.fromkeys([a, *(x for name in inside for x in name)]))
 
 
