@@ -133,3 +133,45 @@ def test_a_crowd_costs_pairs_in_proportion(make, monkeypatch):
     assert all(got[k] >= want[k] for k in got)
     links = [(a, b) for a, b in combinations(range(len(rows)), 2) if want[a] == want[b]]
     assert sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links) > 0  # the recall that README states as the least
+
+
+def crowd(n, seed=2):
+    """Copies of one base of 200 words with one to eight words replaced by common ones."""
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(3000)]
+    base, rows = rnd.choices(words, k=200), []
+    for k in range(n):
+        own = list(base)
+        for j in rnd.sample(range(200), 1 + k % 8):
+            own[j] = rnd.choice(words[:4])
+        rows.append(" ".join(own))
+    return rows
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_a_crowd_loses_no_link(make, monkeypatch, block):
+    """Hubs and dealing again leave several links of a crowd out; the rest is joined exactly, in blocks too."""
+    monkeypatch.setattr(N, "LEVELS", 1 if block == 8 else N.LEVELS)
+    monkeypatch.setattr(N, "BLOCK", block)
+    rows = crowd(200)
+    got = {r["doc_id"]: r["class_id"] for r in N.classes(make("doc_id long, text string", list(enumerate(rows)))).collect()}
+    assert got == dict(enumerate(brute(rows)))
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_candidates_hold_every_similar_pair(make, monkeypatch, block):
+    """Whatever the components known so far, all similar pairs across them are candidates, each pair once."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    rows = crowd(60, 5) + [t for t in corpus() if t and len(t.split()) > 4]
+    own = [N._short(t) for t in rows]
+    sets = make("node long, own binary", [(k, x.tobytes()) for k, x in enumerate(own)])
+    for of in (lambda k: k, lambda k: k % 3, lambda k: 0 if k < 50 else k):
+        got = [(r["member"], r["hub"]) for r in N._candidates(make("node long, component long", [(k, of(k)) for k in range(len(rows))]),
+                                                            sets).collect()]
+        want = set()
+        for a, b in combinations(range(len(rows)), 2):
+            both = len(np.intersect1d(own[a], own[b]))
+            if of(a) != of(b) and both >= N.SIMILARITY * (len(own[a]) + len(own[b]) - both):
+                want.add((a, b))
+        assert want and want <= set(got) and len(got) == len(set(got))
+        assert all(of(a) != of(b) for a, b in got)

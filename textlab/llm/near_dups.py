@@ -23,9 +23,13 @@ with their probability Jaccard similarity.
    that only nodes more alike than the crowd still meet, and go through 2 to
    4 as buckets of their own; ``LEVELS`` times at most.  Components that hold
    together are pairs no more, so what is made is linear in a bucket's nodes.
+5. The rest is done exactly: nodes of large buckets that still hold several
+   components are joined by their rarest shingles (prefixes, with the bound
+   that a shingle's place sets), across components only; all pairs that can
+   be similar are verified, and their links join components.
 
-A link is lost only if its nodes never meet in a small bucket and neither is
-a hub of one they share; README has the recall against all pairs.
+So nodes that share a bucket and are similar end in one class whatever the
+bucket's size; a link is lost only if its nodes share none of the bands.
 
 Intermediate tables are written to the shared checkpoint folder.  Defined
 results: texts without words are copies if equal; NULL texts are empty;
@@ -46,7 +50,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.llm.common import rows_of
@@ -59,6 +63,8 @@ BANDS, ROWS = 25, 5
 SMALL, SALTS = 8, 256
 #: Bands that buckets are dealt by, one more each time.
 LEVELS = 5
+#: Nodes of one shingle that are paired in one group, about.
+BLOCK = 512
 
 _WORD = re.compile(r"[^\W_]+")
 _WORDS: dict[str, int] = {}  # hashes of words, for each Python worker
@@ -182,23 +188,27 @@ def _sets(some: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return _written(texts.mapInArrow(cut, "node long, own binary").dropDuplicates(["node"]), "sets")
 
 
+def _listed(own: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, shingle) of every shingle of the sets in ``own``; what is kept are columns of longs."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in rows_of(batches, 128):
+            each = [np.frombuffer(raw, "<u4").astype(np.int64) for raw in rows["own"]]
+            long = [len(x) for x in each]
+            flat = [*(np.repeat(np.array(rows[c], np.int64), long) for c in keep), np.concatenate(each)]
+            for k in range(0, len(flat[-1]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k:k + (1 << 16)]) for x in flat], names=[*keep, "shingle"])
+
+    return own.mapInArrow(listed, ", ".join(f"{c} long" for c in [*keep, "shingle"]))
+
+
 def _linkable(sets: DataFrame, some: DataFrame) -> DataFrame:
     """Those of ``some`` distinct nodes that may be similar to another of them.
 
     A node's similarity to any other is at most the share of its shingles that another node has too, so
     one with more than 1 - ``SIMILARITY`` shingles of its own has no link: an exact rule, not an estimate.
     """
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in rows_of(batches, 128):
-            each = [np.frombuffer(raw, "<u4").astype(np.int64) for raw in rows["own"]]
-            node = np.repeat(np.array(rows["node"], np.int64), [len(x) for x in each])
-            flat = np.concatenate(each)
-            for k in range(0, len(flat), 1 << 16):
-                part = slice(k, k + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(flat[part])], names=["node", "shingle"])
-
     own = sets.join(some, "node")
-    single = (own.mapInArrow(listed, "node long, shingle long").groupBy("shingle")
+    single = (_listed(own, "node").groupBy("shingle")
               .agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1"))
     alone = single.groupBy("node").agg(F.count("*").alias("alone"))
     return (own.select("node", (F.octet_length("own") / 4).alias("n")).join(alone, "node", "left")
@@ -295,6 +305,70 @@ def _pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows.filter(F.col("n") > SMALL).select("bucket", "b", *_NODE, "bands"))
 
 
+def _unsettled(crowded: DataFrame, component: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of those large buckets that still hold several components."""
+    now = crowded.select("bucket", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    return now.join(several.select("bucket"), "bucket").select("node", "component").distinct()
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` with the groups (shingle, lo, hi) in which they are paired and the block that they are in there.
+
+    A shingle of up to ``BLOCK`` nodes is one group.  The nodes of others are dealt over blocks, and every two
+    blocks are a group, as is each block itself.  A component of more nodes than that has blocks of its own,
+    which never meet each other.
+    """
+    sizes = rows.groupBy("shingle").agg(F.count("*").alias("k"))
+    one = F.lit(0).cast("long")
+    few = rows.join(sizes.filter(F.col("k") <= BLOCK).select("shingle"), "shingle").select(
+        "*", one.alias("block"), one.alias("lo"), one.alias("hi"))
+    hot = rows.join(sizes.filter(F.col("k") > BLOCK).select("shingle"), "shingle")
+    parts = hot.groupBy("shingle", "component").agg(F.count("*").alias("k"))
+    mixed = parts.filter(F.col("k") <= BLOCK).groupBy("shingle").agg(F.sum("k").alias("mixed"))
+    large = F.col("k") > BLOCK
+
+    def slot(col: str, n: Column) -> Column:
+        return F.pmod(F.xxhash64(col), F.ceil(n / BLOCK))
+
+    hot = hot.join(parts, ["shingle", "component"]).join(mixed, "shingle", "left").select(
+        *rows.columns, F.when(large, F.xxhash64("component", slot("node", F.col("k"))))
+        .otherwise(slot("component", F.col("mixed"))).alias("block"), F.when(large, F.col("component")).alias("only"))
+    blocks = hot.select("shingle", "block", "only").distinct()
+    other = blocks.select("shingle", F.col("block").alias("other"), F.col("only").alias("other_only"))
+    meet = blocks.join(other, "shingle").filter(
+        F.col("only").isNull() | F.col("other_only").isNull() | (F.col("only") != F.col("other_only")))
+    meet = meet.select("shingle", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).distinct()
+    return few.unionByName(hot.drop("only").join(meet, ["shingle", "block"]))
+
+
+def _candidates(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(member, hub) of all pairs of ``rest`` (distinct node, component) in different components that can be similar.
+
+    Shingles are ordered: those of one component's nodes first, then by the number of nodes, then by themselves.
+    All shingles that two sets share follow their first common one, which so has at least as many shingles from it on in
+    both sets as a similar pair must share: SIMILARITY / (1 + SIMILARITY) of both sizes, and that is SIMILARITY of the
+    larger at least.  So only a set's first shingles are joined, and pairs go by the places of those they share.
+    """
+    own = sets.join(rest, "node").withColumn("n", (F.octet_length("own") / 4).cast("long"))
+    each = _listed(own, "node", "component", "n")
+    # a shingle that one component has to itself is in no pair, but has its place: before all others
+    shared = each.groupBy("shingle").agg(F.count("*").alias("k"), F.min("component").alias("lo"),
+                                         F.max("component").alias("hi")).filter("lo < hi").select("shingle", "k")
+    following = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), F.desc("shingle")))
+    first = each.join(shared, "shingle").withColumn("following", following.cast("long")).drop("k")
+    first = _written(first.filter(F.col("following") >= F.col("n") * SIMILARITY - 1e-6), "prefixes")
+    dealt = _in_blocks(first)
+    x, y = (dealt.filter(F.col("block") == F.col(side)).select(
+        "shingle", "lo", "hi", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "following")])
+        for side in ("lo", "hi"))
+    enough = (F.col("n_lo") + F.col("n_hi")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    both = x.join(y, ["shingle", "lo", "hi"]).filter(
+        ((F.col("lo") < F.col("hi")) | (F.col("node_lo") < F.col("node_hi"))) & (F.col("component_lo") != F.col("component_hi"))
+        & (F.least("following_lo", "following_hi") >= enough))
+    return both.select(F.least("node_lo", "node_hi").alias("member"), F.greatest("node_lo", "node_hi").alias("hub")).distinct()
+
+
 def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) of all nodes that have a link."""
     rows = nodes.select("node", "size", F.posexplode("bands").alias("b", "bucket"))
@@ -310,7 +384,7 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     alone = F.col("node").alias("component")  # at first every node is a component
     pairs, left = _pairs(large.unionByName(few).select("*", alone))
     pairs = _written(pairs, "pairs")
-    left = _written(left, "left")
+    left = crowded = _written(left, "left")
     links = _written(_verified(pairs, sets), "links")
     component = _components(links)
     for level in range(1, LEVELS):
@@ -328,7 +402,12 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 component = _joined(component, more)
         if left.isEmpty():
             break
-    return component
+    rest = _written(_unsettled(crowded, component), "rest")
+    if rest.isEmpty():
+        return component
+    known = pairs.select(F.least("member", "hub").alias("member"), F.greatest("member", "hub").alias("hub"))
+    more = _written(_verified(_written(_candidates(rest, sets).join(known, ["member", "hub"], "left_anti"), "pairs"), sets), "links")
+    return component if more.isEmpty() else _joined(component, more)
 
 
 def _least(doc_id: Column, text_hash: Column) -> Column:
