@@ -3,6 +3,8 @@
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
+from test_near_dups import brute, crowd
+
 from textlab.llm import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +37,9 @@ def test_empty_input(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_near_dups_stage_keeps_one_of_each_class_of_a_crowd(spark, make):
+    rows = crowd(200)
+    kept = P.near_dups_stage(spark, make("doc_id long, text string", list(enumerate(rows))), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute(rows)))
