@@ -263,3 +263,19 @@ def test_experiment_grid_custom_model_name(spark):
     assert all(("my-model" in r.run_id) == (r.model == "ROB-LRG") for r in rows)
     b = {(r.model, r.batch) for r in rows}
     assert ("DEB-V3", 2) in b and ("ROB-LRG", 4) in b
+
+
+def test_weighted_rows_stay_in_their_tasks(spark):
+    """Two classes are no two tasks: a class's rows are not put together to be weighted."""
+    df = spark.range(0, 8000, 1, 8).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"),
+                                           F.repeat(F.lit("some words "), 20).alias("text"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # of larger tables no size is known beforehand
+    x = SM.weight_rows(df, M.class_weights(df, "label"), "label").persist()  # as the learner does
+    try:
+        tasks = {r["t"]: r["count"] for r in x.groupBy(F.spark_partition_id().alias("t")).count().collect()}
+        assert sum(tasks.values()) == 8000 and max(tasks.values()) == 1000
+        assert x.where("w != 1").count() == 0
+    finally:
+        x.unpersist()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

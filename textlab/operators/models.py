@@ -205,9 +205,10 @@ def lr_estimator(text: str = "text", label: str = "label", weight: str | None =
 
 def lr_fit(train: DataFrame, text: str = "text", label: str = "label", weight: str | None = "w",
            **kw) -> PipelineModel:
-    """Fit on cached input (the learner makes many passes)."""
+    """Fit on cached input (the learner makes many passes).  Each task of a pass sends a gradient of all features,
+    so there are a few tasks a core, however many files are read."""
     data = train.select(text, F.col(label).cast("double").alias(label), *([weight] if weight else []))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = data.coalesce(4 * train.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return lr_estimator(text, label, weight, **kw).fit(data)
     finally:

@@ -156,5 +156,6 @@ def size_bands(df: DataFrame, seeds: list[int], rank_seed, key: str, sizes: list
 
 def weight_rows(df: DataFrame, weights: DataFrame, label: str) -> DataFrame:
     """Attach the class weight to every row.  The weight table has one row
-    per class; AQE broadcasts it from its measured size (no blind hint)."""
-    return df.join(weights.select(label, "w"), label, "left")
+    per class and is broadcast: dealt by label, all rows of a class (and
+    their texts) would go to one task, before AQE knows any size."""
+    return df.join(F.broadcast(weights.select(label, "w")), label, "left")
