@@ -1,11 +1,13 @@
 """The pipeline's stages, each on its own input."""
 
 import corpus_pipeline as P
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from test_near_dups import brute, crowd
 
 from textlab.llm import catalog
+from textlab.llm.common import texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +45,15 @@ def test_near_dups_stage_keeps_one_of_each_class_of_a_crowd(spark, make):
     rows = crowd(200)
     kept = P.near_dups_stage(spark, make("doc_id long, text string", list(enumerate(rows))), SF)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute(rows)))
+
+
+def test_workers_get_batches_of_bounded_bytes(spark):
+    """2000 texts of 20,000 characters in one partition are no batch of 40 MB."""
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 1819).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "size"])
+
+    own = texts(docs).mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r["rows"] for r in own) == 2000 and max(r["size"] for r in own) < 8 << 20

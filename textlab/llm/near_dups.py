@@ -67,7 +67,8 @@ LEVELS = 5
 BLOCK = 512
 
 _WORD = re.compile(r"[^\W_]+")
-_WORDS: dict[str, int] = {}  # hashes of words, for each Python worker
+_WORDS: dict[str, int] = {}  # hashes of words, for each Python worker, which keeps them between stages
+MAX_WORDS = 50_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,7 +85,7 @@ def words_of(text: str) -> list[str]:
 
 def shingles(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, ascending, and their counts."""
-    if len(_WORDS) > 300_000:
+    if len(_WORDS) > MAX_WORDS:
         _WORDS.clear()
     for w in set(words).difference(_WORDS):
         _WORDS[w] = xxhash.xxh64_intdigest(w)

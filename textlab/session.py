@@ -77,11 +77,26 @@ def cut_lineage(df):
         df.unpersist()
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches that go to Python workers are bounded by ``BATCH_BYTES``, unless the session has its own bound.
+
+    Spark cuts them at 10,000 rows or 64 MB: of whole texts that is tens of MB, which an executor holds several
+    times over for each of its cores (as vectors, as a message and in the worker).
+    """
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 _SHIPPED: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``textlab`` importable in Python workers (once per application).
+    """Make ``textlab`` importable in Python workers (once per application), and bound what they are sent at once.
 
     Functions handed to ``mapInPandas`` reference textlab modules; workers
     started from another directory could not import them.  The package's
@@ -92,6 +107,7 @@ def ship_package(spark: SparkSession) -> None:
 
     import textlab
 
+    bound_batches(spark)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
