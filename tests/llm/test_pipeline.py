@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from test_near_dups import brute, crowd
 
-from textlab.llm import catalog
-from textlab.llm.common import texts
+from textlab.llm import catalog, near_dups
+from textlab.llm.common import filter_rows, texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +57,15 @@ def test_workers_get_batches_of_bounded_bytes(spark):
 
     own = texts(docs).mapInArrow(sizes, "rows long, size long").collect()
     assert sum(r["rows"] for r in own) == 2000 and max(r["size"] for r in own) < 8 << 20
+
+
+def test_stages_leave_nothing_in_the_workers_of_later_ones(spark, make):
+    """Caches that grow with the texts (ids of pieces, hashes of words) go when another stage's task begins."""
+    docs = make("doc_id long, text string", [(k, f"some words {k}") for k in range(64)]).repartition(8)
+
+    def left(row):
+        from textlab.llm import tokens
+        return bool(tokens._ENCODERS or near_dups._WORDS)
+
+    assert P.packing_stage(spark, docs, SF).count() > 0 and near_dups.sign(docs).agg(F.sum("size")).first()[0] > 0
+    assert filter_rows(docs, ["text"], left).count() == 0

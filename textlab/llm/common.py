@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 
 from textlab.session import ship_package
 
+#: What operators keep in a Python worker from one task to the next.
+CACHES: list[dict] = []
+
+
+def forget() -> None:
+    """Drop what the operators of earlier stages have left in this Python worker, which Spark uses again for later ones."""
+    for cache in CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's reader (any store)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -41,6 +52,7 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[dict], dict | None
     at = {c: df.columns.index(c) for c in columns}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)

@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlab.llm.common import rows_of
+from textlab.llm.common import CACHES, rows_of
 from textlab.session import scratch_dir, ship_package
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -69,6 +69,7 @@ BLOCK = 512
 _WORD = re.compile(r"[^\W_]+")
 _WORDS: dict[str, int] = {}  # hashes of words, for each Python worker, which keeps them between stages
 MAX_WORDS = 50_000
+CACHES.append(_WORDS)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.common import filter_rows, rows_of, texts
+from textlab.llm.common import filter_rows, forget, rows_of, texts
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -140,6 +140,7 @@ def references(docs: DataFrame, text_col: str = "text",
     (a row per language, bounded by the language column's domain).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total: dict[str, list[np.ndarray]] = {}
         for rows in rows_of(batches):
             for text, lang in zip(rows["text"], rows["lang"]):

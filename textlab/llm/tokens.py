@@ -16,6 +16,8 @@ from itertools import chain
 import numpy as np
 import regex
 
+from textlab.llm.common import CACHES
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark spreads the work, not the library
 
 #: The vocabulary that the registered queries use.
@@ -101,6 +103,7 @@ class TextEncoder:
 
 
 _ENCODERS: dict[tuple, TextEncoder] = {}
+CACHES.append(_ENCODERS)
 
 
 def encoder(backend: type, path: str) -> TextEncoder:
