@@ -175,3 +175,22 @@ def test_candidates_hold_every_similar_pair(make, monkeypatch, block):
                 want.add((a, b))
         assert want and want <= set(got) and len(got) == len(set(got))
         assert all(of(a) != of(b) for a, b in got)
+
+
+def test_a_level_without_a_link_is_the_last(make, monkeypatch):
+    """Texts that share a passage and little else: dealing their buckets again finds nothing, and is not repeated."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(4000)]
+    passage = rnd.choices(words, k=60)
+    rows = [" ".join(passage + rnd.choices(words, k=25)) for _ in range(80)]
+    monkeypatch.setattr(N, "SMALL", 1)
+    monkeypatch.setattr(N, "BANDS", 6)
+    monkeypatch.setattr(N, "ROWS", 1)
+    # every node could link, so that large buckets stay
+    monkeypatch.setattr(N, "_linkable", lambda sets, some: some)
+    rows += [rows[0] + " more", rows[1] + " more"]
+    calls, verified = [], N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, sets: (calls.append(1), verified(pairs, sets))[1])
+    got = {r["doc_id"]: r["class_id"] for r in N.classes(make("doc_id long, text string", list(enumerate(rows)))).collect()}
+    assert got == dict(enumerate(brute(rows)))
+    assert len(calls) <= 4 < 1 + N.LEVELS  # hubs, a level that links, one that does not, the rest

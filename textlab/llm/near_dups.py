@@ -21,8 +21,9 @@ with their probability Jaccard similarity.
 4. Components join verified pairs.  Large buckets whose nodes are not yet in
    one component are dealt again by one more band of the same signatures, so
    that only nodes more alike than the crowd still meet, and go through 2 to
-   4 as buckets of their own; ``LEVELS`` times at most.  Components that hold
-   together are pairs no more, so what is made is linear in a bucket's nodes.
+   4 as buckets of their own; ``LEVELS`` times at most, and no more after a
+   time that finds no link.  Components that hold together are pairs no more,
+   so what is made is linear in a bucket's nodes.
 5. The rest is done exactly: nodes of large buckets that still hold several
    components are joined by their rarest shingles (prefixes, with the bound
    that a shingle's place sets), across components only; all pairs that can
@@ -241,7 +242,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     found = sets.join(members.unionByName(own), "node").select("hub", "salt", "is_member", "node", "own")
     return (found.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "is_member")
-            .mapInArrow(verify, "member long, hub long").distinct())
+            .mapInArrow(verify, "member long, hub long"))
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -322,10 +323,10 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     which never meet each other.
     """
     sizes = rows.groupBy("shingle").agg(F.count("*").alias("k"))
+    crowded = F.broadcast(sizes.filter(F.col("k") > BLOCK).select("shingle"))  # a number for more than BLOCK rows each
     one = F.lit(0).cast("long")
-    few = rows.join(sizes.filter(F.col("k") <= BLOCK).select("shingle"), "shingle").select(
-        "*", one.alias("block"), one.alias("lo"), one.alias("hi"))
-    hot = rows.join(sizes.filter(F.col("k") > BLOCK).select("shingle"), "shingle")
+    few = rows.join(crowded, "shingle", "left_anti").select("*", one.alias("block"), one.alias("lo"), one.alias("hi"))
+    hot = rows.join(crowded, "shingle")
     parts = hot.groupBy("shingle", "component").agg(F.count("*").alias("k"))
     mixed = parts.filter(F.col("k") <= BLOCK).groupBy("shingle").agg(F.sum("k").alias("mixed"))
     large = F.col("k") > BLOCK
@@ -360,7 +361,7 @@ def _candidates(rest: DataFrame, sets: DataFrame) -> DataFrame:
     following = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), F.desc("shingle")))
     first = each.join(shared, "shingle").withColumn("following", following.cast("long")).drop("k")
     first = _written(first.filter(F.col("following") >= F.col("n") * SIMILARITY - 1e-6), "prefixes")
-    dealt = _in_blocks(first)
+    dealt = _written(_in_blocks(first), "dealt")
     x, y = (dealt.filter(F.col("block") == F.col(side)).select(
         "shingle", "lo", "hi", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "following")])
         for side in ("lo", "hi"))
@@ -397,11 +398,11 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         new, left = _pairs(again.select("bucket", "b", *_NODE, "component", "bands"))
         new = _written(new.join(pairs, ["member", "hub"], "left_anti"), "pairs")
         left = _written(left, "left")
-        if not new.isEmpty():
-            pairs = pairs.unionByName(new)
-            more = _written(_verified(new, sets), "links")
-            if not more.isEmpty():
-                component = _joined(component, more)
+        pairs = pairs.unionByName(new)
+        more = _written(_verified(new, sets), "links")
+        if more.isEmpty():
+            break  # buckets that hold several components still do, and so would be left for the exact step
+        component = _joined(component, more)
         if left.isEmpty():
             break
     rest = _written(_unsettled(crowded, component), "rest")
