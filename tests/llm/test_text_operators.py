@@ -482,3 +482,12 @@ def test_lm_scores_count_bigrams_exactly(make, monkeypatch):
                     bi = (pairs[v, x] - mine[0][v, x]) / (single[v] - mine[1][v])
                 out.append(-math.log2(lm_scores.MIX * bi + (1 - lm_scores.MIX) * uni))
             assert abs(got[i][column] - sum(out) / len(out)) < 1e-9
+
+
+def test_few_license_keywords_are_looked_up_in_every_text():
+    """Keywords are looked up behind gates, which are parts of them, so that no text is searched for each of them."""
+    keywords = list(dict.fromkeys(r["keyword"] for r in licenses.rules()))
+    gates = licenses.gated(keywords)
+    assert sorted(k for own in gates.values() for k in own) == sorted(keywords)
+    assert all(gate in k for gate, own in gates.items() for k in own)
+    assert len(gates) < len(keywords) / 2

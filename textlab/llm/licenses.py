@@ -4,7 +4,8 @@ A text becomes its lower-case words between single spaces.  Each rule has a
 keyword, a pattern over that form, a label and its place in the order: rules
 of higher priority come first.  The keyword is a name or phrase between
 spaces, without which the pattern cannot match; keywords are looked up once
-each, and only the rules of those found are tried.  Of the detections, one that
+each, and only where a word that several share is found, and only the rules of
+those found are tried.  Of the detections, one that
 lies inside another of an earlier rule is suppressed.
 
 There are two families of rules.  Signatures are written by hand from the
@@ -379,6 +380,20 @@ def rules() -> list[dict]:
             for k, (p, _, label, word, pattern) in enumerate(made)]
 
 
+#: Words that keywords share, and so are looked up before them; a keyword of several is in the first one's group.
+#: They begin with a letter, of which a text has fewer than spaces.
+GATES = ("licen", "gpl", "bsd", "cc0", "creative", "software", "public", "hereby", "copy", "apache", "mpl", "epl",
+         "eupl", "cc")
+
+
+def gated(keywords: list[str]) -> dict[str, list[str]]:
+    """gate: its keywords, which are in no text that the gate is not in; a keyword of no gate is one itself."""
+    out: dict[str, list[str]] = {}
+    for k in keywords:
+        out.setdefault(next((g for g in GATES if g in k), k.strip()), []).append(k)
+    return out
+
+
 def words_form(text: Column) -> Column:
     """Lower-case words between single spaces, with a space at either end; one space for no words."""
     t = F.trim(F.regexp_replace(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
@@ -482,9 +497,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     by_keyword: dict[str, list[dict]] = {}
     for r in rules():
         by_keyword.setdefault(r["keyword"], []).append(r)
-    keywords = F.from_json(F.lit(json.dumps([{"keyword": k, "rules": v} for k, v in by_keyword.items()])),
-                           "array<struct<keyword: string, rules: array<struct<place: int, priority: int, "
-                           "label: string, pattern: string>>>>")  # one constant
+    gates = F.from_json(F.lit(json.dumps([{"gate": g, "keywords": [{"keyword": k, "rules": by_keyword[k]} for k in own]}
+                                          for g, own in gated(list(by_keyword)).items()])),
+                        "array<struct<gate: string, keywords: array<struct<keyword: string, rules: array<struct<place: int, "
+                        "priority: int, label: string, pattern: string>>>>>>")  # one constant
+    keywords = F.flatten(F.transform(F.filter(gates, lambda g: F.contains(form, g["gate"])), lambda g: g["keywords"]))
     held = F.flatten(F.transform(F.filter(keywords, lambda n: F.contains(form, n["keyword"])), lambda n: n["rules"]))
     hits = F.flatten(F.transform(
         held,
