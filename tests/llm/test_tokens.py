@@ -90,3 +90,26 @@ def test_packing_buckets(odd, spark, tmp_path):
 def test_packing_rejects_other_lengths(odd):
     with pytest.raises(ValueError):
         packing.pack(odd, max_len=1000)
+
+
+def test_new_words_go_to_the_library_in_lines():
+    """Each word's ids are those it has alone, and the library is not called for each word."""
+    back = LibraryBackend(default_path())
+    own = random.Random(6)
+    pieces = ["".join(own.choices("abcdeXYZ", k=own.randrange(1, 40))) for _ in range(300)]
+    pieces += ["a", "ö", "中文", "'s", "...", "7", "<|endoftext|>", "q" * 5000, "x\x00y", "-", "z"]
+    own.shuffle(pieces)
+    want = [np.array(back.tok.encode(c, add_special_tokens=False).ids, "<i4").tobytes() for c in pieces]
+
+    class Counted:
+        given = 0
+
+        def __getattr__(self, name):
+            def f(some, **more):
+                Counted.given += len(some)
+                return getattr(back_tok, name)(some, **more)
+            return f
+
+    back_tok, back.tok = back.tok, Counted()
+    assert back.encode(pieces) == want and Counted.given < 30
+    assert back.encode([]) == [] and back.encode(["-"]) == [want[pieces.index("-")]]

@@ -20,6 +20,9 @@ from textlab.llm.common import CACHES
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark spreads the work, not the library
 
+#: Words that the library encodes at once.
+LINE = 64
+
 #: The vocabulary that the registered queries use.
 WORD_BPE = "word_bpe_49k.json"
 
@@ -72,8 +75,22 @@ class LibraryBackend:
         return chunks_of(text) if words is None else words
 
     def encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes()
-                for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        """Ids of each piece; words of ASCII letters go to the library in lines of ``LINE``, whose ids are cut by
+        where their words begin."""
+        out = [b""] * len(chunks)
+        words = [k for k, c in enumerate(chunks) if c.isascii() and c.isalpha()]
+        lines = [words[k:k + LINE] for k in range(0, len(words), LINE)]
+        for line, e in zip(lines, self.tok.encode_batch([" ".join(chunks[k] for k in line) for line in lines],
+                                                        add_special_tokens=False), strict=True):
+            starts = np.cumsum([0, *(len(chunks[k]) + 1 for k in line[:-1])])
+            cuts = np.searchsorted([a for a, _ in e.offsets], [*starts, starts[-1] + len(chunks[line[-1]]) + 1]).tolist()
+            raw = np.array(e.ids, "<i4").tobytes()
+            for k, a, b in zip(line, cuts, cuts[1:]):
+                out[k] = raw[4 * a:4 * b]
+        others = [k for k, c in enumerate(chunks) if not (c.isascii() and c.isalpha())]
+        for k, e in zip(others, self.tok.encode_batch_fast([chunks[k] for k in others], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, "<i4").tobytes()
+        return out
 
 
 class TextEncoder:
